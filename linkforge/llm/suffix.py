@@ -14,8 +14,8 @@ is removed, judged on the input. The corpus is brought down to what can repeat b
    order, previous-smaller pointers carry each group's mark to the suffixes before it, and a second scan emits
    the order of each group. Runs of neighbours that share enough symbols, with the few bytes
    beside them, are the classes of equal strings; all but the first of a class are covered.
-4. An anchor with more than `HOT` contexts is not gathered: its strings become rows, and the first
-   of each comes from an aggregation that combines on the map side.
+4. An anchor with more than `HOT` contexts is not gathered: its strings are dealt out by their own hash, one of
+   each from every batch, and all but the first are covered.
 
 Null text is empty. Documents with fewer bytes than `LENGTH` lose nothing. doc_id is a key: of rows with an
 equal doc_id the one with the smaller text hash counts as earlier, and rows that repeat a doc_id with its text
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, fresh, mix, prefix_sums, small_batches, span_hash, table, text_chunks, width
+from .common import U64, fresh, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks, width
 
 LENGTH, ANCHOR, BLOCK = 100, 32, 16
 #: Contexts of one anchor beyond which its strings are rows of their own.
-HOT = 4096
+HOT = 1 << 15
 
 
 # ------------------------------------------------------------------ linear grouping
@@ -261,32 +261,48 @@ def _repeats(hot: int):
 # --------------------------------------------------------------------------- edges
 
 CONTEXTS = "kind int, bucket int, h long, doc_id long, tie long, pos int, head int, string long, context binary"
+_CONTEXTS = [("kind", pa.int32()), ("bucket", pa.int32()), ("h", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("pos", pa.int32()), ("head", pa.int32()), ("string", pa.int64()), ("context", pa.binary())]
 
 
 def _contexts(buckets: int):
-    """Edge contexts as bytes; crowded ones as a row for each string with this anchor."""
+    """Edge contexts as bytes; of a crowded anchor's strings one row each and batch, the first.
+
+    Later ones in the batch are covered already and leave as rows of kind COVERED.
+    """
     left = LENGTH - ANCHOR
 
+    def crowd(parts: list[tuple[np.ndarray, ...]]) -> list[tuple]:
+        h, string, doc, tie, pos = map(np.concatenate, zip(*parts))
+        order = np.lexsort((pos, tie, doc, string, h))
+        h, string, doc, tie, pos = (x[order] for x in (h, string, doc, tie, pos))
+        order = _first(h, string, doc, tie, pos)
+        h, string, doc, tie, pos = (x[order] for x in (h, string, doc, tie, pos))
+        kind = np.where(_first(h, string), CROWDED, COVERED)
+        bucket = (string ^ h) % buckets
+        return list(zip(kind.tolist(), bucket.tolist(), h.tolist(), doc.tolist(), tie.tolist(), pos.tolist(), [0] * len(h), string.tolist(), [None] * len(h)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
+            parts = []
             for d, tie, text, want in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text"), batch.column("want")):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 items = want.values
                 pos, h, kind = (items.field(k).to_numpy() for k in ("pos", "h", "kind"))
-                edge = np.flatnonzero(kind == EDGE).tolist()
-                rows = [(EDGE, int(h[i] % buckets), int(h[i]), d, tie, p, min(p, left), 0, raw[max(0, p - left) : p + LENGTH]) for i in edge for p in (int(pos[i]),)]
+                for i in np.flatnonzero(kind == EDGE).tolist():
+                    p = int(pos[i])
+                    rows.append((EDGE, int(h[i] % buckets), int(h[i]), d, tie, p, min(p, left), 0, raw[max(0, p - left) : p + LENGTH]))
                 crowded = np.flatnonzero(kind == CROWDED).tolist()
                 if crowded:
                     total = prefix_sums(np.frombuffer(raw, np.uint8))
                     for i in crowded:
                         p = int(pos[i])
                         at = np.arange(max(0, p - left), min(p, len(raw) - LENGTH) + 1)
-                        rows += [(CROWDED, 0, int(h[i]), d, tie, a, 0, s, None) for a, s in zip(at.tolist(), span_hash(total, at, at + LENGTH).view(np.int64).tolist())]
-                for k in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-                        names=["kind", "bucket", "h", "doc_id", "tie", "pos", "head", "string", "context"],
-                    )
+                        fill = lambda x: np.full(len(at), x, np.int64)  # noqa: B023, E731
+                        parts.append((fill(h[i]), span_hash(total, at, at + LENGTH).view(np.int64), fill(d), fill(tie), at))
+            rows += crowd(parts) if parts else []
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[k : k + 20_000]), _CONTEXTS)], names=[n for n, _ in _CONTEXTS])
 
     return run
 
@@ -361,9 +377,25 @@ def covered_strings(contexts: list[bytes], heads: list[int]) -> tuple[np.ndarray
 SORTED = 20_000
 
 
-def _sorted_edges(group: pa.Table) -> pa.Table:
-    rows = sorted(set(zip(*(group.column(k).to_pylist() for k in ("h", "doc_id", "tie", "pos", "head", "context")))))
-    spans: list[tuple] = []
+def _crowd_spans(group: pa.Table) -> list[np.ndarray]:
+    """doc_id, tie, pos of crowded strings that stand earlier."""
+    kind, h, string, doc, tie, pos = (group.column(k).to_numpy() for k in ("kind", "h", "string", "doc_id", "tie", "pos"))
+    order = np.lexsort((pos, tie, doc, string, h))
+    later = ~_first(h[order], string[order])
+    same = np.zeros(len(order), bool)
+    same[1:] = ~_first(h[order], string[order], doc[order], tie[order], pos[order])[1:]
+    hit = np.zeros(len(order), bool)
+    hit[order] = later & ~same
+    hit |= kind == COVERED
+    return [x[hit] for x in (doc, tie, pos)]
+
+
+def _covered_spans(group: pa.Table) -> pa.Table:
+    kind = group.column("kind").to_numpy()
+    edges = group.filter(pa.array(kind == EDGE))
+    rows = sorted(set(zip(*(edges.column(k).to_pylist() for k in ("h", "doc_id", "tie", "pos", "head", "context")))))
+    doc, tie, pos = _crowd_spans(group.filter(pa.array(kind != EDGE)))
+    spans: list[list[np.ndarray]] = [[doc], [tie], [pos.astype(np.int64)], [np.full(len(doc), LENGTH)]]
     at = 0
     while at < len(rows):
         end = min(len(rows), at + SORTED)
@@ -374,14 +406,14 @@ def _sorted_edges(group: pa.Table) -> pa.Table:
         order = np.lexsort((shift, which))
         which, shift = which[order], shift[order]
         new = np.ones(len(which), bool)
-        if len(which) > 1:
-            new[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1] + 1)
+        new[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1] + 1)
         a = np.flatnonzero(new)
-        b = np.append(a[1:], len(which))
-        for i, s, n in zip(which[a].tolist(), shift[a].tolist(), (b - a).tolist()):
-            spans.append((part[i][1], part[i][2], part[i][3] - (LENGTH - ANCHOR) + s, n - 1 + LENGTH))
+        size = np.diff(np.append(a, len(which))) - 1 + LENGTH
+        doc, tie, pos = (np.array([r[k] for r in part], np.int64)[which[a]] for k in (1, 2, 3))
+        for k, x in enumerate((doc, tie, pos - (LENGTH - ANCHOR) + shift[a], size)):
+            spans[k].append(x)
         at = end
-    cols = list(zip(*spans)) or [[]] * 4
+    cols = [np.concatenate(x) for x in spans]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "tie", "pos", "size"])
 
 
@@ -393,18 +425,13 @@ def removed_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
     spark = slim.sparkSession
     small_batches(spark)
     buckets = max(64, 4 * width(spark))
-    blocks = slim.mapInArrow(_entries(buckets), ENTRY)
-    found = table(blocks.repartition("bucket").groupBy("bucket").applyInArrow(_repeats(hot), FOUND))
+    found = table(slim.mapInArrow(_entries(buckets), ENTRY).repartition("bucket").groupBy("bucket").applyInArrow(_repeats(hot), FOUND))
+    release(spark)
     want = found.where(F.col("kind") != COVERED).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("want"))
-    edges = max(64, 2 * width(spark))
-    contexts = slim.join(want, ["doc_id", "tie"]).select("doc_id", "tie", "text", "want").mapInArrow(_contexts(edges), CONTEXTS)
-    contexts = table(contexts)
-    some = contexts.where(F.col("kind") == EDGE).select("bucket", "h", "doc_id", "tie", "pos", "head", "context").groupBy("bucket").applyInArrow(_sorted_edges, SPAN)
-    crowd = contexts.where(F.col("kind") == CROWDED).select("h", "string", "doc_id", "tie", "pos")
-    first = crowd.groupBy("h", "string").agg(F.min(F.struct("doc_id", "tie", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = crowd.join(first, ["h", "string"]).where(F.struct("doc_id", "tie", "pos") != F.col("first"))
+    contexts = slim.join(want, ["doc_id", "tie"]).select("doc_id", "tie", "text", "want").mapInArrow(_contexts(buckets), CONTEXTS)
+    some = contexts.groupBy("bucket").applyInArrow(_covered_spans, SPAN)
     whole = found.where(F.col("kind") == COVERED).select("doc_id", "tie", "pos", F.lit(0).alias("size"))
-    return whole.unionByName(some).unionByName(rows.select("doc_id", "tie", "pos", F.lit(LENGTH).alias("size")))
+    return whole.unionByName(some)
 
 
 def _cleaner(schema: T.StructType, raw_in: str, spans_in: str, digest: bool):
@@ -441,25 +468,34 @@ def _cleaner(schema: T.StructType, raw_in: str, spans_in: str, digest: bool):
     return run
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str, d: str, t: str) -> DataFrame:
+    """`docs` with the long `d` and the tie `t`, which is 0 throughout where no doc_id repeats."""
+    docs = docs.withColumn(d, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))))
+    twice = docs.groupBy(d).count().where("count > 1").limit(1).count()
+    return docs.withColumn(t, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))) if twice else F.lit(0).cast("long"))
+
+
 def _with_spans(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[DataFrame, str]:
     """`docs` with the list of their covered stretches, and that column's name."""
     d, t, name = fresh(docs, "_d", "_t", "_spans")
-    raw = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit(b""))
-    key = {"doc_id": F.col(f"`{doc_id}`").cast("long"), "tie": F.xxhash64(raw)}
-    # rows without a doc_id come first, as one document of their own
-    slim = docs.select(F.coalesce(key["doc_id"], F.lit(-(1 << 63))).alias("doc_id"), key["tie"].alias("tie"), raw.alias("text"))
+    named = _keyed(docs, doc_id, text, d, t)
+    slim = named.select(F.col(d).alias("doc_id"), F.col(t).alias("tie"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
     spans = removed_spans(slim, hot).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "size")).alias(name))
-    named = docs.withColumns({d: F.coalesce(key["doc_id"], F.lit(-(1 << 63))), t: key["tie"]})
     spans = spans.select(F.col("doc_id").alias(d), F.col("tie").alias(t), F.col(name))
     return named.join(spans, [d, t], "left").drop(d, t), name
 
 
 def removal_report(docs: DataFrame, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    joined, spans = _with_spans(slim, "doc_id", "text", hot)
+    raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text")
+    slim = _keyed(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), raw), "doc_id", "text", "_d", "tie")
+    # one shuffle of the texts serves both joins
+    slim = slim.select(F.col("_d").alias("doc_id"), "tie", "text")
+    spans = "spans"
+    joined = slim.join(removed_spans(slim, hot).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "size")).alias(spans)), ["doc_id", "tie"], "left")
+    joined = joined.select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", spans)
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return joined.select("doc_id", F.col("text").cast("binary").alias("raw"), spans).mapInArrow(_cleaner(schema, "raw", spans, True), schema)
+    return joined.select("doc_id", F.col("text").alias("raw"), spans).mapInArrow(_cleaner(schema, "raw", spans, True), schema)
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
