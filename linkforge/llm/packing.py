@@ -12,9 +12,12 @@ packed separately. An empty table gives no rows. Other columns, clashing names i
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from .common import cut
 
 CAPACITY = 4096
 END_ID = 1
-#: Words of which a worker remembers the ids; beyond that it forgets them all and starts again.
+#: Words in each of the two generations that a worker remembers; the older is dropped when the younger is full.
 REMEMBERED = 400_000
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
@@ -32,8 +35,14 @@ SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
 
+#: Beyond these letters case and composition can depend on neighbours: such texts are not lowered here.
+_OTHER = re.compile("[^\x00-\u017f]|<\\|")
+#: Letters with punctuation after them: the tokenizer cuts between the two.
+_WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordTokens:
-    """Token bytes (little-endian unsigned 32-bit ids) of whole texts by a white-space-dropping tokenizer.
+    """Token bytes (little-endian unsigned 32-bit ids) of whole texts by a white-space-dropping, lower-casing tokenizer.
 
     The tokenizer never joins across a blank or line feed, so ids of the parts between them, each
     looked up once, make up the ids of the text.
@@ -42,25 +51,72 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def learn(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.known[w] = b"".join([i.to_bytes(4, "little") for i in ids])
+        self.tokenizer = Tokenizer.from_file(path)
+        last = max(self.tokenizer.get_vocab().values())
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(last + 1)])
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Of parts that the tokenizer does not cut: all at once, told apart by their last tokens."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.uint32)
+        at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(at) != len(runs):
+            return self.encode(runs)
+        raw, at = ids.tobytes(), at.tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
+    def learn(self, new: set[str], whole: bool) -> None:
+        """Put `new` words into the young generation."""
+        young, old = self.young, self.old
+        cut, other = [], []
+        for w in new:
+            have = old.get(w)
+            if have is not None:
+                young[w] = have
+                continue
+            m = None if whole else _WORD.fullmatch(w)
+            if m:
+                cut.append((w, m[1], m[2]))
+            else:
+                other.append(w)
+        if other:
+            young.update(zip(other, self.encode(other)))
+        runs = [r for r in {r for _, *both in cut for r in both} if r not in young and r not in old]
+        if runs:
+            young.update(zip(runs, self.encode_runs(runs)))
+        for w, core, rest in cut:
+            if rest:
+                young[w] = (young.get(core) or old[core]) + (young.get(rest) or old[rest])
+            elif w not in young:
+                young[w] = old[core]
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
+        whole = _OTHER.search(text) is not None
+        parts = (text if whole else text.lower()).replace("\n", " ").split(" ")
+        young = self.young
         try:
-            return b"".join([known[w] for w in parts])
+            return b"".join([young[w] for w in parts])
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        self.learn([w for w in set(parts) if w not in known])
-        return b"".join([known[w] for w in parts])
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {"": b""}
+            young = self.young
+        self.learn({w for w in parts if w not in young}, whole)
+        return b"".join([young[w] for w in parts])
+
+
+_loaded: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own, kept for its next tasks."""
+    if path not in _loaded:
+        _loaded[path] = WordTokens(path)
+    return _loaded[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end, step = WordTokens(tokenizer_path), END_ID.to_bytes(4, "little"), 4 * capacity
+        ids_of, end, step = word_tokens(tokenizer_path), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
