@@ -103,7 +103,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     d = d.withColumn("h", F.xxhash64("doc_id"))
     ranks = d.select("lang", "h").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
     last = ranks.groupBy("lang").agg(F.max("h").alias("last"))
-    chosen = d.join(last, "lang").where("h <= last").select("lang", "text")
+    # a row for each language, fewer than the centroids that the driver holds
+    chosen = d.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
     small_batches(docs.sparkSession)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
