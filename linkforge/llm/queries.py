@@ -6,21 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ngram_join, packing, sharding, suffix
+from . import chat, fingerprints, langid, media, mixing, ngram_join, packing, quality, sharding, suffix
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_conversations(documents(spark, sf_dir, "conversations"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
@@ -39,10 +51,29 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each vector of `embeddings` is drawn as one."""
+    return media.image_copies(media.pictures(documents(spark, sf_dir, "embeddings")))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_mix_sources, op6_sharding, op7_language_id, op8_ngram_jaccard_join, op10_suffix_array_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_best_fit_packing,
+        op3_document_fingerprints,
+        op4_mix_sources,
+        op5_chat_formatting,
+        op6_sharding,
+        op7_language_id,
+        op8_ngram_jaccard_join,
+        op9_media_copies,
+        op10_suffix_array_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
