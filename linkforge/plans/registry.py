@@ -1,7 +1,589 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each beside the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, quality, scoring, text, vector
+from ..operators import enrich, evaluate, pairs, review
+from ..schema import RANKING_VERSION
+from ..sources import tables as sources
+from . import adapter as A
+
 FLAGSHIP = "face_fallback_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = A.oracle(sql)
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return pairs.prepare(A.am(spark, sf_dir)), pairs.prepare(A.pm(spark, sf_dir))
+
+
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, p = sides(spark, sf_dir)
+    return pairs.cross(pairs.prefixed(a, "am_"), pairs.prefixed(p, "pm_"))
+
+
+# ------------------------------------------------------------------ SQL of the checks
+
+
+def _normal(c: str) -> str:
+    return f"nullif(lower(trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[:.\\-,।/|]+', ' ', 'g'), '\\s+', ' ', 'g'))), '')"
+
+
+def _side(name: str, sql: str) -> str:
+    return f"""{name}0 AS ({sql}), {name} AS (SELECT record_id, pos, name, lower(sex) sex, lower(detected_sex) det, (age_min + coalesce(nullif(age_max, 0), age_min)) / 2 age, age_min, age_max,
+ height_cm, event_day, clothing, distinguishing_marks, {_normal("location")} loc, {_normal("province")} prov, {_normal("district")} dist, {_normal("municipality")} mun, embedding::DOUBLE[] emb FROM {name}0)"""
+
+
+def _band(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 0.5 WHEN {x} <= 5 THEN 1.0 WHEN {x} <= 10 THEN 0.7 WHEN {x} <= 20 THEN 0.4 ELSE 0.1 END::DOUBLE"
+
+
+def _tier(c: str, score: str) -> str:
+    return f"WHEN a.{c} = p.{c} OR (p.{c} IS NULL AND contains(p.loc, a.{c})) OR (a.{c} IS NULL AND contains(a.loc, p.{c})) THEN {score}"
+
+
+_SHARED = "len(list_intersect(list_distinct(str_split(a.loc, ' ')), list_distinct(str_split(p.loc, ' '))))"
+_SEX = "coalesce(((a.sex = p.sex)::INT::DOUBLE + (a.det = p.det)::INT::DOUBLE) / 2, (a.sex = p.sex)::INT::DOUBLE, (a.det = p.det)::INT::DOUBLE, 0.5)"
+_GAP = "datediff('day', a.event_day, p.event_day)"
+_DATE = f"CASE WHEN {_GAP} IS NULL THEN 0.5 WHEN {_GAP} < 0 THEN 0.2 WHEN {_GAP} <= 10 THEN 1.0 WHEN {_GAP} <= 30 THEN 0.7 WHEN {_GAP} <= 90 THEN 0.4 ELSE 0.2 END::DOUBLE"
+_LOCATION = f"CASE {_tier('mun', '1.0')} {_tier('dist', '0.8')} {_tier('prov', '0.6')} WHEN a.loc IS NULL OR p.loc IS NULL THEN 0.5 WHEN {_SHARED} >= 2 THEN 0.75 WHEN {_SHARED} = 1 THEN 0.55 ELSE 0.35 END::DOUBLE"
+_DIFFER = lambda x, y: f"coalesce({x} <> {y}, false)"
+
+BASE = f"""WITH {_side("am", A.AM)}, {_side("pm", A.PM)},
+c AS (SELECT a.record_id am_record_id, p.record_id pm_record_id, a.pos am_pos, p.pos pm_pos, a.emb ae, p.emb pe, a.age_min am_age_min, a.age_max am_age_max,
+ a.height_cm am_height, a.clothing am_clothing, a.distinguishing_marks am_marks,
+ {_SEX} sex_score, {_band("abs(a.age - p.age)")} age_score, {_band("abs(a.height_cm - p.height_cm)")} height_score, {_DATE} date_score, {_LOCATION} location_score,
+ {_DIFFER("a.sex", "a.det")} am_metadata_vision_conflict, {_DIFFER("p.sex", "p.det")} pm_metadata_vision_conflict, {_DIFFER("a.sex", "p.sex")} pair_metadata_conflict, {_DIFFER("a.det", "p.det")} pair_vision_conflict
+ FROM am a, pm p),
+m AS (SELECT *, round(0.30::DOUBLE * sex_score + 0.25::DOUBLE * age_score + 0.10::DOUBLE * height_score + 0.15::DOUBLE * date_score + 0.20::DOUBLE * location_score, 4) metadata_score,
+ CASE WHEN ae IS NOT NULL AND pe IS NOT NULL THEN list_inner_product(ae, pe) END sim FROM c),
+s AS (SELECT *, CASE WHEN sim IS NOT NULL THEN greatest(0::DOUBLE, least(1::DOUBLE, (sim + 1) / 2)) END face FROM m),
+f AS (SELECT *, round(face, 4) face_score, round(coalesce(0.6::DOUBLE * face + 0.4::DOUBLE * metadata_score, metadata_score), 4) final_score FROM s)
+"""
+
+_COMPONENTS = ", ".join(scoring.COMPONENTS)
+_CONFLICTS = ", ".join(scoring.CONFLICTS)
+
+
+def _top(side: str, k: int, first: int | None = None) -> str:
+    q, c, qe, ce = ("am", "pm", "ae", "pe") if side == "am" else ("pm", "am", "pe", "ae")
+    rows = f"f WHERE {qe} IS NULL OR {ce} IS NOT NULL"
+    if first:
+        rows = f"(SELECT * FROM f WHERE {qe} IS NULL OR {ce} IS NOT NULL QUALIFY face IS NULL OR row_number() OVER (PARTITION BY {q}_record_id ORDER BY sim DESC NULLS LAST, {c}_pos) <= {first}) f"
+    return f"""SELECT '{side}' query_type, {q}_record_id query_record_id, '{c}' candidate_type, {c}_record_id candidate_record_id,
+ row_number() OVER (PARTITION BY {q}_record_id ORDER BY final_score DESC, sim DESC NULLS LAST, {c}_pos) "rank",
+ face_score, metadata_score, final_score, {_COMPONENTS}, {_CONFLICTS}, CASE WHEN sim IS NOT NULL THEN 'face+metadata' ELSE 'metadata_only' END candidate_source
+ FROM {rows} QUALIFY "rank" <= {k}"""
+
+
+# -------------------------------------------------------------------- scores of pairs
+
+
+@query(BASE + f"SELECT am_record_id, pm_record_id, {_COMPONENTS}, metadata_score FROM f")
+def metadata_score(spark, d):
+    out = all_pairs(spark, d).withColumns(scoring.components()).withColumn("metadata_score", scoring.metadata_score())
+    return out.select("am_record_id", "pm_record_id", *scoring.COMPONENTS, "metadata_score")
+
+
+def _component(name: str) -> None:
+    def run(spark, d):
+        return all_pairs(spark, d).select("am_record_id", "pm_record_id", scoring.components()[name].alias(name))
+
+    run.__name__ = name
+    query(BASE + f"SELECT am_record_id, pm_record_id, {name} FROM f")(run)
+
+
+for _name in scoring.COMPONENTS:
+    _component(_name)
+
+
+@query("SELECT event_id, " + _band("CASE WHEN event_id % 10 = 0 THEN NULL ELSE abs(value) END") + " AS score FROM {events}")
+def band_scores(spark, d):
+    return read(spark, d, "events").select("event_id", scoring.band_score(F.when(F.col("event_id") % 10 != 0, F.abs("value"))).alias("score"))
+
+
+@query(BASE + "SELECT am_record_id, pm_record_id, face_score, metadata_score, final_score FROM f WHERE face IS NOT NULL OR am_pos % 5 = 0")
+def fusion_score(spark, d):
+    out = pairs.scored(all_pairs(spark, d)).where("similarity is not null or am_pos % 5 = 0")
+    return out.select("am_record_id", "pm_record_id", "face_score", "metadata_score", "final_score")
+
+
+@query(BASE + f"SELECT am_record_id, pm_record_id, {_CONFLICTS} FROM f")
+def conflict_flags(spark, d):
+    return all_pairs(spark, d).select("am_record_id", "pm_record_id", *[c.alias(n) for n, c in scoring.conflicts().items()])
+
+
+@query(
+    BASE
+    + f"""SELECT query_record_id, candidate_record_id, "rank", coalesce(nullif(concat_ws('; ', CASE WHEN face_score >= 0.7 THEN 'High facial similarity' WHEN face_score >= 0.5 THEN 'Moderate facial similarity' END,
+ CASE WHEN location_score >= 0.8 THEN 'Location compatibility' END, CASE WHEN date_score >= 0.7 THEN 'Temporal compatibility' END, CASE WHEN age_score >= 0.7 THEN 'Age compatibility' END), ''), 'Combined face + metadata ranking') reasons,
+ CASE WHEN sex_score >= 0.8 THEN 'compatible' WHEN sex_score >= 0.5 THEN 'neutral' ELSE 'conflict' END sex_label FROM ({_top("pm", 20)})"""
+)
+def provenance_reasons(spark, d):
+    a, p = sides(spark, d)
+    top = pairs.search(a, p, "pm")
+    return top.select("query_record_id", "candidate_record_id", "rank", F.array_join(scoring.reasons(), "; ").alias("reasons"), scoring.sex_label(F.col("sex_score")).alias("sex_label"))
+
+
+@query(
+    f"""WITH r AS ({A.AM}) SELECT record_id, concat_ws('; ', CASE WHEN coalesce(height_cm, 0) = 0 THEN 'height' END, CASE WHEN coalesce(clothing, '') = '' THEN 'clothing description' END,
+ CASE WHEN coalesce(distinguishing_marks, '') = '' THEN 'distinguishing marks' END, 'fingerprint', 'dental', 'DNA') missing,
+ CASE WHEN age_min IS NULL AND age_max IS NULL THEN 'unknown' WHEN age_min <> age_max THEN concat(age_min::BIGINT, '-', age_max::BIGINT) ELSE coalesce(age_min, age_max)::BIGINT::VARCHAR END age_label FROM r"""
+)
+def missing_evidence(spark, d):
+    lacks = scoring.missing_evidence(F.col("height_cm"), F.col("clothing"), F.col("distinguishing_marks"))
+    return A.am(spark, d).select("record_id", F.array_join(lacks, "; ").alias("missing"), scoring.age_label(F.col("age_min"), F.col("age_max")).alias("age_label"))
+
+
+# ------------------------------------------------------------------------- retrieval
+
+
+@query(BASE + f'SELECT pm_record_id, am_record_id, row_number() OVER (PARTITION BY pm_record_id ORDER BY metadata_score DESC, am_pos) "rank", metadata_score final_score, {_COMPONENTS} FROM f QUALIFY "rank" <= 20')
+def cross_metadata_topk(spark, d):
+    return pairs.metadata_search(*sides(spark, d), k=20)
+
+
+@query(BASE + f'SELECT pm_record_id, am_record_id, row_number() OVER (PARTITION BY pm_record_id ORDER BY metadata_score DESC, am_pos) "rank", metadata_score final_score, {_COMPONENTS} FROM f WHERE metadata_score >= 0.7 QUALIFY "rank" <= 10')
+def min_score_topk(spark, d):
+    return pairs.metadata_search(*sides(spark, d), k=10, min_score=0.7)
+
+
+@query(BASE + 'SELECT pm_record_id, am_record_id, metadata_score final_score FROM f QUALIFY row_number() OVER (PARTITION BY pm_record_id ORDER BY metadata_score DESC, am_pos) <= 10 ORDER BY final_score DESC, pm_pos, am_pos LIMIT 5')
+def global_top5(spark, d):
+    a, p = sides(spark, d)
+    place = lambda c: F.substring(c, 3, 20).cast("long")
+    top = pairs.metadata_search(a, p, k=10).orderBy(F.desc("final_score"), place("pm_record_id"), place("am_record_id")).limit(5)
+    return top.select("pm_record_id", "am_record_id", "final_score")
+
+
+@query(BASE + _top("pm", 20))
+def pm_to_am_topk(spark, d):
+    return pairs.search(*sides(spark, d), "pm")
+
+
+@query(BASE + _top("am", 20))
+def am_to_pm_topk(spark, d):
+    return pairs.search(*sides(spark, d), "am")
+
+
+@query(BASE + _top("am", 20) + " UNION ALL " + _top("pm", 20))
+def bidirectional_union(spark, d):
+    a, p = sides(spark, d)
+    return pairs.search(a, p, "am").unionByName(pairs.search(a, p, "pm"))
+
+
+@query(BASE + _top("pm", 20))
+def face_fallback_topk(spark, d):
+    """The flagship: face and metadata where a query has a vector, metadata over the whole gallery where not."""
+    return pairs.search(*sides(spark, d), "pm", k=20)
+
+
+@query(BASE + _top("pm", 20, 25))
+def two_stage_rerank(spark, d):
+    return pairs.search(*sides(spark, d), "pm", first_stage=25)
+
+
+@query(BASE + f"SELECT query_type, candidate_source, count(DISTINCT query_record_id) queries FROM ({_top('am', 20)} UNION ALL {_top('pm', 20)}) GROUP BY ALL")
+def source_counts(spark, d):
+    return bidirectional_union(spark, d).groupBy("query_type", "candidate_source").agg(F.countDistinct("query_record_id").alias("queries"))
+
+
+@query(
+    BASE
+    + f"""SELECT t.candidate_record_id, t."rank", t.final_score, a.name, concat('/images/', t.candidate_record_id, '.jpg') image_url FROM ({_top("pm", 20)}) t JOIN am a ON a.record_id = t.candidate_record_id
+ WHERE t.query_record_id = 'PM1'"""
+)
+def candidates_of_one(spark, d):
+    a = A.am(spark, d)
+    one = A.pm(spark, d).where("record_id = 'PM1'")
+    top = pairs.search(pairs.prepare(a), pairs.prepare(one), "pm")
+    shown = a.select(F.col("record_id").alias("candidate_record_id"), "name", F.concat(F.lit(text.IMAGE_ROOT), "record_id", F.lit(".jpg")).alias("path"))
+    return top.join(shown, "candidate_record_id").select("candidate_record_id", "rank", "final_score", "name", text.image_url(F.col("path")).alias("image_url"))
+
+
+@query(
+    BASE.replace("pm AS (SELECT record_id", "pm AS (SELECT 'UPLOAD' AS record_id").replace("FROM pm0)", "FROM pm0 WHERE pos = 3)").replace("lower(sex) sex, lower(detected_sex) det, (age_min", "lower(sex) sex, lower(detected_sex) det, (age_min")
+    + 'SELECT am_record_id, row_number() OVER (ORDER BY final_score DESC, sim DESC NULLS LAST, am_pos) "rank", final_score FROM f WHERE pe IS NULL OR ae IS NOT NULL QUALIFY "rank" <= 20'
+)
+def transient_search(spark, d):
+    """An upload as a query: the values of one record under a name that no registry has."""
+    one = A.pm(spark, d).where("pos = 3").withColumn("record_id", F.lit("UPLOAD"))
+    top = pairs.transient(pairs.prepare(one), pairs.prepare(A.am(spark, d)), "am", 20)
+    return top.select(F.col("candidate_record_id").alias("am_record_id"), "rank", "final_score")
+
+
+_EVEN_ODD = "SELECT q.vec_id query_id, c.vec_id candidate_id, q.label q_label, c.label c_label, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) sim FROM {embeddings} q, {embeddings} c WHERE q.vec_id % 2 = 0 AND c.vec_id % 2 = 1"
+
+
+def _even_odd(spark, d) -> tuple[DataFrame, DataFrame]:
+    v = A.vectors(spark, d)
+    return v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1")
+
+
+@query(f'WITH p AS ({_EVEN_ODD}) SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, candidate_id) "rank", round(sim, 4) similarity FROM p QUALIFY "rank" <= 20')
+def vector_topk(spark, d):
+    return pairs.vector_topk(*_even_odd(spark, d), 20).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(f"WITH p AS ({_EVEN_ODD}) SELECT query_id, c_label person, round(max(sim), 4) similarity FROM p GROUP BY ALL")
+def max_per_person(spark, d):
+    q, c = _even_odd(spark, d)
+    p = pairs.cross(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), c.select(F.col("label").alias("person"), F.col("embedding").alias("_c")))
+    return p.groupBy("query_id", "person").agg(F.round(F.max(vector.dot(F.col("_q"), F.col("_c"))), 4).alias("similarity"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) norm FROM {embeddings}")
+def l2_normalize(spark, d):
+    u = vector.unit(F.transform("embedding", lambda x: x * 3))
+    return A.vectors(spark, d).select("vec_id", F.round(F.sqrt(vector.dot(u, u)), 3).alias("norm"))
+
+
+# ------------------------------------------------------------------------- evaluation
+
+# The right candidate of an even vector: the odd one with the smallest id among those of its label.
+_TRUTH = "SELECT q.vec_id query_id, min(c.vec_id) correct_id, CASE WHEN q.label % 2 = 0 THEN 'clean' ELSE 'blur' END condition FROM {embeddings} q JOIN {embeddings} c ON q.label = c.label AND q.vec_id % 2 = 0 AND c.vec_id % 2 = 1 GROUP BY ALL"
+_META = "((query_id * 7 + candidate_id * 3) % 11) / 10.0::DOUBLE"
+_MODES = f"""WITH t AS ({_TRUTH}), p AS ({_EVEN_ODD}), z AS (SELECT *, round(greatest(0::DOUBLE, least(1::DOUBLE, (sim + 1) / 2)), 4) face, round({_META}, 4) meta FROM p),
+r AS (SELECT 'face_only' AS "mode", *, row_number() OVER (PARTITION BY query_id ORDER BY face DESC, candidate_id) rk FROM z
+ UNION ALL SELECT 'metadata_only', *, row_number() OVER (PARTITION BY query_id ORDER BY meta DESC, candidate_id) FROM z
+ UNION ALL SELECT 'face+metadata', *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.6::DOUBLE * face + 0.4::DOUBLE * meta, 4) DESC, candidate_id) FROM z),
+h AS (SELECT m."mode", t.query_id, t.condition, r.rk FROM t CROSS JOIN (SELECT unnest(['face_only', 'metadata_only', 'face+metadata']) "mode") m LEFT JOIN r ON r."mode" = m."mode" AND r.query_id = t.query_id AND r.candidate_id = t.correct_id AND r.rk <= 20)
+"""
+_RECALLS = ", ".join(f"round(avg(coalesce((rk <= {k})::INT, 0)), 6) recall_{k}" for k in evaluate.AT)
+
+
+def _modes(spark, d) -> DataFrame:
+    q, c = _even_odd(spark, d)
+    p = pairs.cross(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), c.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("_c")))
+    z = p.select("query_id", "candidate_id", F.round(scoring.face_score(vector.dot(F.col("_q"), F.col("_c"))), 4).alias("face"), F.round(((F.col("query_id") * 7 + F.col("candidate_id") * 3) % 11) / 10.0, 4).alias("meta"))
+    modes = {"face_only": F.col("face"), "metadata_only": F.col("meta"), "face+metadata": F.round(F.lit(0.6) * F.col("face") + F.lit(0.4) * F.col("meta"), 4)}
+    # the pairs and their products are made once; the three orders branch from there
+    each = z.select("query_id", "candidate_id", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("score")) for m, s in modes.items()])).alias("x")).select("query_id", "candidate_id", "x.*")
+    top = pairs.ranked(each, 20, ["mode", "query_id"], [F.desc("score"), F.asc("candidate_id")])
+    truth = q.select(F.col("vec_id").alias("query_id"), "label").join(c.select(F.col("vec_id").alias("correct_id"), "label"), "label")
+    truth = truth.groupBy("query_id", F.when(F.col("label") % 2 == 0, "clean").otherwise("blur").alias("condition")).agg(F.min("correct_id").alias("correct_id"))
+    truth = truth.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return truth.join(top.select("mode", "query_id", F.col("candidate_id").alias("correct_id"), "rank"), ["mode", "query_id", "correct_id"], "left")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("recall") or c == "mrr" else F.col(c) for c in df.columns])
+
+
+@query(_MODES + f'SELECT "mode", count(*) queries, {_RECALLS}, round(coalesce(avg(1.0::DOUBLE / rk), 0), 6) mrr FROM h GROUP BY ALL')
+def ablation(spark, d):
+    return _rounded(evaluate.metrics(_modes(spark, d), "mode"))
+
+
+@query(_MODES + f"SELECT count(*) queries, {_RECALLS} FROM h WHERE \"mode\" = 'face+metadata'")
+def recall_at_k(spark, d):
+    return _rounded(evaluate.metrics(_modes(spark, d).where("mode = 'face+metadata'"))).drop("mrr")
+
+
+@query(_MODES + "SELECT round(coalesce(avg(1.0::DOUBLE / rk), 0), 6) mrr FROM h WHERE \"mode\" = 'face+metadata'")
+def mrr(spark, d):
+    return _rounded(evaluate.metrics(_modes(spark, d).where("mode = 'face+metadata'"))).select("mrr")
+
+
+@query(f"WITH t AS ({_TRUTH}) SELECT condition, count(*) queries FROM t GROUP BY ALL")
+def condition_counts(spark, d):
+    return _modes(spark, d).where("mode = 'face_only'").groupBy("condition").agg(F.count(F.lit(1)).alias("queries"))
+
+
+_FAIL = "CASE WHEN face_width IS NULL OR face_height IS NULL OR face_width < 40 OR face_height < 40 THEN 'face_too_small' WHEN detector_score IS NULL OR detector_score < {s} THEN 'low_detector_confidence' END"
+_GATE = _FAIL.replace("{s}", "0.5")
+_SOFT = [("blurry", "blur_score < 50"), ("borderline_detector_confidence", "detector_score < 0.65"), ("small_face_margin", "least(face_width, face_height) < 60"), ("no_landmarks", "landmarks_available = false")]
+
+
+@query(
+    f"""WITH x AS ({A.DETECTIONS}) SELECT record_id, {_GATE} IS NULL usable, coalesce({_GATE}, concat_ws('; ', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SOFT)})) reasons,
+ CASE WHEN {_GATE} IS NOT NULL THEN 'unusable' ELSE ['good', 'moderate', 'poor', 'poor', 'poor'][1 + {" + ".join(f"coalesce(({c})::INT, 0)" for _, c in _SOFT)}] END quality_band FROM x"""
+)
+def quality_gate(spark, d):
+    x = A.view(spark, d, A.DETECTIONS)
+    q = quality.assessment(*[F.col(c) for c in ("face_width", "face_height", "detector_score", "blur_score", "landmarks_available")], min_blur=50.0)
+    return x.withColumn("q", q).select("record_id", "q.usable", F.array_join("q.quality_reasons", "; ").alias("reasons"), "q.quality_band")
+
+
+@query(f"WITH x AS ({A.DETECTIONS}), y AS (SELECT CASE WHEN {_GATE} IS NOT NULL THEN 'unusable' ELSE ['good', 'moderate', 'poor', 'poor', 'poor'][1 + " + " + ".join(f"coalesce(({c})::INT, 0)" for _, c in _SOFT[1:]) + "] END quality_band FROM x) SELECT quality_band, count(*) faces FROM y GROUP BY ALL")
+def quality_band(spark, d):
+    x = A.view(spark, d, A.DETECTIONS)
+    q = quality.assessment(*[F.col(c) for c in ("face_width", "face_height", "detector_score", "blur_score", "landmarks_available")])
+    return x.select(q["quality_band"].alias("quality_band")).groupBy("quality_band").agg(F.count(F.lit(1)).alias("faces"))
+
+
+@query(
+    f"""WITH x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE min_score), b AS (SELECT unnest([0, 50, 100])::DOUBLE min_blur)
+ SELECT min_score, min_blur, round(avg(({_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true))::INT), 6) enrolment_rate, count(*) faces FROM x, g, b GROUP BY ALL"""
+)
+def threshold_sweep(spark, d):
+    return evaluate.threshold_sweep(A.view(spark, d, A.DETECTIONS)).withColumn("enrolment_rate", F.round("enrolment_rate", 6))
+
+
+# ------------------------------------------------------------- enrichment and caches
+
+_SUMMARY = A.DETECTIONS.replace("CONCAT('E', CAST(event_id AS STRING)) AS record_id", "CONCAT('AM', CAST(event_id % 2003 AS STRING)) AS record_id")
+
+
+def _summary(spark, d) -> DataFrame:
+    x = A.view(spark, d, _SUMMARY).withColumn("usable", quality.failure(F.col("face_width"), F.col("face_height"), F.col("detector_score")).isNull())
+    return enrich.latest(x, "record_key")
+
+
+_LAST = f"s AS (SELECT *, {_GATE} IS NULL usable FROM ({_SUMMARY}) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY record_key DESC) = 1)"
+
+
+@query(f"WITH r AS ({A.AM}), {_LAST} SELECT r.record_id, r.name, s.usable, s.detector_score, s.face_width, s.face_height, s.blur_score FROM r LEFT JOIN s USING (record_id)")
+def enrich_left_join(spark, d):
+    x = enrich.enrich(A.am(spark, d).select("record_id", "name"), _summary(spark, d).withColumn("processed_at", F.col("record_key")))
+    return x.select("record_id", "name", "usable", "detector_score", "face_width", "face_height", "blur_score")
+
+
+@query(f"WITH {_LAST} SELECT vec_id, label FROM {{embeddings}} WHERE concat('AM', vec_id::VARCHAR) IN (SELECT record_id FROM s WHERE usable)")
+def usable_semi_join(spark, d):
+    v = A.vectors(spark, d).withColumn("record_id", F.concat(F.lit("AM"), F.col("vec_id").cast("string")))
+    return enrich.usable_vectors(_summary(spark, d), v).select("vec_id", "label")
+
+
+_MANIFEST = "SELECT concat('D', doc_id::VARCHAR) record_id, sha256(text) image_sha256, 'pluggable-encoder-1' model_version FROM {documents}"
+_REUSE = "c.record_id = m.record_id AND c.image_sha256 = m.image_sha256 AND c.model_version = m.model_version AND (NOT c.usable OR c.vector_exists)"
+
+
+def _manifest(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("record_id"), F.sha2("text", 256).alias("image_sha256"), F.lit("pluggable-encoder-1").alias("model_version"))
+
+
+@query(f"WITH m AS ({_MANIFEST}), c AS ({A.CACHE}) SELECT record_id FROM m WHERE EXISTS (SELECT 1 FROM c WHERE {_REUSE})")
+def cache_hits(spark, d):
+    return enrich.cache_hits(_manifest(spark, d), A.view(spark, d, A.CACHE)).select("record_id")
+
+
+@query(f"WITH m AS ({_MANIFEST}), c AS ({A.CACHE}) SELECT record_id FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE {_REUSE})")
+def cache_misses(spark, d):
+    return enrich.cache_misses(_manifest(spark, d), A.view(spark, d, A.CACHE)).select("record_id")
+
+
+@query()
+def encoder_fake(spark, d):
+    images = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").cast("binary").alias("content"))
+    return enrich.encode(images, enrich.digest_encoder)
+
+
+# ------------------------------------------------------------------- counts and pages
+
+
+@query(
+    f"""WITH a AS ({A.AM}), p AS ({A.PM}) SELECT 'AM' record_type, count(*) records, count(embedding) indexed, count(event_day) dated, count(location) located FROM a
+ UNION ALL SELECT 'PM', count(*), count(embedding), count(event_day), count(location) FROM p"""
+)
+def registry_stats(spark, d):
+    one = lambda name, x: x.agg(F.lit(name).alias("record_type"), F.count(F.lit(1)).alias("records"), F.count("embedding").alias("indexed"), F.count("event_day").alias("dated"), F.count("location").alias("located"))
+    return one("AM", A.am(spark, d)).unionByName(one("PM", A.pm(spark, d)))
+
+
+@query(
+    BASE
+    + f"""SELECT count(*) pairs, round(avg(pair_vision_conflict::INT), 6) disagreement_rate, count(*) FILTER ("rank" = 1 AND final_score > 0.7) strong_first FROM ({_top("pm", 20)})"""
+)
+def candidate_report(spark, d):
+    top = face_fallback_topk(spark, d)
+    return top.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("pair_vision_conflict").cast("int")), 6).alias("disagreement_rate"), F.count_if((F.col("rank") == 1) & (F.col("final_score") > 0.7)).alias("strong_first"))
+
+
+@query(f"WITH a AS ({A.AM}) SELECT province, count(*) records, count(embedding) with_vector FROM a GROUP BY ALL")
+def province_counts(spark, d):
+    return A.am(spark, d).groupBy("province").agg(F.count(F.lit(1)).alias("records"), F.count("embedding").alias("with_vector"))
+
+
+@query(f"WITH a AS ({A.AM}) SELECT record_id, name, count(*) OVER () total, embedding IS NOT NULL has_face, concat('/images/', record_id, '.jpg') image_url FROM a ORDER BY pos LIMIT 50 OFFSET 20")
+def page_offset_limit(spark, d):
+    a = A.am(spark, d)
+    total = a.agg(F.count(F.lit(1)).alias("total"))
+    page = a.orderBy("pos").offset(20).limit(50)
+    url = text.image_url(F.concat(F.lit(text.IMAGE_ROOT), "record_id", F.lit(".jpg")))
+    return page.crossJoin(F.broadcast(total)).select("record_id", "name", "total", F.col("embedding").isNotNull().alias("has_face"), url.alias("image_url"))  # one row
+
+
+# --------------------------------------------------------------------------- dates
+
+_RAW = """CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN concat((2070 + event_id % 14)::VARCHAR, '/', (1 + event_id % 12)::VARCHAR, '/', (1 + event_id % 32)::VARCHAR) WHEN 2 THEN concat('bs ', (2070 + event_id % 20)::VARCHAR, '.5.12')
+ WHEN 3 THEN concat(strftime(ts, '%Y-%m-%d'), ' A.D') WHEN 4 THEN 'not known' WHEN 5 THEN '2025-02-31' WHEN 6 THEN concat((1960 + event_id % 200)::VARCHAR, '-13-01') END"""
+
+
+def _raw_dates(spark, d) -> DataFrame:
+    e, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    s = lambda c: c.cast("string")
+    raw = (
+        F.when(e % 8 == 0, day)
+        .when(e % 8 == 1, F.concat(s(e % 14 + 2070), F.lit("/"), s(e % 12 + 1), F.lit("/"), s(e % 32 + 1)))
+        .when(e % 8 == 2, F.concat(F.lit("bs "), s(e % 20 + 2070), F.lit(".5.12")))
+        .when(e % 8 == 3, F.concat(day, F.lit(" A.D")))
+        .when(e % 8 == 4, "not known")
+        .when(e % 8 == 5, "2025-02-31")
+        .when(e % 8 == 6, F.concat(s(e % 200 + 1960), F.lit("-13-01")))
+    )
+    return read(spark, d, "events").select("event_id", raw.alias("event_date"))
+
+
+_CALENDAR = "(VALUES " + ", ".join(f"({y}, {m}, {n}, DATE '{s}')" for y, m, n, s in dates.bs_rows()) + ") cal(cy, cm, cd, cs)"
+_DATES = f"""WITH e AS (SELECT event_id, {_RAW} raw FROM {{events}}), p AS (SELECT *, nullif(regexp_extract(raw, '([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})', 1), '')::INT y,
+ nullif(regexp_extract(raw, '([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})', 2), '')::INT mo, nullif(regexp_extract(raw, '([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})', 3), '')::INT dy FROM e),
+k AS (SELECT *, CASE WHEN y IS NULL THEN 'unknown' WHEN contains(lower(raw), 'a.d') OR (NOT contains(lower(raw), 'bs ') AND y <= 2050) THEN 'AD' WHEN y BETWEEN 1975 AND 2100 THEN 'BS' ELSE 'unknown' END c FROM p),
+j AS (SELECT k.*, CASE c WHEN 'AD' THEN try_cast(printf('%04d-%02d-%02d', y, mo, dy) AS DATE) WHEN 'BS' THEN CASE WHEN dy BETWEEN 1 AND cd THEN cs + (dy - 1)::INT END END nd FROM k LEFT JOIN {_CALENDAR} ON c = 'BS' AND y = cy AND mo = cm),
+o AS (SELECT event_id, CASE WHEN nd IS NULL THEN 'unknown' ELSE c END calendar_type, coalesce(strftime(nd, '%Y-%m-%d'), '') event_date_normalized FROM j)
+"""
+
+
+@query(_DATES + "SELECT * FROM o")
+def date_normalize(spark, d):
+    x = dates.normalize_dates(_raw_dates(spark, d))
+    return x.select("event_id", "calendar_type", F.coalesce(F.date_format("event_date_normalized", "yyyy-MM-dd"), F.lit("")).alias("event_date_normalized"))
+
+
+@query(_DATES + "SELECT calendar_type, count(*) records FROM o GROUP BY ALL")
+def calendar_counts(spark, d):
+    return dates.normalize_dates(_raw_dates(spark, d)).groupBy("calendar_type").agg(F.count(F.lit(1)).alias("records"))
+
+
+# ---------------------------------------------------------------------------- texts
+
+
+@query("SELECT event_id, event_id::VARCHAR latin FROM {events}")
+def digit_translit(spark, d):
+    e = read(spark, d, "events").select("event_id", F.translate(F.col("event_id").cast("string"), text.LATIN, text.DEVANAGARI).alias("deva"))
+    return e.select("event_id", text.latin_digits(F.col("deva")).alias("latin"))
+
+
+@query("SELECT event_id, list_sum(list_transform(regexp_extract_all(props, '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE)) total, len(regexp_extract_all(props, '[0-9]+(?:\\.[0-9]+)?'))::INT numbers FROM {events}")
+def number_extract(spark, d):
+    n = text.all_numbers(F.col("props"))
+    total = F.when(F.size(n) > 0, F.aggregate(n, F.lit(0.0), lambda s, x: s + x))
+    return read(spark, d, "events").select("event_id", total.alias("total"), F.size(n).alias("numbers"))
+
+
+_HEIGHT = "CASE event_id % 5 WHEN 0 THEN concat((4 + event_id % 3)::VARCHAR, ' ft ', (event_id % 12)::VARCHAR) WHEN 1 THEN concat((140 + event_id % 60)::VARCHAR, ' cm') WHEN 2 THEN (4 + event_id % 4)::VARCHAR WHEN 3 THEN (150 + event_id % 40)::VARCHAR END"
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN round((4 + event_id % 3) * 30.48::DOUBLE + (event_id % 12) * 2.54::DOUBLE, 1) WHEN 1 THEN (140 + event_id % 60)::DOUBLE WHEN 2 THEN round((4 + event_id % 4) * 30.48::DOUBLE, 1) WHEN 3 THEN (150 + event_id % 40)::DOUBLE END height_cm FROM {events}")
+def height_to_cm(spark, d):
+    e, s = F.col("event_id"), lambda c: c.cast("string")
+    raw = F.when(e % 5 == 0, F.concat(s(e % 3 + 4), F.lit(" ft "), s(e % 12))).when(e % 5 == 1, F.concat(s(e % 60 + 140), F.lit(" cm"))).when(e % 5 == 2, s(e % 4 + 4)).when(e % 5 == 3, s(e % 40 + 150))
+    return read(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", text.height_to_cm(F.col("raw")).alias("height_cm"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' WHEN 3 THEN 'male' ELSE 'x-unlisted' END sex FROM {events}")
+def sex_canonical(spark, d):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("पुरुष", "महिला", "अन्य", " Male ", "X-Unlisted")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", text.canonical_sex(raw).alias("sex"))
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, {_normal('text')} n FROM {{conversations}}) SELECT a.conv_id, a.turn, len(list_intersect(list_distinct(str_split(a.n, ' ')), list_distinct(str_split(b.n, ' '))))::INT shared FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def token_overlap(spark, d):
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(F.split(F.nullif(text.normalize_ascii(F.col("text")), F.lit("")), " ")).alias("tokens"))
+    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tokens").alias("next"))
+    return t.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_intersect("tokens", "next")).alias("shared"))
+
+
+@query()
+def text_nfkc(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+@query("SELECT doc_id, sha256(text) digest FROM {documents}")
+def sha256_content(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT doc_id, concat('PM-LIST-p', (doc_id % 9)::VARCHAR, '-i', CASE WHEN doc_id % 4 = 0 THEN '0' ELSE doc_id::VARCHAR END) record_id FROM {documents}")
+def record_id_synth(spark, d):
+    i = F.col("doc_id")
+    image = F.when(i % 4 == 0, F.lit("cover.jpg")).otherwise(F.concat(F.lit("p_i"), i.cast("string"), F.lit(".jpg")))
+    return read(spark, d, "documents").select("doc_id", text.list_record_id(i % 9, image).alias("record_id"))
+
+
+@query("SELECT page_id, concat('/images/', url) image_url FROM {pages}")
+def image_url(spark, d):
+    return read(spark, d, "pages").select("page_id", text.image_url(F.concat(F.lit(text.IMAGE_ROOT), "url")).alias("image_url"))
+
+
+@query("SELECT page_id, id FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'ad ([0-9]+)', 1))) id FROM {pages})")
+def link_ids(spark, d):
+    return read(spark, d, "pages").select("page_id", F.explode(text.link_ids(F.col("html"), "ad ")).alias("id"))
+
+
+@query("SELECT doc_id, coalesce(list_filter(list_transform(str_split(concat('12|', (doc_id % 5)::VARCHAR, '| ', source, ' |', lang), '|'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_full_match(x, '[०-९0-9]+'))[1], '') tag FROM {documents}")
+def disaster_tag(spark, d):
+    joined = F.concat(F.lit("12|"), (F.col("doc_id") % 5).cast("string"), F.lit("| "), F.col("source"), F.lit(" |"), F.col("lang"))
+    return read(spark, d, "documents").select("doc_id", text.disaster_tag(text.tokens(joined)).alias("tag"))
+
+
+@query("SELECT doc_id, lang AS language, concat(source, ' ', (doc_id % 7)::VARCHAR) origin, 'pre' preamble FROM {documents}")
+def token_stream_parse(spark, d):
+    details = F.concat_ws("|", F.lit("pre"), F.lit("भाषा :-"), F.col("lang"), F.lit("स्रोत:-"), F.col("source"), F.lit(" "), (F.col("doc_id") % 7).cast("string"))
+    x = read(spark, d, "documents").select("doc_id", text.tokens(details).alias("parts")).withColumn("m", text.label_values(F.col("parts")))
+    return x.select("doc_id", F.try_element_at("m", F.lit("भाषा")).alias("language"), F.try_element_at("m", F.lit("स्रोत")).alias("origin"), F.array_join(text.preamble(F.col("parts")), " ").alias("preamble"))
+
+
+@query()
+def html_sections(spark, d):
+    x = sources.html_sections(read(spark, d, "pages"))
+    return x.select("page_id", "name", F.size("sections").alias("n_sections"))
+
+
+# -------------------------------------------------------------------------- reviews
+
+_DECISION = "['Potential', 'not likely-candidate', 'insufficient evidence', 'REJECTED', 'maybe'][1 + event_id % 5]"
+
+
+def _reviews(spark, d) -> DataFrame:
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("event_id") % len(x) + 1).cast("int"))
+    return read(spark, d, "events").select(
+        "event_id", F.concat(F.lit("PM"), (F.col("user_id") % 50).cast("string")).alias("pm_record_id"), F.concat(F.lit("AM"), (F.col("event_id") % 90).cast("string")).alias("am_record_id"),
+        pick("Potential", "not likely-candidate", "insufficient evidence", "REJECTED", "maybe").alias("decision"), pick("not_examined", "", "excluded", "unheard").alias("forensic_status"), F.col("event_type").alias("notes"),
+    )
+
+
+@query(f"SELECT event_id, CASE {_DECISION} WHEN 'Potential' THEN 'potential' WHEN 'not likely-candidate' THEN 'rejected' WHEN 'insufficient evidence' THEN 'inconclusive' WHEN 'REJECTED' THEN 'rejected' END decision, event_id % 4 <> 3 valid_status FROM {{events}}")
+def review_canonical(spark, d):
+    return _reviews(spark, d).select("event_id", review.canonical_decision(F.col("decision")).alias("decision"), review.valid_status(F.col("forensic_status")).alias("valid_status"))
+
+
+@query(
+    f"""SELECT concat('PM', (user_id % 50)::VARCHAR) pm_record_id, concat('AM', (event_id % 90)::VARCHAR) am_record_id, CASE event_id % 5 WHEN 0 THEN 'potential' WHEN 2 THEN 'inconclusive' ELSE 'rejected' END decision,
+ ['not_examined', '', 'excluded'][1 + event_id % 4] forensic_status, event_type notes, '{RANKING_VERSION}' ranking_model_version FROM {{events}} WHERE event_id % 5 <> 4 AND event_id % 4 <> 3"""
+)
+def review_append_view(spark, d):
+    good, _ = review.validate(_reviews(spark, d))
+    return good.select("pm_record_id", "am_record_id", "decision", "forensic_status", "notes", "ranking_model_version")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'invalid target' WHEN event_id % 11 = 0 THEN 'invalid sex' WHEN event_id % 4 = 3 THEN 'unsupported file type' WHEN event_id % 13 = 0 THEN 'empty file' END error,
+ CASE WHEN event_id % 3 = 0 THEN 'UPLOAD:unnamed' ELSE concat('UPLOAD:', event_type) END review_id FROM {events}"""
+)
+def upload_validation(spark, d):
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("a.JPG", "b.png", "c.webp", "d.pdf")]), (e % 4 + 1).cast("int"))
+    x = read(spark, d, "events").select(
+        "event_id", "event_type", kind.alias("name"), F.when(e % 13 != 0, F.col("props").cast("binary")).alias("content"), F.lit(None).cast("string").alias("content_type"), F.when(e % 7 == 0, "xx").otherwise("am").alias("target"), F.when(e % 11 == 0, "??").otherwise("Male").alias("sex")
+    )
+    return review.upload_error(x).select("event_id", "error", review.upload_review_id(F.when(e % 3 != 0, F.col("event_type"))).alias("review_id"))
