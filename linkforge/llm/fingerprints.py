@@ -12,6 +12,8 @@ follow each other in the order of their texts. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -65,8 +67,8 @@ def edits(a: Column, b: Column) -> Column:
     return F.filter(F.transform(own, lambda x, i: F.when(~F.array_contains(other, x), i)), lambda i: i.isNotNull())
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`rows` with `next`, the struct of `columns` of the row after it in descending doc_id; the last has the first's.
+def with_next(rows: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """`finish(rows)` with `next`, the struct of `columns` of the row after it in descending doc_id; the last has the first's.
 
     Rows are dealt into ranges of doc_id. Only the top row of each range, at most `RANGES`, is looked up by another.
     """
@@ -76,23 +78,23 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     step = (high - low) // ranges + 1
     ranged = rows.withColumn("range", F.floor((F.coalesce("doc_id", F.lit(low)) - low) / step))
     order = W.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
-    inside = ranged.withColumn("next", F.lead(F.struct(*columns)).over(order))
+    inside = finish(ranged).withColumn("next", F.lead(F.struct(*columns)).over(order))
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id"))  # at most RANGES rows
     below = tops.withColumn("below", F.coalesce(F.lag("range").over(W.orderBy("range")), F.max("range").over(W.partitionBy())))
     first = W.partitionBy("range").orderBy("text")
     heads = ranged.join(F.broadcast(tops.withColumnRenamed("doc_id", "top")), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("range").alias("below"), F.struct(*columns).alias("head"))
+    heads = finish(heads.withColumn("k", F.row_number().over(first)).where("k = 1")).select(F.col("range").alias("below"), F.struct(*columns).alias("head"))
     over = below.join(heads, "below").select("range", "head")
     return inside.join(over, "range", "left").withColumn("next", F.coalesce("next", "head")).drop("range", "head")
 
 
 def fingerprint_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_leaves of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has the last half of its code points replaced by as many of the next document's first.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    both = with_next(with_fingerprint(rows, "text", "fingerprint"), ["text", "fingerprint"])
+    both = with_next(rows, lambda d: with_fingerprint(d, "text", "fingerprint"), ["text", "fingerprint"])
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
