@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, media, mixing, ngram_join, packing, quality, sharding, suffix
+from . import chat, fingerprints, langid, media, mixing, ngram_join, packing, quality, sharding, sql, suffix
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,4 +76,8 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_document_fingerprints": sql.FINGERPRINTS,
+    "op8_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op10_suffix_array_dedup": sql.SUFFIX_ARRAY,
+}
