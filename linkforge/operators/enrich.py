@@ -43,6 +43,30 @@ def cache_misses(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     return manifest.alias("m").join(cache.alias("c"), _reusable(), "left_anti")
 
 
+MODEL_VERSION = "pluggable-encoder-1"
+
+
+def manifest_status(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """Every record of (record_id, image_path) with its image, or with the reason that it has none."""
+    d = manifest.join(images.select("record_id", "content", "image_sha256"), "record_id", "left")
+    why = F.when(F.coalesce("image_path", F.lit("")) == "", "no_image_path").when(F.col("image_sha256").isNull(), "image_file_missing").when(F.length("content") == 0, "unreadable_image")
+    return d.withColumn("failure_reason", why)
+
+
+def best_face(faces: DataFrame, by: str = "record_id", score: str = "detector_score", order: str = "face_no") -> DataFrame:
+    """The face of each image with the highest detector score, the first of equals."""
+    best = W.partitionBy(by).orderBy(F.desc_nulls_last(score), F.asc(order))
+    return faces.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+
+
+def run_counts(manifest: DataFrame, cache: DataFrame, summary: DataFrame) -> DataFrame:
+    """Records of a run, how many the cache answered, and how many have a usable face."""
+    reused = cache_hits(manifest, cache).select("record_id", F.lit(True).alias("reused"))
+    usable = summary.where("usable").select("record_id", F.lit(True).alias("good"))
+    d = manifest.select("record_id").join(reused, "record_id", "left").join(usable, "record_id", "left")
+    return d.agg(F.count(F.lit(1)).alias("records"), F.count("reused").alias("reused"), F.count("good").alias("usable"))
+
+
 Encoder = Callable[[list[bytes]], list[list[float]]]
 
 

@@ -66,6 +66,17 @@ def ranked(rows: DataFrame, k: int, by: list[str], order: list[Column] | None =
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= max(1, k))
 
 
+def narrow(pairs: DataFrame, q: str, c: str) -> DataFrame:
+    """What a ranking needs of a pair: the rest is joined back for the few pairs that stay."""
+    return pairs.select(F.col(f"{q}pos").alias("query_pos"), F.col(f"{c}pos").alias("candidate_pos"), "final_score", *[x for x in ("similarity",) if x in pairs.columns])
+
+
+def rejoined(top: DataFrame, query: DataFrame, gallery: DataFrame, q: str, c: str) -> DataFrame:
+    """Both records of each ranked pair, by their positions, which are unique in a registry."""
+    kept = top.select("query_pos", "candidate_pos", "rank")
+    return kept.join(query, F.col("query_pos") == F.col(f"{q}pos")).join(gallery, F.col("candidate_pos") == F.col(f"{c}pos"))
+
+
 def search(am: DataFrame, pm: DataFrame, query_type: str, k: int = 20, first_stage: int | str | None = "all", face_weight: float = scoring.FACE_WEIGHT) -> DataFrame:
     """Top `k` of the other registry for every record of `query_type` (`am` or `pm`).
 
@@ -73,31 +84,30 @@ def search(am: DataFrame, pm: DataFrame, query_type: str, k: int = 20, first_sta
     With a first stage smaller than the gallery, only its nearest vectors are ranked.
     """
     q, c = ("am_", "pm_") if query_type == "am" else ("pm_", "am_")
-    a, p = prefixed(am, "am_"), prefixed(pm, "pm_")
-    gallery = pm if query_type == "am" else am
-    indexed = gallery.where("embedding is not null").limit(vector.EXACT_CEILING + 1).count()
+    query, gallery = (prefixed(am, "am_"), prefixed(pm, "pm_")) if query_type == "am" else (prefixed(pm, "pm_"), prefixed(am, "am_"))
+    indexed = gallery.where(f"{c}embedding is not null").limit(vector.EXACT_CEILING + 1).count()
     rule = F.col(f"{q}embedding").isNull() | F.col(f"{c}embedding").isNotNull() if indexed else F.lit(True)
-    large, small = (a, p) if query_type == "am" else (p, a)
-    pairs = scored(cross(small, large, rule), face_weight) if query_type == "pm" else scored(cross(large, small, rule), face_weight)
-    d = pairs.withColumns({"candidate_pos": F.col(f"{c}pos"), "has_face": F.col("similarity").isNotNull()})
+    large, small = (query, gallery) if query_type == "am" else (gallery, query)
+    d = narrow(scored(cross(large, small, rule), face_weight), q, c)
     keep = vector.first_stage_k(first_stage, indexed)
     if 0 < keep < indexed:
-        near = F.row_number().over(W.partitionBy(f"{q}record_id").orderBy(F.desc_nulls_last("similarity"), F.asc(f"{c}pos")))
-        d = d.where("has_face").withColumn("_near", near).where(F.col("_near") <= keep).drop("_near").unionByName(d.where("not has_face"))
-    top = ranked(d, k, [f"{q}record_id"])
+        near = F.row_number().over(W.partitionBy("query_pos").orderBy(F.desc_nulls_last("similarity"), F.asc("candidate_pos")))
+        d = d.withColumn("_near", near).where((F.col("_near") <= keep) | F.col("similarity").isNull()).drop("_near")
+    top = scored(rejoined(ranked(d, k, ["query_pos"]), query, gallery, q, c), face_weight)
     other = "pm" if query_type == "am" else "am"
     return top.select(
         F.lit(query_type).alias("query_type"), F.col(f"{q}record_id").alias("query_record_id"), F.lit(other).alias("candidate_type"), F.col(f"{c}record_id").alias("candidate_record_id"), "rank",
-        "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("has_face"), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
+        "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("similarity").isNotNull(), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
     )
 
 
 def metadata_search(am: DataFrame, pm: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
     """PM to AM by metadata alone over the whole gallery."""
-    pairs = cross(prefixed(am.drop("embedding"), "am_"), prefixed(pm.drop("embedding"), "pm_"))
-    d = pairs.withColumns(scoring.components()).withColumn("final_score", scoring.metadata_score()).where(F.col("final_score") >= min_score)
-    top = ranked(d, k, ["pm_record_id"], [F.desc("final_score"), F.asc("am_pos")])
-    return top.select("pm_record_id", "am_record_id", "rank", "final_score", *scoring.COMPONENTS)
+    a, p = prefixed(am.drop("embedding"), "am_"), prefixed(pm.drop("embedding"), "pm_")
+    score = lambda x: x.withColumns(scoring.components()).withColumn("final_score", scoring.metadata_score())
+    d = narrow(score(cross(a, p)).where(F.col("final_score") >= min_score), "pm_", "am_")
+    top = ranked(d, k, ["query_pos"], [F.desc("final_score"), F.asc("candidate_pos")])
+    return score(rejoined(top, p, a, "pm_", "am_")).select("pm_record_id", "am_record_id", "rank", "final_score", *scoring.COMPONENTS)
 
 
 def transient(query: DataFrame, gallery: DataFrame, target: str, k: int = 20) -> DataFrame:

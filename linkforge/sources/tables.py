@@ -158,6 +158,38 @@ def import_list(rows: DataFrame) -> DataFrame:
     )
 
 
+# Labels of the detail pages.
+PLACES = {"province": ["प्रदेश"], "district": ["जिल्ला"], "municipality": ["पालिका", "नगरपालिका", "गाउँपालिका"]}
+LABELS = {"sex": ["लिङ्ग"], "age": ["उमेर", "अनुमानित उमेर"], "height": ["उचाइ"], "event_date": ["मिति", "हराएको मिति", "फेला परेको मिति"], "clothing": ["पोशाक", "लुगा"], "marks": ["विशेष चिन्ह", "हुलिया"]}
+
+
+def import_details(details: DataFrame, record_type: str) -> DataFrame:
+    """Registry records from raw detail pages; PM pages carry no name of the person."""
+    find = lambda names: text.clean(text.find_first(F.col("sections"), names, strip=True))
+    known = lambda c: F.nullif(c, F.lit(""))
+    low, high = text.first_last(text.all_numbers(find(LABELS["age"])))
+    places = {c: known(find(names)) for c, names in PLACES.items()}
+    return conform(
+        details.select(
+            "record_id", F.lit(record_type).alias("record_type"), (F.lit(None).cast("string") if record_type == "PM" else known(text.clean(F.col("name")))).alias("name"), known(text.canonical_sex(find(LABELS["sex"]))).alias("sex"),
+            low.alias("age_min"), high.alias("age_max"), text.height_to_cm(known(find(LABELS["height"]))).alias("height_cm"), known(find(LABELS["event_date"])).alias("event_date"),
+            known(F.concat_ws(" ", *places.values())).alias("location"), *[c.alias(n) for n, c in places.items()], known(find(LABELS["clothing"])).alias("clothing"), known(find(LABELS["marks"])).alias("distinguishing_marks"),
+        ),
+        PERSON,
+    )
+
+
+def import_coverage(registry: DataFrame) -> DataFrame:
+    """How many imported records have a date, an age, a location and an image."""
+    return registry.agg(F.count(F.lit(1)).alias("records"), F.count("event_date").alias("dated"), F.count("age_min").alias("aged"), F.count("location").alias("located"), F.count("image_path").alias("pictured"))
+
+
+def backfill_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Records whose location changed, and those still without one."""
+    old = before.select("record_id", F.col("location").alias("_old"))
+    return after.join(old, "record_id").agg(F.count_if(~F.col("location").eqNullSafe(F.col("_old"))).alias("updated"), F.count_if(F.col("location").isNull()).alias("still_blank"))
+
+
 def backfill_location(registry: DataFrame, details: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     """Location parts from raw details where there are any; without a detail page a record stays as it is."""
     found = details.select("record_id", *[text.find_first(F.col("sections"), names, strip=True).alias(f"_{c}") for c, names in labels.items()])
