@@ -22,6 +22,7 @@ is a key; rows that share a doc_id share its links. An empty table gives no rows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,8 @@ def _blocks(buckets: int, k: int):
                     continue
                 n = np.array([len(s) for s in sets], np.int32)
                 h, text = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), n)
-                block = int.from_bytes(names[0][:8], "little", signed=True) ^ len(names)
+                # from all names: only blocks of the same texts share an id
+                block = int.from_bytes(hashlib.blake2b(b"".join(names), digest_size=8).digest(), "little", signed=True)
                 bucket = ((h >> U64(48)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket.astype(np.int32), kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -111,7 +113,9 @@ def _orders(percent: int):
         """Each text's repeated shingles, rarest first; null where its prefix holds none."""
         kind, bucket = group.column("kind").to_numpy(), group.column("bucket").to_numpy()
         data = group.column("data")
-        head = data[int(np.flatnonzero(kind == TEXTS)[0])].as_py()
+        head, *same = (data[int(i)].as_py() for i in np.flatnonzero(kind == TEXTS))
+        if any(x != head for x in same):
+            raise ValueError("blocks of different texts share an id")
         count = len(head) // 20
         names = [head[16 * i : 16 * i + 16] for i in range(count)]
         n = np.frombuffer(head, np.int32, count, 16 * count)

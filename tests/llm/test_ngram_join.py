@@ -43,6 +43,17 @@ def test_chains_of_near_copies(spark):
     assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
 
 
+def test_small_partitions_that_start_with_the_same_text(spark):
+    """Each partition holds a copy of one text and a text of its own; every second of those repeats the one before but for a word."""
+    copy, rows = " ".join(f"c{i}" for i in range(30)), []
+    for k in range(40):
+        own = [f"t{k // 2}x{i}" for i in range(40 + k // 2)] + [f"last{k}"]
+        rows += [(2 * k, copy), (2 * k + 1, " ".join(own))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), "doc_id long, text string")
+    assert docs.rdd.glom().map(lambda part: [r["text"] == copy for r in part]).collect() == [[True, False]] * 40
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
+
+
 def test_one_of_each_keeps_rows_whole(spark):
     docs = frame(spark)
     out = ngram_join.one_of_each(docs)
