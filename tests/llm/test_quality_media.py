@@ -65,6 +65,14 @@ def test_copies_are_found(spark):
     assert media.image_copies(empty).count() == 0
 
 
+def test_drawn_pictures_keep_their_corners(spark):
+    vectors = np.random.default_rng(3).normal(size=(20, 64)).tolist()
+    drawn = media.pictures(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    grey = [media.decode(bytes(r["content"])) for r in drawn]
+    assert {x.shape for x in grey} == {(96, 96)}
+    assert all(len(media.corners(x)[0]) == media.CORNERS for x in grey)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 4), st.integers(1, 3))
 def test_png_round_trip(kind, seed):
