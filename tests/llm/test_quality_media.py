@@ -65,6 +65,24 @@ def test_copies_are_found(spark):
     assert media.image_copies(empty).count() == 0
 
 
+def test_tables_propose_what_the_consensus_accepts():
+    """Pairs with the fewest corners that agree, each at the most bits; then a strong blur, as all pairs confirm it."""
+    rng, met = np.random.default_rng(11), []
+    for _ in range(300):
+        a = rng.integers(0, 256, (media.INLIERS, 32), dtype=np.uint8)
+        flips = rng.random(a.shape[:1] + (256,)).argsort(1) < media.BITS
+        b = a ^ np.packbits(flips, axis=1)
+        met.append(np.isin(media.keys_of(a.tobytes())[1], media.keys_of(b.tobytes())[1]).any())
+    assert np.mean(met) > 0.95, np.mean(met)
+    for k in range(40):
+        x = y = picture(k).astype(float)
+        for _ in range(20):
+            y = media.smooth(y)
+        (p, c), (q, d) = media.corners(x), media.corners(np.rint(y))
+        if media.consensus(p, c, q, d) >= media.INLIERS:
+            assert np.isin(media.keys_of(c.tobytes())[1], media.keys_of(d.tobytes())[1]).any(), k
+
+
 def test_drawn_pictures_keep_their_corners(spark):
     vectors = np.random.default_rng(3).normal(size=(20, 64)).tolist()
     drawn = media.pictures(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
