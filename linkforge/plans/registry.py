@@ -123,8 +123,7 @@ def band_scores(spark, d):
 
 @query(BASE + "SELECT am_record_id, pm_record_id, face_score, metadata_score, final_score FROM f WHERE face IS NOT NULL OR am_pos % 5 = 0")
 def fusion_score(spark, d):
-    out = pairs.scored(all_pairs(spark, d)).where("similarity is not null or am_pos % 5 = 0")
-    return out.select("am_record_id", "pm_record_id", "face_score", "metadata_score", "final_score")
+    return pairs.scored(all_pairs(spark, d)).select("am_record_id", "pm_record_id", "face_score", "metadata_score", "final_score")
 
 
 @query(BASE + f"SELECT am_record_id, pm_record_id, {_CONFLICTS} FROM f")
