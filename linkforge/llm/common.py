@@ -7,9 +7,11 @@ session names, so a lost executor costs a recomputation and never a result.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,17 @@ _MASK = (1 << 64) - 1
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; its own temporary one only where none is set."""
+    """The shared folder of the session; in local mode, where executors are the driver, its own if none is set."""
     sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not have.isDefined():
             sc.setCheckpointDir(named)
         return named
-    have = sc._jsc.sc().getCheckpointDir()
     if not have.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkforge-"))
         have = sc._jsc.sc().getCheckpointDir()
     return str(have.get())
@@ -45,13 +49,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Compute `df` now and keep it as Parquet in the shared folder: for wide or large rows."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/linkforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at its end; what has to outlive them is written to a table after it."""
+    mark = len(_made)
+    yield
+    for path in _made[mark:]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    del _made[mark:]
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what is no longer referenced, so that executors delete its shuffle files."""
     gc.collect()
@@ -79,6 +98,11 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
+    """A power of two of hash buckets, so that one holds what about `each` bytes of text give, whatever the corpus."""
+    return 1 << min(20, max(8, (n_bytes // each).bit_length(), (width(spark) - 1).bit_length()))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,11 +137,11 @@ def text_chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES, row
         lo = hi
 
 
-def prefix_sums(buf: np.ndarray, table: np.ndarray = None) -> np.ndarray:
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Running sums from which `span_hash` takes the hash of any span."""
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_BYTE if table is None else table)[buf] * powers(_P, len(buf)), out=total[1:])
+    np.cumsum(_BYTE[buf] * powers(_P, len(buf)), out=total[1:])
     return total
 
 
@@ -162,11 +186,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-_LOWER_HASH = _BYTE[_LOWER]
+#: A random number for each byte at each of 256 places in a word; bytes that are no part of words count nothing.
+_PLACED = _random(256 * 256, 11).reshape(256, 256)[:, _LOWER]
+_PLACED[:, ~_WORD] = 0
+_PLACED = np.ascontiguousarray(_PLACED).reshape(-1)
+#: Bytes of which words are hashed at once.
+PIECE = 1 << 20
+
+
+def _placed(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What bytes at these places of their words add to the words' hashes."""
+    out = _PLACED[((place & 255) << 8) | x]
+    far = np.flatnonzero((place > 255) & (out != 0))  # rare: later bytes of very long words are mixed with their place
+    out[far] = mix(out[far] + (place[far] >> 8).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    return out
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z lowered, and each text's first word's index."""
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z lowered, and each text's first word's index.
+
+    A hash is a sum of random numbers drawn for each byte and place, so no pair of words is bound to collide.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
@@ -182,8 +222,21 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] = inside[1:]
     after[edges[edges > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    h = span_hash(prefix_sums(buf, _LOWER_HASH), start, end)
-    return h, np.searchsorted(start, off)
+    h = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
+        s, e = start[i:j], int(end[j - 1])
+        if e - s[0] > PIECE:  # one word longer than a piece
+            h[i] = 0
+            for lo in range(int(s[0]), e, PIECE):
+                hi = min(e, lo + PIECE)
+                h[i] += _placed(buf[lo:hi], np.arange(lo, hi) - s[0]).sum()
+        else:
+            place = np.arange(s[0], e) - np.repeat(s, np.diff(np.append(s, e)))
+            h[i:j] = np.add.reduceat(_placed(buf[s[0] : e], place), s - s[0])
+        i = j
+    return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93)), np.searchsorted(start, off)
 
 
 _C = _random(8, 23)
@@ -222,16 +275,16 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndarra
 # ----------------------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every end of `edges`; component is the smallest id that it reaches.
 
     Alternates the large-star and small-star steps, each one shuffle with a partial minimum, until
-    the edge set stands still. A hub's neighbours stay rows; no list of them is ever gathered.
+    the edge set stands still, however many rounds that takes. A hub's neighbours stay rows; no list of them is ever gathered.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
     old = None
-    for _ in range(most):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -54,6 +54,33 @@ def test_small_partitions_that_start_with_the_same_text(spark):
     assert sorted(map(tuple, ngram_join.jaccard_components(docs).collect())) == brute(rows)
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words cancel in every polynomial modulo 2 ** 64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a), (4, "x " + a), (5, "x " + b), (6, "c" * (3 << 20)), (7, "c" * (3 << 20) + "d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
+def test_copies_of_one_text_over_many_files(spark, tmp_path):
+    docs = real(spark).select("doc_id", "text").where("text is not null")
+    hot = docs.where("length(text) > 500").orderBy("doc_id").limit(1).select("text").first()[0]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6 + i, hot) for i in range(300)]
+    spark.createDataFrame(rows, docs.schema).repartition(64).write.parquet(f"{tmp_path}/d")
+    got = sorted(map(tuple, ngram_join.jaccard_components(spark.read.parquet(f"{tmp_path}/d")).collect()))
+    assert got == brute(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "a"), (1, text + " z", "b"), (2, text, "c"), (None, text, "d"), (None, "lone", "e"), (3, None, "f")], "doc_id long, text string, n string")
+    out = ngram_join.one_of_each(docs).collect()
+    assert [r["doc_id"] for r in out].count(1) == 1 and sorted(r["n"] for r in out if r["doc_id"] != 1) == ["d", "e", "f"]
+    again = ngram_join.one_of_each(docs.repartition(5)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_one_of_each_keeps_rows_whole(spark):
     docs = frame(spark)
     out = ngram_join.one_of_each(docs)
