@@ -3,14 +3,15 @@
 A text is the unit vector of its hashed 1- to 3-grams over lower-cased bytes (blanks for all ASCII
 but letters), term frequency 1 + ln(count), times the inverse document frequency of the sample. Every language has
 `CENTROIDS` centroids from spherical k-means, so that different kinds of text of one language keep
-their own; the nearest by cosine decides. A text whose cosine is far below that of all the language's
-own sample is rejected.
+their own; the nearest by cosine decides. A text is rejected where its cosine is
+far below those of the language's own sample at about its length: vectors of short texts are sparse, and cosines grow with length.
 
-The model is fitted on a bounded sample: the `SAMPLE` documents of each language with the smallest hash.
-Prediction reads the whole of every text.
+The model is fitted on a bounded sample: the `SAMPLE` documents of each language with the smallest hash, found among those
+under a threshold that the language's count sets, so no task ever ranks a language. Prediction reads the whole of every text.
 
 A null text or one without a letter is `und` with score 0 and rejected. An empty training set predicts `und`
-throughout. Repeated rows are predicted alike; other columns pass through `identify` unread.
+throughout. Repeated rows are predicted alike; other columns pass through `identify` unread, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ BITS = 12
 DIMENSIONS = 1 << BITS
 #: Documents of a language from which the model learns, at most, and its centroids.
 SAMPLE, CENTROIDS = 400, 4
-#: Part of the smallest cosine in the sample below which a text is foreign to its language.
-FAR = 0.35
+#: A text is foreign below this part of the cosine that all but `LOW` of the sample at about its length reach.
+FAR, LOW = 0.65, 0.02
+#: Lengths are compared by the binary logarithm of their n-grams; rows of the sample of which a quantile is taken, at least.
+LENGTHS, ROWS = 48, 20
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -89,11 +92,25 @@ def centroids(v: np.ndarray, k: int = CENTROIDS, rounds: int = 12) -> np.ndarray
     return c.astype(np.float32)
 
 
+def length_of(counted: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(1, counted.sum(1))).astype(int)
+
+
+def floors(length: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each length the cosine under which a text is foreign, from the sample's rows of about that length."""
+    out = np.zeros(LENGTHS, np.float32)
+    for k in range(LENGTHS):
+        away = np.abs(length - k)
+        reach = max(1, int(np.sort(away)[min(len(away), ROWS) - 1]))
+        out[k] = FAR * np.quantile(near[away <= reach], LOW)
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # cosine under which a centroid's language rejects
+    floors: np.ndarray  # by centroid and length: cosine under which its language rejects
     idf: np.ndarray
 
 
@@ -101,10 +118,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     """Learn from the rows given; rows without lang or letters are not used."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     d = d.withColumn("h", F.xxhash64("doc_id"))
-    ranks = d.select("lang", "h").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
-    last = ranks.groupBy("lang").agg(F.max("h").alias("last"))
+    # of n hashes about twice the sample lie under the bound, and hardly ever fewer than the sample
+    part = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
+    bounds = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (part * float(1 << 63) * 2 - float(1 << 63)).alias("bound"))
     # a row for each language, fewer than the centroids that the driver holds
-    chosen = d.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
+    some = d.join(F.broadcast(bounds), "lang").where(F.col("h").cast("double") <= F.col("bound"))
+    order = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "text")
     small_batches(docs.sparkSession)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,42 +143,54 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
 
     seen = held.groupBy("lang").applyInPandas(frequency, "n long, df binary").collect()  # a row for each language
     if not seen:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32), np.ones(DIMENSIONS, np.float32))
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, LENGTHS), np.float32), np.ones(DIMENSIONS, np.float32))
     n, df = sum(r["n"] for r in seen), np.sum([np.frombuffer(r["df"], np.float64) for r in seen], axis=0)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        v = unit(stack(rows), idf)
+        counted = stack(rows)
+        v = unit(counted, idf)
         c = centroids(v)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "c": [c.tobytes()], "low": [float((v @ c.T).max(1).min())]})
+        low = floors(length_of(counted), (v @ c.T).max(1))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "c": [c.tobytes()], "low": [low.tobytes()]})
 
-    parts = sorted(held.groupBy("lang").applyInPandas(learn, "lang string, c binary, low double").collect())  # CENTROIDS vectors for each language
+    parts = sorted(held.groupBy("lang").applyInPandas(learn, "lang string, c binary, low binary").collect())  # CENTROIDS vectors for each language
     c = [np.frombuffer(r["c"], np.float32).reshape(-1, DIMENSIONS) for r in parts]
-    return Model([r["lang"] for r, x in zip(parts, c) for _ in x], np.concatenate(c), np.array([FAR * r["low"] for r, x in zip(parts, c) for _ in x], np.float32), idf)
+    low = np.concatenate([np.frombuffer(r["low"], np.float32)[None].repeat(len(x), 0) for r, x in zip(parts, c)])
+    return Model([r["lang"] for r, x in zip(parts, c) for _ in x], np.concatenate(c), low, idf)
+
+
+NEW = ("lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` and lang_pred, score, rejected. A column of such a name is replaced."""
-    new = ("lang_pred", "score", "rejected")
-    docs = docs.drop(*[c for c in docs.columns if c in new])
+    """All columns of `docs`, then lang_pred, score, rejected; such a name that `docs` has already gets an underscore more."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
+    letters_in, *new = fresh(docs, "_letters", *NEW)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()))]])
     names = np.array([*model.languages, UND], object)
-    columns = [*docs.columns, *new]
-    (letters_in,) = fresh(docs, "_letters")
+    columns = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(letters_in).to_numpy(zero_copy_only=False)
-            best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
+            best, score, floor = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows), np.full(batch.num_rows, 2.0)
             if len(model.languages):
                 for lo, hi, buf, off in text_chunks(batch, text, rows=512):
-                    near = unit(counts(buf, off), model.idf) @ model.centroids.T
+                    counted = counts(buf, off)
+                    near = unit(counted, model.idf) @ model.centroids.T
                     best[lo:hi], score[lo:hi] = near.argmax(1), near.max(1)
+                    floor[lo:hi] = model.floors[best[lo:hi], np.minimum(length_of(counted), LENGTHS - 1)]
             best[~letters.astype(bool)] = len(names) - 1
-            score = np.where(best == len(names) - 1, 0.0, np.clip(score, 0, 1))
-            far = (best == len(names) - 1) | (score < np.append(model.floors, 2)[best])
+            und = best == len(names) - 1
+            score = np.where(und, 0.0, np.clip(score, 0, 1))
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(far)], names=columns)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(und | (score < floor))], names=columns)
 
     return docs.withColumn(letters_in, F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+
+
+def known_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs` that are not rejected, columns unchanged."""
+    *_, rejected = fresh(docs, "_letters", *NEW)
+    return identify(docs, model, text).where(~F.col(rejected)).select(*[f"`{c}`" for c in docs.columns])
