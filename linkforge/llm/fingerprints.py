@@ -2,12 +2,12 @@
 
 A blank line ends a section, a line feed a paragraph, and white space after punctuation a clause; the cuts
 lose no character, so the leaves spell the whole text. Every node's digest is the SHA-256 of its children's
-digests. The fingerprint is the root, the sections' digests and the leaves' digests in order (the inner
-ones shortened): equal roots mean equal texts, and leaves that differ locate an edit. Likeness is
-the Dice coefficient of the leaf sets.
+digests. The fingerprint is the root and the tree below it: each section's digest, and in it the leaves' digests
+by paragraph (all shortened). Equal roots mean equal texts. Where roots differ, `edits` goes down: sections
+by their digests, in those that differ the paragraphs, in those the leaves. Likeness is the Dice coefficient of the leaf sets.
 
 Null text is empty and has the tree of one empty leaf. An empty table gives no rows. Rows with equal doc_id
-follow each other in the order of their texts. Other columns are not read.
+follow each other in the order of their texts; a null doc_id comes last. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ CLAUSE = r"(?<=\p{Punct}\s)"
 SECTION_DIGITS, LEAF_DIGITS = 16, 10
 #: Ranges of doc_id in which neighbours are looked up, at most, and rows of a range, at least.
 RANGES, RANGE_ROWS = 1 << 16, 1024
+#: Quantiles of doc_id between which ranges are of equal width: 16 groups of 16.
+GROUPS = 16
 
 
 def leaves(text: Column) -> Column:
@@ -37,9 +39,9 @@ def section_digests(tree: Column) -> Column:
 
 def fingerprint(tree: Column, sections: Column) -> Column:
     root = F.sha2(F.array_join(sections, ""), 256)
-    short = F.array_join(F.transform(sections, lambda x: F.substring(x, 1, SECTION_DIGITS)), ".")
-    ends = F.array_join(F.transform(F.flatten(F.flatten(tree)), lambda x: F.substring(x, 1, LEAF_DIGITS)), ".")
-    return F.concat_ws(":", root, short, ends)
+    ends = lambda p: F.array_join(F.transform(p, lambda x: F.substring(x, 1, LEAF_DIGITS)), ".")
+    under = lambda s, d: F.concat_ws("=", F.substring(d, 1, SECTION_DIGITS), F.array_join(F.transform(s, ends), ","))
+    return F.concat_ws(":", root, F.array_join(F.zip_with(tree, sections, under), "/"))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def leaf_set(print_: Column) -> Column:
-    return F.array_distinct(F.split(F.substring_index(print_, ":", -1), "[.]"))
+    return F.array_distinct(F.split(F.regexp_replace(F.substring_index(print_, ":", -1), "[0-9a-f]+=", ""), "[./,]"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,11 +62,66 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(F.least(dice, F.lit(0.999999)))
 
 
+def differing(x: Column, y: Column) -> Column:
+    """Places at which two lists of digests differ: (at, removed, added) of each.
+
+    Lists of one size are held against each other place by place; of others all between the common start and the common end differs.
+    """
+    spot = lambda i, n, m: F.struct(i.cast("int").alias("at"), n.cast("int").alias("removed"), m.cast("int").alias("added"))
+    short = F.least(F.size(x), F.size(y))
+    alike = lambda v, w: F.coalesce(F.nullif(F.array_position(F.zip_with(v, w, lambda a, b: a.eqNullSafe(b)), False), F.lit(0)) - 1, short)
+    start = alike(x, y)
+    end = F.least(alike(F.reverse(x), F.reverse(y)), short - start)
+    each = F.filter(F.transform(x, lambda d, i: F.when(d != F.get(y, i), spot(i, F.lit(1), F.lit(1)))), lambda e: e.isNotNull())
+    return F.when(F.size(x) == F.size(y), each).otherwise(F.array(spot(start, F.size(x) - start - end, F.size(y) - start - end)))
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Places of the leaves of `a` that `b` lacks."""
-    other = leaf_set(b)
-    own = F.split(F.substring_index(a, ":", -1), "[.]")
-    return F.filter(F.transform(own, lambda x, i: F.when(~F.array_contains(other, x), i)), lambda i: i.isNotNull())
+    """The branches in which two fingerprints differ, as `section[.paragraph[.leaf]]:removed:added`.
+
+    `removed` children of `a` from that place on stand against `added` ones of `b`. Numbers begin at 0. Equal texts give none.
+    """
+    sections = lambda f: F.split(F.substring_index(f, ":", -1), "/")
+    digests = lambda s: F.transform(s, lambda x: F.substring_index(x, "=", 1))
+    paragraphs = lambda s, e: F.split(F.substring_index(F.get(s, e["at"]), "=", -1), ",")
+    leaf = lambda p, e: F.split(F.get(p, e["at"]), "[.]")
+    named = lambda e, *path: F.concat_ws(":", F.concat_ws(".", *path, e["at"]), e["removed"], e["added"])
+    single = lambda e: (e["removed"] == 1) & (e["added"] == 1)
+    x, y = sections(a), sections(b)
+
+    def in_section(e: Column) -> Column:
+        p, q = paragraphs(x, e), paragraphs(y, e)
+
+        def in_paragraph(f: Column) -> Column:
+            below = F.transform(differing(leaf(p, f), leaf(q, f)), lambda g: named(g, e["at"], f["at"]))
+            return F.when(single(f), below).otherwise(F.array(named(f, e["at"])))
+
+        return F.when(single(e), F.flatten(F.transform(differing(p, q), in_paragraph))).otherwise(F.array(named(e)))
+
+    return F.flatten(F.transform(differing(digests(x), digests(y)), in_section))
+
+
+def ranges(rows: DataFrame) -> Column:
+    """The number of a row's range of doc_id: ranges rise with doc_id and hold like numbers of rows, outliers or not.
+
+    Quantiles, 256 of them, and then parts of equal width between them.
+    """
+    n = GROUPS * GROUPS
+    s = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 100 * n).alias("q"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    points = s["q"] or [0] * n
+    parts = max(1, min(RANGES, s["n"] // RANGE_ROWS) // n)
+    if s["n"] < RANGE_ROWS * n:  # a small table: every so many quantiles
+        step = -(-n // max(1, s["n"] // RANGE_ROWS))
+        points = [points[k - k % step] for k in range(n)]
+    tops = [*points[1:], s["top"] or 0]
+    spot = lambda k: F.struct(F.lit(points[k]).cast("long").alias("low"), F.lit(float(max(1, tops[k] - points[k]))).alias("width"), F.lit(k * parts).alias("first"))
+    groups = F.array(*[F.array(*[spot(g * GROUPS + k) for k in range(GROUPS)]) for g in range(GROUPS)])
+    d = F.coalesce("doc_id", F.lit(points[0]).cast("long"))
+    last = lambda found: F.element_at(found, F.greatest(F.lit(1), F.size(found)))
+    group = last(F.filter(groups, lambda g: F.get(g, F.lit(0))["low"] <= d))
+    at = last(F.filter(group, lambda x: x["low"] <= d))
+    # in doubles, as a difference of longs can overflow; rounding keeps the order
+    return at["first"] + F.least(F.lit(parts - 1), F.floor((d.cast("double") - at["low"].cast("double")) / at["width"] * parts)).cast("int")
 
 
 def with_next(rows: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
@@ -72,11 +129,7 @@ def with_next(rows: DataFrame, finish: Callable[[DataFrame], DataFrame], columns
 
     Rows are dealt into ranges of doc_id. Only the top row of each range, at most `RANGES`, is looked up by another.
     """
-    s = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high, n = s[0] or 0, s[1] or 0, s[2]
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    step = (high - low) // ranges + 1
-    ranged = rows.withColumn("range", F.floor((F.coalesce("doc_id", F.lit(low)) - low) / step))
+    ranged = rows.withColumn("range", ranges(rows))
     order = W.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
     inside = finish(ranged).withColumn("next", F.lead(F.struct(*columns)).over(order))
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("doc_id"))  # at most RANGES rows
@@ -89,9 +142,10 @@ def with_next(rows: DataFrame, finish: Callable[[DataFrame], DataFrame], columns
 
 
 def fingerprint_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits of every document.
 
-    The edited text has the last half of its code points replaced by as many of the next document's first.
+    The edited text has the last half of its code points replaced by as many of the next document's first; `edits` are the
+    branches in which the trees of the two differ.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     both = with_next(rows, lambda d: with_fingerprint(d, "text", "fingerprint"), ["text", "fingerprint"])
@@ -107,4 +161,5 @@ def fingerprint_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        F.array_join(edits(F.col("fingerprint"), F.col("edited_fingerprint")), " ").alias("edits"),
     )

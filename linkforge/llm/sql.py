@@ -36,15 +36,28 @@ _TREE = """list_transform(string_split({x}, chr(10) || chr(10)), lambda s: list_
   CASE WHEN regexp_matches(p, '[!-/:-@\\[-`{{-~][ \\t\\n\\x0b\\f\\r]$') OR p = '' THEN list_append(regexp_extract_all(p, '(?s)(?:.*?[!-/:-@\\[-`{{-~][ \\t\\n\\x0b\\f\\r])|(?s).+$'), '')
    ELSE regexp_extract_all(p, '(?s)(?:.*?[!-/:-@\\[-`{{-~][ \\t\\n\\x0b\\f\\r])|(?s).+$') END, lambda c: sha256(c))))"""
 _SECTIONS = "list_transform({t}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), '')))"
-_PRINT = "concat_ws(':', sha256(array_to_string({s}, '')), array_to_string(list_transform({s}, lambda x: x[:16]), '.'), array_to_string(list_transform(flatten(flatten({t})), lambda x: x[:10]), '.'))"
-_LEAVES = "list_distinct(string_split(split_part({f}, ':', 3), '.'))"
+_PRINT = """concat_ws(':', sha256(array_to_string({s}, '')), array_to_string(list_transform({t}, lambda x, i: concat({s}[i][:16], '=',
+  array_to_string(list_transform(x, lambda p: array_to_string(list_transform(p, lambda y: y[:10]), '.')), ','))), '/'))"""
+_LEAVES = "list_distinct(regexp_split_to_array(regexp_replace(split_part({f}, ':', 2), '[0-9a-f]+=', '', 'g'), '[./,]'))"
 _NEAR = "CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0 ELSE least(len(list_intersect({x}, {y})) * 2.0 / (len({x}) + len({y})), 0.999999) END::DOUBLE"
 
 
+def _level(name: str, source: str, keys: str, split: str) -> str:
+    """One level of the tree: the differing places of the rows of `source`, which carry lists x and y and the path so far."""
+    same = lambda x, y: f"coalesce(nullif(list_position(list_transform(list_zip({x}, {y}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false), 0) - 1, least(len(x), len(y)))"
+    return f"""{name}k AS (SELECT doc_id, path, x, y, {keys.format(v="x")} AS kx, {keys.format(v="y")} AS ky FROM {source}),
+{name}t AS (SELECT *, {same("kx", "ky")} AS pre, {same("list_reverse(kx)", "list_reverse(ky)")} AS tail FROM {name}k),
+{name}p AS (SELECT doc_id, path, x, y, unnest(CASE WHEN len(kx) = len(ky) THEN list_transform(list_filter(range(len(kx)), lambda i: kx[i + 1] <> ky[i + 1]), lambda i: {{'at': i, 'n': 1, 'm': 1}})
+  ELSE [{{'at': pre, 'n': len(x) - pre - least(tail, least(len(x), len(y)) - pre), 'm': len(y) - pre - least(tail, least(len(x), len(y)) - pre)}}] END) AS e FROM {name}t),
+{name} AS (SELECT doc_id, path || [e.at] AS path, e.n AS n, e.m AS m, {split.format(v="x[e.at + 1]")} AS x, {split.format(v="y[e.at + 1]")} AS y FROM {name}p)"""
+
+
 def _near(a: str, b: str) -> str:
     return _NEAR.format(a=a, b=b, x=_LEAVES.format(f=a), y=_LEAVES.format(f=b))
 
 
+_SECTION = "list_transform({v}, lambda z: split_part(z, '=', 1))"
+
 FINGERPRINTS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT *, {_TREE.format(x="text")} AS t FROM d),
@@ -52,6 +65,12 @@ f AS (SELECT doc_id, text, {_PRINT.format(t="t", s=_SECTIONS.format(t="t"))} AS
 n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nt, coalesce(lead(f) OVER w, first_value(f) OVER w) AS nf FROM f WINDOW w AS (ORDER BY doc_id DESC)),
 e AS (SELECT *, concat(left(text, length(text) - length(text) // 2), left(nt, length(text) // 2)) AS e FROM n),
 u AS (SELECT *, {_TREE.format(x="e")} AS t FROM e),
-v AS (SELECT *, {_PRINT.format(t="t", s=_SECTIONS.format(t="t"))} AS g FROM u)
-SELECT doc_id, length(text) AS n_chars, sha256(e) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint, {_near("f", "g")} AS near_edited, {_near("f", "nf")} AS near_next FROM v
+v AS (SELECT *, {_PRINT.format(t="t", s=_SECTIONS.format(t="t"))} AS g FROM u),
+l0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, string_split(split_part(f, ':', 2), '/') AS x, string_split(split_part(g, ':', 2), '/') AS y FROM v),
+{_level("l1", "l0", _SECTION, "string_split(split_part({v}, '=', 2), ',')")},
+{_level("l2", "(SELECT * FROM l1 WHERE n = 1 AND m = 1)", "{v}", "string_split({v}, '.')")},
+{_level("l3", "(SELECT * FROM l2 WHERE n = 1 AND m = 1)", "{v}", "{v}")},
+w AS (SELECT doc_id, path, n, m FROM l1 WHERE n <> 1 OR m <> 1 UNION ALL SELECT doc_id, path, n, m FROM l2 WHERE n <> 1 OR m <> 1 UNION ALL SELECT doc_id, path, n, m FROM l3),
+z AS (SELECT doc_id, string_agg(concat(array_to_string(path, '.'), ':', n, ':', m), ' ' ORDER BY path) AS edits FROM w GROUP BY ALL)
+SELECT doc_id, length(text) AS n_chars, sha256(e) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint, {_near("f", "g")} AS near_edited, {_near("f", "nf")} AS near_next, coalesce(edits, '') AS edits FROM v LEFT JOIN z USING (doc_id)
 """

@@ -1,5 +1,8 @@
 import hashlib
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from linkforge.llm import chat, fingerprints
 
@@ -8,24 +11,52 @@ from .cases import frame, real
 
 def plain_print(text):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    leaves, sections = [], []
+    sections, body = [], []
     for s in text.split("\n\n"):
-        nodes = []
+        nodes, ends = [], []
         for p in s.split("\n"):
             own = [sha(c) for c in re.split(r"(?<=[!-/:-@\[-`{-~][ \t\n\x0b\f\r])", p)]
-            leaves += own
+            ends.append(".".join(x[:10] for x in own))
             nodes.append(sha("".join(own)))
         sections.append(sha("".join(nodes)))
-    return ":".join([sha("".join(sections)), ".".join(x[:16] for x in sections), ".".join(x[:10] for x in leaves)])
+        body.append(sections[-1][:16] + "=" + ",".join(ends))
+    return sha("".join(sections)) + ":" + "/".join(body)
 
 
 def dice(a, b):
     if a.split(":")[0] == b.split(":")[0]:
         return 1.0
-    x, y = (set(p.split(":")[2].split(".")) for p in (a, b))
+    x, y = (set(re.split("[./,]", re.sub("[0-9a-f]+=", "", p.split(":")[1]))) for p in (a, b))
     return min(2 * len(x & y) / (len(x) + len(y)), 0.999999)
 
 
+def differing(x, y):
+    if len(x) == len(y):
+        return [(i, 1, 1) for i in range(len(x)) if x[i] != y[i]]
+    n, i, j = min(len(x), len(y)), 0, 0
+    while i < n and x[i] == y[i]:
+        i += 1
+    while j < n - i and x[-1 - j] == y[-1 - j]:
+        j += 1
+    return [(i, len(x) - i - j, len(y) - i - j)]
+
+
+def located(a, b):
+    x, y = (f.split(":")[1].split("/") for f in (a, b))
+    out = []
+    for i, n, m in differing([s.split("=")[0] for s in x], [s.split("=")[0] for s in y]):
+        if (n, m) != (1, 1):
+            out.append(f"{i}:{n}:{m}")
+            continue
+        p, q = (s[i].split("=")[1].split(",") for s in (x, y))
+        for j, n, m in differing(p, q):
+            if (n, m) != (1, 1):
+                out.append(f"{i}.{j}:{n}:{m}")
+            else:
+                out += [f"{i}.{j}.{k}:{n}:{m}" for k, n, m in differing(p[j].split("."), q[j].split("."))]
+    return " ".join(out)
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1].encode()))
     out = []
@@ -33,7 +64,7 @@ def brute(rows):
         n, follow = len(t), rows[(k + 1) % len(rows)][1]
         edited = t[: n - n // 2] + follow[: n // 2]
         a, b, c = plain_print(t), plain_print(edited), plain_print(follow)
-        out.append((d, n, hashlib.sha256(edited.encode()).hexdigest(), a, b, dice(a, b), dice(a, c)))
+        out.append((d, n, hashlib.sha256(edited.encode()).hexdigest(), a, b, dice(a, b), dice(a, c), located(a, b)))
     return sorted(out, key=str)
 
 
@@ -43,14 +74,43 @@ def test_report_equals_brute_force(spark, monkeypatch):
         for docs in (frame(spark), real(spark)):
             want = brute([(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()])
             got = sorted(map(tuple, fingerprints.fingerprint_report(docs).collect()), key=str)
-            assert [g[:5] for g in got] == [w[:5] for w in want]
+            assert [(*g[:5], g[7]) for g in got] == [(*w[:5], w[7]) for w in want]
             assert all(abs(g[5] - w[5]) < 1e-9 and abs(g[6] - w[6]) < 1e-9 for g, w in zip(got, want))
 
 
 def test_edits_are_located(spark):
-    a, b = "One. Two. Three.\nFour, five.", "One. Two! Three.\nFour, six."
-    row = fingerprints.with_fingerprint(fingerprints.with_fingerprint(spark.createDataFrame([(a, b)], "a string, b string"), "a", "fa"), "b", "fb")
-    assert row.select(fingerprints.edits(row["fa"], row["fb"])).first()[0] == [1, 4]
+    cases = [
+        ("One. Two. Three.\nFour, five.", "One. Two! Three.\nFour, six.", "0.0.1:1:1 0.1.1:1:1"),
+        ("x. y. z.", "y. x. z.", "0.0.0:1:1 0.0.1:1:1"),
+        ("x. y. y. z.", "x. y. z.", "0.0.2:1:0"),
+        ("a\n\nb\n\nc", "a\n\nnew\nb\n\nc", "1.0:0:1"),
+        ("a\n\nb\n\nc\n\nd", "a\n\nd", "1:2:0"),
+        ("a\n\nb. c. d.", "a\n\nb. d. e. f.", "1.0.1:2:3"),
+        ("same. text", "same. text", ""),
+        ("", "x", "0.0.0:1:1"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = df.select("i", F.array_join(fingerprints.edits(F.col("fa"), F.col("fb")), " ").alias("e"), "fa", "fb").orderBy("i").collect()
+    assert [r["e"] for r in got] == [c[2] for c in cases]
+    assert all(r["e"] == located(r["fa"], r["fb"]) for r in got)
+
+
+def test_ranges_of_uneven_ids(spark, monkeypatch):
+    """Outliers at both ends of the long range, a crowd in the middle, ties and nulls."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    ids = [-(1 << 63), (1 << 63) - 1, 0, None, None, *range(1000, 1200), *[5000] * 7, *range(10**15, 10**15 + 40)]
+    rows = [(d, f"t{i}. u") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.withColumn("r", fingerprints.ranges(docs)).collect()
+    known = sorted((r["doc_id"], r["r"]) for r in own if r["doc_id"] is not None)
+    assert [r for _, r in known] == sorted(r for _, r in known)
+    held = Counter(r["r"] for r in own)
+    assert len(held) > 20 and max(held.values()) <= 20
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    got = fingerprints.with_next(docs, lambda d: d, ["text"]).collect()
+    assert {r["text"]: r["next"]["text"] for r in got} == want
 
 
 def test_empty_table(spark):
