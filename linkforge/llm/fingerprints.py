@@ -62,6 +62,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(F.least(dice, F.lit(0.999999)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f(value)` with the value computed once, however often `f` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def differing(x: Column, y: Column) -> Column:
     """Places at which two lists of digests differ: (at, removed, added) of each.
 
@@ -70,10 +75,10 @@ def differing(x: Column, y: Column) -> Column:
     spot = lambda i, n, m: F.struct(i.cast("int").alias("at"), n.cast("int").alias("removed"), m.cast("int").alias("added"))
     short = F.least(F.size(x), F.size(y))
     alike = lambda v, w: F.coalesce(F.nullif(F.array_position(F.zip_with(v, w, lambda a, b: a.eqNullSafe(b)), False), F.lit(0)) - 1, short)
-    start = alike(x, y)
-    end = F.least(alike(F.reverse(x), F.reverse(y)), short - start)
-    each = F.filter(F.transform(x, lambda d, i: F.when(d != F.get(y, i), spot(i, F.lit(1), F.lit(1)))), lambda e: e.isNotNull())
-    return F.when(F.size(x) == F.size(y), each).otherwise(F.array(spot(start, F.size(x) - start - end, F.size(y) - start - end)))
+    each = F.filter(F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z, i: F.when(z["x"] != z["y"], spot(i, F.lit(1), F.lit(1)))), lambda e: e.isNotNull())
+    ends = F.struct(alike(x, y).alias("start"), alike(F.reverse(x), F.reverse(y)).alias("end"))
+    hull = let(ends, lambda e: let(F.least(e["end"], short - e["start"]), lambda end: F.array(spot(e["start"], F.size(x) - e["start"] - end, F.size(y) - e["start"] - end))))
+    return F.when(F.size(x) == F.size(y), each).otherwise(hull)
 
 
 def edits(a: Column, b: Column) -> Column:
@@ -81,24 +86,23 @@ def edits(a: Column, b: Column) -> Column:
 
     `removed` children of `a` from that place on stand against `added` ones of `b`. Numbers begin at 0. Equal texts give none.
     """
-    sections = lambda f: F.split(F.substring_index(f, ":", -1), "/")
-    digests = lambda s: F.transform(s, lambda x: F.substring_index(x, "=", 1))
-    paragraphs = lambda s, e: F.split(F.substring_index(F.get(s, e["at"]), "=", -1), ",")
-    leaf = lambda p, e: F.split(F.get(p, e["at"]), "[.]")
     named = lambda e, *path: F.concat_ws(":", F.concat_ws(".", *path, e["at"]), e["removed"], e["added"])
-    single = lambda e: (e["removed"] == 1) & (e["added"] == 1)
-    x, y = sections(a), sections(b)
-
-    def in_section(e: Column) -> Column:
-        p, q = paragraphs(x, e), paragraphs(y, e)
-
-        def in_paragraph(f: Column) -> Column:
-            below = F.transform(differing(leaf(p, f), leaf(q, f)), lambda g: named(g, e["at"], f["at"]))
-            return F.when(single(f), below).otherwise(F.array(named(f, e["at"])))
-
-        return F.when(single(e), F.flatten(F.transform(differing(p, q), in_paragraph))).otherwise(F.array(named(e)))
-
-    return F.flatten(F.transform(differing(digests(x), digests(y)), in_section))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    both = lambda s, f: pair(f(s["x"]), f(s["y"]))
+
+    def level(s: Column, below: Callable[[Column, Column], Column] | None, keys: Callable[[Column], Column], *path: Column) -> Column:
+        """The edits of two lists of children; where one child stands against one, those further down."""
+        down = lambda e: F.when((e["removed"] == 1) & (e["added"] == 1), below(both(s, lambda v: F.get(v, e["at"])), e["at"])).otherwise(F.array(named(e, *path)))
+        found = let(both(s, keys), lambda k: differing(k["x"], k["y"]))
+        return F.transform(found, lambda e: named(e, *path)) if below is None else F.flatten(F.transform(found, down))
+
+    own = lambda v: v
+    leaves_ = lambda s, *path: let(both(s, lambda v: F.split(v, "[.]")), lambda k: level(k, None, own, *path))
+    paragraphs = lambda s, i: let(
+        both(s, lambda v: F.split(F.substring_index(v, "=", -1), ",")), lambda k: level(k, lambda t, j: leaves_(t, i, j), own, i)
+    )
+    sections = both(pair(a, b), lambda f: F.split(F.substring_index(f, ":", -1), "/"))
+    return let(sections, lambda k: level(k, paragraphs, lambda v: F.transform(v, lambda x: F.substring_index(x, "=", 1))))
 
 
 def ranges(rows: DataFrame) -> Column:
@@ -108,20 +112,28 @@ def ranges(rows: DataFrame) -> Column:
     """
     n = GROUPS * GROUPS
     s = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 100 * n).alias("q"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    points = s["q"] or [0] * n
+    points, top = s["q"] or [0] * n, s["top"] or 0
     parts = max(1, min(RANGES, s["n"] // RANGE_ROWS) // n)
     if s["n"] < RANGE_ROWS * n:  # a small table: every so many quantiles
         step = -(-n // max(1, s["n"] // RANGE_ROWS))
         points = [points[k - k % step] for k in range(n)]
-    tops = [*points[1:], s["top"] or 0]
-    spot = lambda k: F.struct(F.lit(points[k]).cast("long").alias("low"), F.lit(float(max(1, tops[k] - points[k]))).alias("width"), F.lit(k * parts).alias("first"))
-    groups = F.array(*[F.array(*[spot(g * GROUPS + k) for k in range(GROUPS)]) for g in range(GROUPS)])
+    array = lambda x: "array(" + ",".join(f"{v}L" if v > -(1 << 63) else "-9223372036854775807L - 1L" for v in x) + ")"
+    heads = F.expr(array(points[::GROUPS]))
+    groups = F.expr("array(" + ",".join(array([*points[g : g + GROUPS], (points[g + GROUPS :] or [top])[0]]) for g in range(0, n, GROUPS)) + ")")
     d = F.coalesce("doc_id", F.lit(points[0]).cast("long"))
-    last = lambda found: F.element_at(found, F.greatest(F.lit(1), F.size(found)))
-    group = last(F.filter(groups, lambda g: F.get(g, F.lit(0))["low"] <= d))
-    at = last(F.filter(group, lambda x: x["low"] <= d))
-    # in doubles, as a difference of longs can overflow; rounding keeps the order
-    return at["first"] + F.least(F.lit(parts - 1), F.floor((d.cast("double") - at["low"].cast("double")) / at["width"] * parts)).cast("int")
+    place = lambda x, size: F.greatest(F.lit(0), F.size(F.filter(F.slice(x, 1, size), lambda v: v <= d)) - 1)
+    g = place(heads, GROUPS)
+
+    def within(group: Column) -> Column:
+        def at(k: Column) -> Column:
+            low, high = (F.get(group, k + j).cast("double") for j in (0, 1))
+            # in doubles, as a difference of longs can overflow; rounding keeps the order
+            part = F.floor((d.cast("double") - low) / F.greatest(F.lit(1.0), high - low) * parts)
+            return (g * GROUPS + k) * parts + F.least(F.lit(parts - 1), part).cast("int")
+
+        return let(place(group, GROUPS), at)
+
+    return let(F.get(groups, g), within)
 
 
 def with_next(rows: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
