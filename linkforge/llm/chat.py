@@ -8,8 +8,9 @@ single lines. Following these links to the top gives the thread, and conversatio
 the order of their threads' first messages, own words alone.
 
 Null text has no words and no quotation. Rows with equal (conv_id, turn) share their links and follow each other
-in the order of their texts; a null conv_id is a conversation of its own, a null turn comes first and links
-to nothing. A quotation whose original is not found stays without a link. An empty table gives no rows.
+in the order of their roles and texts; rows without a conv_id are one conversation, a null turn comes first and links
+to nothing. A quotation whose original is not found stays without a link. An empty table gives no rows. Of a conversation
+with more than `LONG` messages the places are counted in blocks, so neither it nor a thread of it is ever ordered by one task.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Window as W
 
 from .common import cut
 
-#: Turns that are ranked together: a long conversation is many such blocks.
-BLOCK = 4096
+#: Messages up to which a conversation is ordered as a whole, and turns or steps of a thread in one block of a longer one.
+LONG, BLOCK = 4096, 4096
 
 
 def level(line: Column) -> Column:
@@ -84,22 +85,42 @@ def linked_conversations(messages: DataFrame, conv_id: str = "conv_id", turn: st
     plain_rows = plain.select("conv", "conv_id", "turn", "role", "text", F.col("text").alias("own_text"), F.lit(None).cast("long").alias("reply_to"), none.alias("n_quotes"), none.alias("n_linked"))
     # a row for each linked message: it never grows beyond the links
     rows = quoted_rows.join(roots, ["conv", "turn"], "left").unionByName(plain_rows, allowMissingColumns=True)
-    rows = rows.withColumns({"root_turn": F.coalesce("root", "turn"), "depth": F.coalesce("steps", F.lit(0)).cast("long")}).withColumn("block", F.floor(F.coalesce("root_turn", F.lit(-1)) / BLOCK))
-    sizes = rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("k"))
-    before = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    start = sizes.select("conv", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    order = W.partitionBy("conv", "block").orderBy("root_turn", "depth", "turn", "role", "text")
-    placed = rows.withColumn("own_place", F.row_number().over(order)).join(start, ["conv", "block"])
-    return placed.select("conv_id", "turn", "role", "own_text", "reply_to", "root_turn", "depth", "n_quotes", "n_linked", (F.col("start") + F.col("own_place") - 1).cast("long").alias("position"))
-
-
-def follow(links: DataFrame, most: int = 40) -> DataFrame:
-    """conv, turn, root, steps: the top of each chain of replies, by doubling the stride of every link."""
+    rows = rows.withColumns({"root_turn": F.coalesce("root", "turn"), "depth": F.coalesce("steps", F.lit(0)).cast("long")})
+    long = base.groupBy("conv").agg(F.count(F.lit(1)).alias("messages")).where(F.col("messages") > LONG).select("conv")
+    plain_order = W.partitionBy("conv").orderBy("root_turn", "depth", "turn", "role", "text")
+    short = rows.join(long, "conv", "left_anti").withColumn("position", F.row_number().over(plain_order) - 1)
+    placed = short.unionByName(in_blocks(rows.join(long, "conv", "left_semi")))
+    return placed.select("conv_id", "turn", "role", "own_text", "reply_to", "root_turn", "depth", "n_quotes", "n_linked", F.col("position").cast("long"))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """`rows` with `position` in their conversation by root_turn, depth, turn, role and text.
+
+    Blocks of roots, of steps below one root, and of turns at one step follow each other; each is counted first, and the counts
+    before it are summed level by level, so that no window holds more than some thousand blocks.
+    """
+    block = lambda c: F.coalesce(F.floor(F.col(c) / BLOCK), F.lit(-1)).cast("long")
+    own = F.coalesce("root_turn", F.lit(-1))
+    d = rows.withColumns({"b0": block("root_turn"), "b1": own, "b2": block("depth"), "b3": F.col("depth"), "b4": block("turn")})
+    levels = [["b0"], ["b1", "b2"], ["b3", "b4"]]
+    keys, start = ["conv"], None
+    sizes = d.groupBy("conv", "b0", "b1", "b2", "b3", "b4").agg(F.count(F.lit(1)).alias("k"))
+    for level in levels:
+        before = W.partitionBy(*keys).orderBy(*level).rowsBetween(W.unboundedPreceding, -1)
+        counted = sizes.groupBy(*keys, *level).agg(F.sum("k").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+        start = counted if start is None else counted.join(start, keys).withColumn("ahead", F.col("ahead") + F.col("first")).drop("first")
+        keys = keys + level
+        start = start.withColumnRenamed("ahead", "first")
+    last = W.partitionBy(*keys).orderBy("turn", "role", "text")
+    return d.withColumn("own_place", F.row_number().over(last)).join(start, keys).withColumn("position", F.col("first") + F.col("own_place") - 1).drop(*keys[1:], "own_place", "first")
+
+
+def follow(links: DataFrame) -> DataFrame:
+    """conv, turn, root, steps: the top of each chain of replies, by doubling the stride of every link until none goes on; replies go back in turns, so it ends."""
     at = cut(links.select("conv", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("steps")))
-    for _ in range(most):
+    while True:
         on = at.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
         far = at.join(on, ["conv", "root"], "left")
-        if not far.where("next is not null").limit(1).count():
-            break
+        if far.where("next is not null").isEmpty():
+            return at
         at = cut(far.select("conv", "turn", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    return at

@@ -4,9 +4,10 @@ Heuristic labellers vote good, bad or nothing on every document. Expectation-max
 counts of vote patterns of the whole corpus (3 ** labellers of them at most, whatever its size)
 estimates how often each labeller is right for either class, and so the posterior of each pattern. These
 posteriors are the soft labels from which a linear scorer over hashed words and character classes is
-trained, on the `SAMPLE` documents with the smallest hash. The scorer then reads the whole of every text.
+trained, on the `SAMPLE` documents with the smallest hash. The driver holds of each the words' bins and their shares, at
+most 2 ** BITS of six bytes whatever the text's length. The scorer then reads the whole of every text.
 
-A null or blank text has score 0 and is not kept. Repeated rows score alike. An empty table gives no rows, and
+A null or blank text has score 0 and is not kept. Repeated rows score alike and are one in the sample. An empty table gives no rows, and
 its model keeps nothing. Other columns are not read.
 """
 
@@ -162,16 +163,21 @@ def mean_weight(weights: np.ndarray, bins: np.ndarray, first: np.ndarray) -> np.
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression on soft labels by full gradient steps: weights of word bins and of shares."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression on soft labels by full gradient steps: weights of word bins and of shares.
+
+    A row has its bins, the share of its words in each, the dense shares and the label.
+    """
     w, v = np.zeros(1 << BITS), np.zeros(EXTRA)
-    first = np.concatenate([[0], np.cumsum([len(b) for b, _, _ in rows])])
-    bins, dense, y = np.concatenate([b for b, _, _ in rows]), np.stack([d for _, d, _ in rows]), np.array([p for *_, p in rows])
-    each = np.repeat(1 / np.maximum(1, np.diff(first)), np.diff(first))
+    first = np.concatenate([[0], np.cumsum([len(b) for b, *_ in rows])])
+    bins, share = np.concatenate([b for b, *_ in rows]).astype(np.int32), np.concatenate([x for _, x, *_ in rows]).astype(float)
+    dense, y = np.stack([d for _, _, d, _ in rows]), np.array([p for *_, p in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(first))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(mean_weight(w, bins, first) + dense @ v)))
+        seen = np.bincount(owner, w[bins] * share, minlength=len(rows))
+        p = 1 / (1 + np.exp(-(seen + dense @ v)))
         g = (p - y) / len(y)
-        w -= rate * 8 * (np.bincount(bins, np.repeat(g, np.diff(first)) * each, minlength=len(w)) + decay * w)
+        w -= rate * 8 * (np.bincount(bins, g[owner] * share, minlength=len(w)) + decay * w)
         v -= rate * (dense.T @ g + decay * v)
     return w, v
 
@@ -201,16 +207,20 @@ def classify(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text
                 shares, h, first = measures(buf, off)
                 label = post[np.searchsorted(codes, votes(shares) @ _RADIX)]
                 bins, dense = features(shares, h, first)
-                parts = [bins[a:b].astype(np.uint16).tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), pa.array(label)], names=["bins", "dense", "label"])
-
-    hashed = slim.withColumn("h", F.xxhash64("doc_id"))
-    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).select("text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    rows = chosen.mapInArrow(sampled, "bins binary, dense binary, label double").limit(sample).collect()  # a bounded sample
+                bags = [np.unique(bins[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
+                kept = [x.astype(np.uint16).tobytes() for x, _ in bags]
+                share = [(n / max(1, n.sum())).astype(np.float32).tobytes() for _, n in bags]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(share, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), pa.array(label)], names=["bins", "share", "dense", "label"])
+
+    # ordered by the id's hash and then the text's, so that ids that repeat or lack are sampled alike in every run
+    hashed = slim.withColumn("h", F.struct(F.xxhash64("doc_id").alias("d"), F.xxhash64("text").alias("t")))
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+    bound = F.struct(F.lit(last["d"] if last else 0).cast("long").alias("d"), F.lit(last["t"] if last else 0).cast("long").alias("t"))
+    chosen = hashed.where(F.col("h") <= bound).dropDuplicates(["h"]).select("text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    rows = chosen.mapInArrow(sampled, "bins binary, share binary, dense binary, label double").collect()  # a bounded sample of bounded rows
     if rows:
-        rows = sorted((r["bins"], r["dense"], r["label"]) for r in rows)
-        w, v = train([(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(d), y) for b, d, y in rows])
+        rows = sorted((r["bins"], r["share"], r["dense"], r["label"]) for r in rows)
+        w, v = train([(np.frombuffer(b, np.uint16), np.frombuffer(x, np.float32), np.frombuffer(d), y) for b, x, d, y in rows])
     else:
         w, v = np.zeros(1 << BITS), np.zeros(EXTRA)
 

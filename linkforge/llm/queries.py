@@ -33,6 +33,17 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked_conversations(documents(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where messages quote earlier ones: every conversation of the table, with quotations put in."""
+    return chat.linked_conversations(spark.sql(sql.QUOTING, conversations=documents(spark, sf_dir, "conversations")))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is certain of the mix before the draw: sizes and targets."""
+    mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
@@ -73,10 +84,15 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_media_copies,
         op10_suffix_array_dedup,
+        quoted_conversations,
+        mix_targets,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_formatting": sql.chat("conversations"),
+    "quoted_conversations": sql.chat("(" + sql.QUOTING.format(conversations="conversations") + ")"),
+    "mix_targets": sql.MIX_TARGETS,
     "op3_document_fingerprints": sql.FINGERPRINTS,
     "op8_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op10_suffix_array_dedup": sql.SUFFIX_ARRAY,

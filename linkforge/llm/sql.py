@@ -74,3 +74,52 @@ w AS (SELECT doc_id, path, n, m FROM l1 WHERE n <> 1 OR m <> 1 UNION ALL SELECT
 z AS (SELECT doc_id, string_agg(concat(array_to_string(path, '.'), ':', n, ':', m), ' ' ORDER BY path) AS edits FROM w GROUP BY ALL)
 SELECT doc_id, length(text) AS n_chars, sha256(e) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint, {_near("f", "g")} AS near_edited, {_near("f", "nf")} AS near_next, coalesce(edits, '') AS edits FROM v LEFT JOIN z USING (doc_id)
 """
+
+
+def chat(messages: str) -> str:
+    """SQL of the linked conversations over a table expression with conv_id, turn, role and text."""
+    normal = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+    return f"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM {messages}),
+q AS (SELECT id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': i, 'raw': x}}), recursive := true) FROM b WHERE text IS NOT NULL),
+l AS (SELECT id, line, length(regexp_replace(regexp_extract(raw, '^((?:\\s*>)*)', 1), '[^>]', '', 'g')) AS lv, regexp_replace(raw, '^(?:\\s*>)+ ?', '') AS words FROM q),
+g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY line) AS passage FROM (SELECT *, CASE WHEN lag(lv) OVER (PARTITION BY id ORDER BY line) = lv THEN 0 ELSE 1 END AS new FROM l)),
+has AS (SELECT id FROM g GROUP BY id HAVING max(lv) > 0),
+p AS (SELECT id, passage, lv, string_agg(words, chr(10) ORDER BY line) AS words, min(line) AS line FROM g GROUP BY ALL),
+o AS (SELECT b.id, CASE WHEN b.id IN (FROM has) THEN coalesce(x.own, '') ELSE b.text END AS own_text FROM b LEFT JOIN (SELECT id, string_agg(words, chr(10) ORDER BY line) AS own FROM g WHERE lv = 0 GROUP BY id) x USING (id)),
+said AS (SELECT id, words FROM g WHERE lv = 0 UNION ALL SELECT id, words FROM p WHERE lv = 0),
+idx AS (SELECT conv_id, {normal("words")} AS h, min(turn) AS original FROM said JOIN b USING (id) WHERE {normal("words")} <> '' GROUP BY ALL),
+asked AS (SELECT id, passage, lv, 0 AS rk, line, {normal("words")} AS h FROM p WHERE lv > 0 UNION ALL SELECT id, passage, lv, 1, line, {normal("words")} FROM g WHERE lv > 0),
+met AS (SELECT a.*, CASE WHEN i.original < b.turn THEN i.original END AS original FROM asked a JOIN b USING (id) LEFT JOIN idx i ON i.conv_id IS NOT DISTINCT FROM b.conv_id AND i.h = a.h WHERE a.h <> ''),
+one AS (SELECT id, passage, lv, min(line) AS line, arg_min(original, (rk, line)) FILTER (original IS NOT NULL) AS original FROM met GROUP BY ALL),
+r AS (SELECT id, count(*) AS n_quotes, count(original) AS n_linked, arg_min(original, (lv, line)) FILTER (original IS NOT NULL) AS reply_to FROM one GROUP BY id),
+k AS (SELECT conv_id, turn, min(reply_to) AS up FROM r JOIN b USING (id) WHERE reply_to IS NOT NULL GROUP BY ALL),
+f AS (SELECT conv_id, turn, up AS root, 1 AS depth FROM k UNION ALL SELECT f.conv_id, f.turn, k.up, f.depth + 1 FROM f JOIN k ON k.conv_id IS NOT DISTINCT FROM f.conv_id AND k.turn = f.root),
+t AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM f GROUP BY ALL),
+z AS (SELECT b.conv_id, b.turn, role, text, own_text, reply_to, CASE WHEN b.id IN (FROM has) THEN coalesce(root, b.turn) ELSE b.turn END AS root_turn, CASE WHEN b.id IN (FROM has) THEN coalesce(t.depth, 0) ELSE 0 END AS depth,
+  coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked FROM b JOIN o USING (id) LEFT JOIN r USING (id) LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.turn = b.turn)
+SELECT conv_id, turn, role, own_text, reply_to, root_turn, depth::BIGINT AS depth, n_quotes::BIGINT AS n_quotes, n_linked::BIGINT AS n_linked,
+ row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM z
+"""
+
+
+#: Conversations in which from the third turn on messages quote earlier ones: the whole turn before, or two turns before it one level
+#: deeper, or, with more blanks, the first line of the first turn. The same text serves Spark and DuckDB.
+QUOTING = """
+SELECT m.conv_id, m.turn, m.role, CASE WHEN m.turn < 2 OR p.text IS NULL THEN m.text
+  WHEN m.turn % 3 = 2 THEN concat('> ', replace(p.text, chr(10), concat(chr(10), '> ')), chr(10), m.text)
+  WHEN m.turn % 3 = 0 AND o.text IS NOT NULL THEN concat('>> ', replace(o.text, chr(10), concat(chr(10), '>> ')), chr(10), '> ', replace(p.text, chr(10), concat(chr(10), '> ')), chr(10), m.text)
+  ELSE concat(m.text, chr(10), '> ', replace(split_part(f.text, chr(10), 1), ' ', '  '), chr(10), 'So be it.') END AS text
+FROM {conversations} m LEFT JOIN {conversations} p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1
+LEFT JOIN {conversations} o ON o.conv_id = m.conv_id AND o.turn = m.turn - 2 LEFT JOIN {conversations} f ON f.conv_id = m.conv_id AND f.turn = 0
+"""
+
+#: Targets by filling a common level: sources in the order of their caps over their weights.
+MIX_TARGETS = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+a AS (SELECT *, 2 * source_size / w AS x, 1.5 * sum(source_size) OVER () AS total FROM s),
+b AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY x, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY x, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM a),
+c AS (SELECT arg_min((total - held) / open, x) FILTER ((total - held) / open <= x) AS level FROM b)
+SELECT doc_id, size, source_size, coalesce(round(least(2.0 * source_size, w * level), 3), 2.0 * source_size)::DOUBLE AS target FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source, c
+"""

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkforge.llm import chat, fingerprints
@@ -144,11 +145,28 @@ def test_quotations_are_linked(spark):
     assert chat.linked_conversations(spark.createDataFrame([], DDL)).count() == 0
 
 
-def test_long_reply_chains_and_repeated_passages(spark, monkeypatch):
+@pytest.mark.parametrize("long", [4, 4096])
+def test_long_reply_chains_and_repeated_passages(spark, monkeypatch, long):
     monkeypatch.setattr(chat, "BLOCK", 8)
+    monkeypatch.setattr(chat, "LONG", long)
     rows = [(7, 0, "user", "line 0")] + [(7, k, "user", f"> line {k - 1}\nline {k}\nthanks") for k in range(1, 40)]
     rows += [(7, 50 + k, "user", "> thanks\nok") for k in range(30)]
     got = {r["turn"]: r for r in chat.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(got[k]["reply_to"] == k - 1 and got[k]["depth"] == k and got[k]["root_turn"] == 0 for k in range(1, 40))
     assert all(got[50 + k]["reply_to"] == 1 and got[50 + k]["depth"] == 2 for k in range(30))
     assert sorted(r["position"] for r in got.values()) == list(range(len(rows)))
+    order = sorted(got.values(), key=lambda r: (r["root_turn"], r["depth"], r["turn"]))
+    assert [r["position"] for r in order] == list(range(len(rows)))
+
+
+def test_long_conversations_of_odd_rows(spark, monkeypatch):
+    """Places in blocks equal places by one window: null turns and conversations, repeated turns, hot threads."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rows = [(None, i % 7 if i % 3 else None, "user", f"m{i}") for i in range(60)]
+    rows += [(1, i % 20, "user", f"> m0\nr{i}") for i in range(100)] + [(1, 0, "user", "m0"), (2, 3, None, None), (2, None, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    runs = []
+    for long in (4096, 3):
+        monkeypatch.setattr(chat, "LONG", long)
+        runs.append(sorted(map(str, chat.linked_conversations(df).collect())))
+    assert runs[0] == runs[1]

@@ -31,6 +31,15 @@ def test_held_out_quality(spark):
     assert wins > 0.85, wins
 
 
+def test_scores_do_not_depend_on_partitions_and_ties(spark):
+    """A third of the rows lacks an id, one id repeats, and the sample is smaller than either group."""
+    rows = [(i if i % 3 else None if i % 2 else 7, f"the house of {i} and the garden is here for {'!' * (i % 5)} {i % 11}") for i in range(300)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # sums of a batch are rounded in its order: equal but for the last digits
+    runs = [sorted(round(r["score"], 9) for r in quality.classify(docs.repartition(n), sample=40).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_defined_results(spark):
     docs = frame(spark)
     got = {r["doc_id"]: r for r in quality.classify(docs).collect()}
