@@ -11,7 +11,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,15 +59,16 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables made inside are deleted at its end; what has to outlive them is written to a table after it."""
-    mark = len(_made)
-    yield
-    for path in _made[mark:]:
+def tables_made() -> int:
+    return len(_made)
+
+
+def drop_tables(spark: SparkSession, mark: int) -> None:
+    """Delete the tables made since `tables_made()` gave `mark`, but for the newest; nothing else may read them any more."""
+    for path in _made[mark:-1]:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-    del _made[mark:]
+    del _made[mark:-1]
 
 
 def release(spark: SparkSession) -> None:
