@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.llm import langid, mixing, ngram_join, packing, suffix
-from linkforge.llm.common import documents, table
+from linkforge.llm.common import documents, drop_tables, table, tables_made
 from linkforge.llm.queries import TOKENIZER, held_out
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from every language learned, go."""
     model = langid.fit(docs.where(~held_out()))
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return langid.known_languages(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, mark = documents(spark, sf_dir), tables_made()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = table(docs)
+            drop_tables(spark, mark)  # what the stage kept for itself, and its input
     return docs
