@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions.dates import stored_or_normalized
 from .functions.text import normalize_text
 from .operators import enrich, evaluate, pairs
-from .schema import EMBEDDING_SUMMARY, GROUND_TRUTH, VECTOR
+from .schema import EMBEDDING_SUMMARY, GROUND_TRUTH, SIDECAR, VECTOR, conform
 from .sources import tables as S
 
 
@@ -27,6 +27,25 @@ def registry(spark: SparkSession, path: str, summary: str | None, vectors: str |
     return d.join(enrich.usable_vectors(known, found), "record_id", "left")
 
 
+def build_embeddings(spark: SparkSession, a: argparse.Namespace) -> None:
+    """`out`/summary and `out`/vectors of every record: what the cache still holds, and what its image gives now."""
+    manifest = S.read_registry(spark, a.registry).select("record_id", "image_path")
+    if a.limit:
+        manifest = manifest.orderBy("record_id").limit(a.limit)
+    images = S.read_images(spark, a.images)
+    cache = S.read_table(spark, f"{a.cache}/summary" if a.cache else "", SIDECAR) if a.cache else spark.createDataFrame([], SIDECAR)
+    old = S.read_table(spark, f"{a.cache}/vectors", VECTOR) if a.cache else spark.createDataFrame([], VECTOR)
+    cache = cache.drop("vector_exists").join(old.select("record_id", F.lit(True).alias("vector_exists")), "record_id", "left").fillna(False, ["vector_exists"])
+    gate = {"min_size": a.min_face_size, "min_score": a.min_score, "min_blur": a.min_blur}
+    summary = enrich.build_summary(manifest, images, enrich.whole_image_faces(images), cache, {k: v for k, v in gate.items() if v is not None}, a.force)
+    todo = images.join(summary.where("usable and not reused"), "record_id", "left_semi")
+    vectors = enrich.refreshed_vectors(summary, old, enrich.encode(todo, enrich.digest_encoder))
+    S.write_registry(vectors, f"{a.out}/vectors")
+    S.write_registry(S.merge_summary(cache.drop("vector_exists"), conform(summary.withColumn("record_type", F.lit(a.record_type)), SIDECAR).drop("vector_exists")), f"{a.out}/summary")
+    n = enrich.run_counts(summary).first()
+    print(f"[{a.record_type}] {n['usable']}/{n['records']} usable faces ({n['reused']} reused from cache)")
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="linkforge")
     sub = p.add_subparsers(dest="command", required=True)
@@ -44,7 +63,11 @@ def main(argv: list[str] | None = None) -> None:
     command("backfill-location", "registry", "details")
     b = command("build-embeddings", "registry", "images")
     b.add_argument("--limit", type=int)
-    b.add_argument("--cache", help="sidecars of an earlier run, as Parquet")
+    b.add_argument("--cache", help="the output folder of an earlier run: its summary and vectors")
+    b.add_argument("--record-type", choices=["am", "pm"], default="am")
+    b.add_argument("--force", action="store_true", help="reuse nothing")
+    for gate in ("face-size", "score", "blur"):
+        b.add_argument(f"--min-{gate}", type=float)
     command("build-index", "summary", "vectors")
     for name in ("search", "compare", "evaluate"):
         c = command(name, "am", "pm")
@@ -68,13 +91,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "backfill-location":
         S.write_registry(S.backfill_location(S.read_registry(spark, a.registry), S.read_details(spark, a.details), S.PLACES), a.out)
     elif a.command == "build-embeddings":
-        manifest = S.read_registry(spark, a.registry).select("record_id", "image_path")
-        if a.limit:
-            manifest = manifest.orderBy("record_id").limit(a.limit)
-        images = enrich.manifest_status(manifest, S.read_images(spark, a.images))
-        images = images.withColumn("model_version", F.lit(enrich.MODEL_VERSION))
-        todo = enrich.cache_misses(images, spark.read.parquet(a.cache)) if a.cache else images
-        S.write_registry(enrich.encode(todo.where("failure_reason is null"), enrich.digest_encoder), a.out)
+        build_embeddings(spark, a)
     elif a.command == "build-index":
         S.write_index(enrich.usable_vectors(S.read_table(spark, a.summary, EMBEDDING_SUMMARY), S.read_table(spark, a.vectors, VECTOR)), a.out)
     else:
@@ -83,10 +100,7 @@ def main(argv: list[str] | None = None) -> None:
             S.write_csv(pairs.metadata_search(am, pm, a.top_k, a.min_score), a.out)
             return
         sides = ["am", "pm"] if a.record_types == "both" else [a.record_types]
-        found = None
-        for side in sides:
-            one = pairs.search(am, pm, side, a.top_k, a.first_stage, a.face_weight)
-            found = one if found is None else found.unionByName(one)
+        found = pairs.search(am, pm, "both" if len(sides) > 1 else sides[0], a.top_k, a.first_stage, a.face_weight)
         if a.command == "search":
             S.write_candidates(found, a.out)
         else:

@@ -53,18 +53,53 @@ def manifest_status(manifest: DataFrame, images: DataFrame) -> DataFrame:
     return d.withColumn("failure_reason", why)
 
 
+def build_summary(manifest: DataFrame, images: DataFrame, detections: DataFrame, cache: DataFrame, gate: dict | None = None, force: bool = False) -> DataFrame:
+    """The sidecars of a run, a row for each record of the manifest: reused, newly assessed, or with the reason that it has none.
+
+    `detections` has the best face of a record's image, if any. A record whose image and model are those of the
+    cached run keeps its row (`reused`); `force` reuses none.
+    """
+    from ..functions import quality
+
+    d = manifest_status(manifest, images).drop("content").withColumn("model_version", F.lit(MODEL_VERSION))
+    old = cache.where(F.lit(not force))
+    kept = cache_hits(d.where("failure_reason is null"), old).select("record_id").join(old.drop("vector_exists"), "record_id")
+    kept = kept.select("record_id", "image_sha256", "model_version", "usable", "failure_reason", "quality_band", "detector_score", F.lit(True).alias("reused"))
+    todo = d.join(kept, "record_id", "left_anti").join(detections, "record_id", "left")
+    gate = gate or {}
+    hard = {k: v for k, v in gate.items() if k != "min_blur"}
+    size = [F.col(c) for c in ("face_width", "face_height", "detector_score")]
+    none = F.when(F.col("face_width").isNull() & F.col("face_height").isNull() & F.col("detector_score").isNull(), "no_face_detected")
+    why = F.coalesce("failure_reason", none, quality.failure(*size, **hard))
+    assessed = quality.assessment(*size, F.col("blur_score"), F.col("landmarks_available"), **gate)
+    band = F.when(why.isNotNull(), "unusable").otherwise(assessed["quality_band"])
+    new = todo.select("record_id", "image_sha256", "model_version", why.isNull().alias("usable"), why.alias("failure_reason"), band.alias("quality_band"), "detector_score", F.lit(False).alias("reused"))
+    return kept.unionByName(new)
+
+
+def refreshed_vectors(summary: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors after a run: new ones, and old ones of reused usable rows and of records that the run didn't touch; stale ones are gone."""
+    reused = summary.where("reused and usable").select("record_id")
+    fresh = new.join(summary.where("usable and not reused").select("record_id"), "record_id", "left_semi")
+    untouched = old.join(summary.select("record_id"), "record_id", "left_anti")
+    return fresh.unionByName(old.join(reused, "record_id", "left_semi")).unionByName(untouched)
+
+
 def best_face(faces: DataFrame, by: str = "record_id", score: str = "detector_score", order: str = "face_no") -> DataFrame:
     """The face of each image with the highest detector score, the first of equals."""
     best = W.partitionBy(by).orderBy(F.desc_nulls_last(score), F.asc(order))
     return faces.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def run_counts(manifest: DataFrame, cache: DataFrame, summary: DataFrame) -> DataFrame:
+def run_counts(summary: DataFrame) -> DataFrame:
     """Records of a run, how many the cache answered, and how many have a usable face."""
-    reused = cache_hits(manifest, cache).select("record_id", F.lit(True).alias("reused"))
-    usable = summary.where("usable").select("record_id", F.lit(True).alias("good"))
-    d = manifest.select("record_id").join(reused, "record_id", "left").join(usable, "record_id", "left")
-    return d.agg(F.count(F.lit(1)).alias("records"), F.count("reused").alias("reused"), F.count("good").alias("usable"))
+    return summary.agg(F.count(F.lit(1)).alias("records"), F.count_if("reused").alias("reused"), F.count_if("usable").alias("usable"))
+
+
+def whole_image_faces(images: DataFrame) -> DataFrame:
+    """Stand-in for a detector: every readable image is one sharp face of the encoder's size."""
+    values = {"face_width": 112.0, "face_height": 112.0, "detector_score": 1.0, "blur_score": None}
+    return images.where(F.length("content") > 0).select("record_id", *[F.lit(v).cast("double").alias(c) for c, v in values.items()], F.lit(None).cast("boolean").alias("landmarks_available"))
 
 
 Encoder = Callable[[list[bytes]], list[list[float]]]

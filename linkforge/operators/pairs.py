@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 
 from ..functions import scoring, vector
 from ..functions.location import with_profile
-from ..functions.text import normalize_ascii
+from ..functions.text import normalize_text
 
-#: Rows up to which the smaller registry is broadcast; beyond, both sides are joined in blocks.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which the smaller registry is broadcast; beyond, both sides are joined in blocks.
+BROADCAST_BYTES = 128 << 20
 
 
-def prepare(records: DataFrame, normalize: Callable[[Column], Column] = normalize_ascii) -> DataFrame:
+def prepare(records: DataFrame, normalize: Callable[[Column], Column] = normalize_text) -> DataFrame:
     """Everything that a score needs of one record, computed once for it."""
     d = with_profile(records, normalize)
     low = lambda c: F.nullif(F.lower(F.col(c)), F.lit(""))
@@ -30,13 +30,23 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def cross(large: DataFrame, small: DataFrame, condition: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Cross join by broadcasting `small` if it has at most `most` rows, else by a block-wise product.
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes that the rows take in memory, by one aggregate over their columns."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        own = F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.array_join(c, "  ")) if kind == "array<string>" else F.size(c) * 8 if kind.startswith("array") else F.lit(0)
+        size = size + 16 + F.greatest(F.lit(0), F.coalesce(own, F.lit(0)))
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def cross(large: DataFrame, small: DataFrame, condition: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Cross join by broadcasting `small` if it takes at most `most` bytes, else by a block-wise product.
 
     The large side is spread over the cores first: one small file would be a single task.
     """
     cores = large.sparkSession.sparkContext.defaultParallelism
-    if small.limit(most + 1).count() <= most:
+    if bytes_of(small) <= most:
         spread = large.repartition(cores)
         return spread.join(F.broadcast(small), condition if condition is not None else F.lit(True))
     out = large.crossJoin(small)
@@ -78,27 +88,40 @@ def rejoined(top: DataFrame, query: DataFrame, gallery: DataFrame, q: str, c: st
 
 
 def search(am: DataFrame, pm: DataFrame, query_type: str, k: int = 20, first_stage: int | str | None = "all", face_weight: float = scoring.FACE_WEIGHT) -> DataFrame:
-    """Top `k` of the other registry for every record of `query_type` (`am` or `pm`).
+    """Top `k` of the other registry for every record of `query_type`: `am`, `pm`, or `both` for either direction.
 
     A query with a vector ranks candidates with one only, if there are any; one without ranks all by metadata.
-    With a first stage smaller than the gallery, only its nearest vectors are ranked.
+    With a first stage smaller than the gallery, only its nearest vectors are ranked. In both directions every pair is scored once.
     """
-    q, c = ("am_", "pm_") if query_type == "am" else ("pm_", "am_")
-    query, gallery = (prefixed(am, "am_"), prefixed(pm, "pm_")) if query_type == "am" else (prefixed(pm, "pm_"), prefixed(am, "am_"))
-    indexed = gallery.where(f"{c}embedding is not null").limit(vector.EXACT_CEILING + 1).count()
-    rule = F.col(f"{q}embedding").isNull() | F.col(f"{c}embedding").isNotNull() if indexed else F.lit(True)
-    large, small = (query, gallery) if query_type == "am" else (gallery, query)
-    d = narrow(scored(cross(large, small, rule), face_weight), q, c)
-    keep = vector.first_stage_k(first_stage, indexed)
-    if 0 < keep < indexed:
-        near = F.row_number().over(W.partitionBy("query_pos").orderBy(F.desc_nulls_last("similarity"), F.asc("candidate_pos")))
-        d = d.withColumn("_near", near).where((F.col("_near") <= keep) | F.col("similarity").isNull()).drop("_near")
-    top = scored(rejoined(ranked(d, k, ["query_pos"]), query, gallery, q, c), face_weight)
-    other = "pm" if query_type == "am" else "am"
-    return top.select(
-        F.lit(query_type).alias("query_type"), F.col(f"{q}record_id").alias("query_record_id"), F.lit(other).alias("candidate_type"), F.col(f"{c}record_id").alias("candidate_record_id"), "rank",
-        "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("similarity").isNotNull(), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
+    sides = ("am", "pm") if query_type == "both" else (query_type,)
+    a, p = prefixed(am, "am_"), prefixed(pm, "pm_")
+    other = {"am": "pm", "pm": "am"}
+    indexed = {q: (p if q == "am" else a).where(f"{other[q]}_embedding is not null").count() for q in sides}
+    has = lambda side: F.col(f"{side}_embedding").isNotNull()
+    rule = {q: ~has(q) | has(other[q]) if indexed[q] else F.lit(True) for q in sides}
+    either = rule[sides[0]] if len(sides) == 1 else rule["am"] | rule["pm"]
+    d = scored(cross(a, p, either), face_weight)
+    row = lambda q: F.when(rule[q], F.struct(F.lit(q).alias("query_type"), F.col(f"{q}_pos").alias("query_pos"), F.col(f"{other[q]}_pos").alias("candidate_pos")))
+    d = d.select(F.explode(F.array_compact(F.array(*[row(q) for q in sides]))).alias("x"), "final_score", "similarity").select("x.*", "final_score", "similarity") if len(sides) > 1 else d.select(
+        F.lit(sides[0]).alias("query_type"), F.col(f"{sides[0]}_pos").alias("query_pos"), F.col(f"{other[sides[0]]}_pos").alias("candidate_pos"), "final_score", "similarity"
     )
+    by = ["query_type", "query_pos"]
+    keep = {q: vector.first_stage_k(first_stage, indexed[q]) for q in sides}
+    if any(0 < keep[q] < indexed[q] for q in sides):
+        most = F.when(F.col("query_type") == sides[0], keep[sides[0]]).otherwise(keep[sides[-1]])
+        near = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last("similarity"), F.asc("candidate_pos")))
+        d = d.withColumn("_near", near).where((F.col("_near") <= most) | F.col("similarity").isNull()).drop("_near")
+    top, out = ranked(d, k, by), None
+    for q in sides:
+        c = other[q]
+        query, gallery = (a, p) if q == "am" else (p, a)
+        full = scored(rejoined(top.where(F.col("query_type") == q), query, gallery, f"{q}_", f"{c}_"), face_weight)
+        one = full.select(
+            F.lit(q).alias("query_type"), F.col(f"{q}_record_id").alias("query_record_id"), F.lit(c).alias("candidate_type"), F.col(f"{c}_record_id").alias("candidate_record_id"), "rank",
+            "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("similarity").isNotNull(), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def metadata_search(am: DataFrame, pm: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:

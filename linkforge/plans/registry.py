@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, quality, scoring, text, vector
 from ..operators import enrich, evaluate, pairs, review
 from ..schema import RANKING_VERSION
+from ..service import Engine
 from ..sources import tables as sources
 from . import adapter as A
 
@@ -33,7 +34,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return pairs.prepare(A.am(spark, sf_dir)), pairs.prepare(A.pm(spark, sf_dir))
+    """The tables' names are ASCII, for which the built-in normal form, that SQL has too, is exact."""
+    return pairs.prepare(A.am(spark, sf_dir), text.normalize_ascii), pairs.prepare(A.pm(spark, sf_dir), text.normalize_ascii)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +123,43 @@ def band_scores(spark, d):
     return read(spark, d, "events").select("event_id", scoring.band_score(F.when(F.col("event_id") % 10 != 0, F.abs("value"))).alias("score"))
 
 
-@query(BASE + "SELECT am_record_id, pm_record_id, face_score, metadata_score, final_score FROM f WHERE face IS NOT NULL OR am_pos % 5 = 0")
+@query(BASE + "SELECT am_record_id, pm_record_id, face_score, metadata_score, final_score FROM f")
 def fusion_score(spark, d):
     return pairs.scored(all_pairs(spark, d)).select("am_record_id", "pm_record_id", "face_score", "metadata_score", "final_score")
 
 
+_SPELLED = "['कोशी प्रदेश', 'प्रदेश नं २', 'बागमती', 'Gandaki', 'लुम्बिनी प्रदेश'][1 + {k} % 5]"
+_CANON = "CASE WHEN contains({c}, 'कोशी') THEN 'koshi' WHEN contains({c}, 'प्रदेश नं २') THEN 'madhesh' WHEN contains({c}, 'बागमती') THEN 'bagmati' WHEN contains({c}, 'लुम्बिनी') THEN 'lumbini' END"
+
+
+def _spelled(key):
+    return F.element_at(F.array(*[F.lit(x) for x in ("कोशी प्रदेश", "प्रदेश नं २", "बागमती", "Gandaki", "लुम्बिनी प्रदेश")]), (F.col(key) % 5 + 1).cast("int"))
+
+
+@query(f"SELECT s_suppkey, {_CANON.format(c='p')} province FROM (SELECT s_suppkey, {_SPELLED.format(k='s_suppkey')} p FROM {{supplier}})")
+def province_canonical(spark, d):
+    from ..functions.location import canonical_province
+
+    return read(spark, d, "supplier").select("s_suppkey", canonical_province(text.normalize_text(_spelled("s_suppkey"))).alias("province"))
+
+
+@query(
+    f"""WITH a AS (SELECT c_custkey, {_SPELLED.format(k='c_custkey')} p FROM {{customer}} WHERE c_nationkey = 3), b AS (SELECT s_suppkey, {_SPELLED.format(k='(s_suppkey + 1)')} p FROM {{supplier}}),
+ z AS (SELECT *, {_CANON.format(c='a.p')} x, {_CANON.format(c='b.p')} y, len(list_intersect(str_split(lower(a.p), ' '), str_split(lower(b.p), ' '))) n, lower(a.p) = lower(b.p) same FROM a, b)
+ SELECT c_custkey, s_suppkey, (CASE WHEN same THEN 0.6 WHEN n >= 2 THEN 0.75 WHEN n = 1 THEN 0.55 WHEN x <> y THEN 0.25 ELSE 0.35 END)::DOUBLE location_score FROM z"""
+)
+def location_conflict(spark, d):
+    """Locations that name provinces alone: known and different ones conflict."""
+    from ..functions.location import location_score as score
+    from ..functions.location import with_profile
+
+    none = {c: F.lit(None).cast("string") for c in ("district", "municipality")}
+    a = read(spark, d, "customer").where("c_nationkey = 3").select("c_custkey", _spelled("c_custkey").alias("location"), _spelled("c_custkey").alias("province")).withColumns(none)
+    b = read(spark, d, "supplier").withColumn("k", F.col("s_suppkey") + 1).select("s_suppkey", _spelled("k").alias("location"), _spelled("k").alias("province")).withColumns(none)
+    a, b = (pairs.prefixed(with_profile(x, text.normalize_text), p) for x, p in ((a, "am_"), (b, "pm_")))
+    return pairs.cross(a, b).select(F.col("am_c_custkey").alias("c_custkey"), F.col("pm_s_suppkey").alias("s_suppkey"), score().alias("location_score"))
+
+
 @query(BASE + f"SELECT am_record_id, pm_record_id, {_CONFLICTS} FROM f")
 def conflict_flags(spark, d):
     return all_pairs(spark, d).select("am_record_id", "pm_record_id", *[c.alias(n) for n, c in scoring.conflicts().items()])
@@ -186,8 +220,7 @@ def am_to_pm_topk(spark, d):
 
 @query(BASE + _top("am", 20) + " UNION ALL " + _top("pm", 20))
 def bidirectional_union(spark, d):
-    a, p = sides(spark, d)
-    return pairs.search(a, p, "am").unionByName(pairs.search(a, p, "pm"))
+    return pairs.search(*sides(spark, d), "both")
 
 
 @query(BASE + _top("pm", 20))
@@ -214,7 +247,7 @@ def source_counts(spark, d):
 def candidates_of_one(spark, d):
     a = A.am(spark, d)
     one = A.pm(spark, d).where("record_id = 'PM1'")
-    top = pairs.search(pairs.prepare(a), pairs.prepare(one), "pm")
+    top = pairs.search(pairs.prepare(a, text.normalize_ascii), pairs.prepare(one, text.normalize_ascii), "pm")
     shown = a.select(F.col("record_id").alias("candidate_record_id"), "name", F.concat(F.lit(text.IMAGE_ROOT), "record_id", F.lit(".jpg")).alias("path"))
     return top.join(shown, "candidate_record_id").select("candidate_record_id", "rank", "final_score", "name", text.image_url(F.col("path")).alias("image_url"))
 
@@ -226,10 +259,33 @@ def candidates_of_one(spark, d):
 def transient_search(spark, d):
     """An upload as a query: the values of one record under a name that no registry has."""
     one = A.pm(spark, d).where("pos = 3").withColumn("record_id", F.lit("UPLOAD"))
-    top = pairs.transient(pairs.prepare(one), pairs.prepare(A.am(spark, d)), "am", 20)
+    top = pairs.transient(*[pairs.prepare(x, text.normalize_ascii) for x in (one, A.am(spark, d))], "am", 20)
+    return top.select(F.col("candidate_record_id").alias("am_record_id"), "rank", "final_score")
+
+
+@query(
+    BASE.replace("pm AS (SELECT record_id", "pm AS (SELECT 'UPLOAD' AS record_id").replace("FROM pm0)", "FROM pm0 WHERE pos = 4)").replace("embedding::DOUBLE[] emb FROM pm0", "NULL::DOUBLE[] emb FROM pm0")
+    + 'SELECT am_record_id, row_number() OVER (ORDER BY final_score DESC, am_pos) "rank", final_score FROM f QUALIFY "rank" <= 100'
+)
+def transient_metadata(spark, d):
+    """An upload without a face, asked for more than the most that a request may get."""
+    one = A.pm(spark, d).where("pos = 4").withColumns({"record_id": F.lit("UPLOAD"), "embedding": F.lit(None).cast("array<float>")})
+    top = pairs.transient(*[pairs.prepare(x, text.normalize_ascii) for x in (one, A.am(spark, d))], "am", 500)
     return top.select(F.col("candidate_record_id").alias("am_record_id"), "rank", "final_score")
 
 
+@query("WITH r AS (SELECT unnest([NULL, 5, 150000, 99999999]) asked), g AS (SELECT unnest([0, 3, 6000, 200000]) gallery) SELECT coalesce(asked, -1)::INT asked, gallery::INT gallery, (CASE WHEN gallery = 0 THEN 0 WHEN asked IS NULL THEN least(gallery, 100000) ELSE greatest(1, least(asked, gallery)) END)::INT neighbours FROM r, g")
+def first_stage_size(spark, d):
+    rows = [(-1 if k is None else k, n, vector.first_stage_k(k, n)) for k in (None, 5, 150_000, 99_999_999) for n in (0, 3, 6000, 200_000)]
+    return spark.createDataFrame(rows, "asked int, gallery int, neighbours int")
+
+
+@query(f"WITH a AS ({A.AM}) SELECT record_id, embedding IS NOT NULL has_face, count(*) OVER () total FROM a ORDER BY pos LIMIT 30 OFFSET 10")
+def service_list(spark, d):
+    total, page = Engine(A.am(spark, d), A.pm(spark, d)).list_records("am", 30, 10)
+    return page.select("record_id", "has_face", F.lit(total).cast("long").alias("total"))
+
+
 _EVEN_ODD = "SELECT q.vec_id query_id, c.vec_id candidate_id, q.label q_label, c.label c_label, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) sim FROM {embeddings} q, {embeddings} c WHERE q.vec_id % 2 = 0 AND c.vec_id % 2 = 1"
 
 
@@ -338,6 +394,17 @@ def threshold_sweep(spark, d):
     return evaluate.threshold_sweep(A.view(spark, d, A.DETECTIONS)).withColumn("enrolment_rate", F.round("enrolment_rate", 6))
 
 
+@query(
+    _MODES
+    + f""", x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE min_score), b AS (SELECT unnest([0, 50, 100])::DOUBLE min_blur),
+ y AS (SELECT h.rk, min_score, min_blur, {_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true) ok FROM h JOIN x ON x.record_key = h.query_id, g, b WHERE h."mode" = 'face+metadata')
+ SELECT min_score, min_blur, count(*) FILTER (ok) enrolled, {", ".join(f"round(coalesce(avg(coalesce((rk <= {k})::INT, 0)) FILTER (ok), 0), 6) recall_{k}" for k in evaluate.AT)} FROM y GROUP BY ALL"""
+)
+def threshold_recall(spark, d):
+    ranks = _modes(spark, d).where("mode = 'face+metadata'").withColumnRenamed("query_id", "record_key")
+    return _rounded(evaluate.threshold_recall(A.view(spark, d, A.DETECTIONS), ranks, "record_key"))
+
+
 # ------------------------------------------------------------- enrichment and caches
 
 _SUMMARY = A.DETECTIONS.replace("CONCAT('E', CAST(event_id AS STRING)) AS record_id", "CONCAT('AM', CAST(event_id % 2003 AS STRING)) AS record_id")
@@ -381,10 +448,75 @@ def cache_misses(spark, d):
     return enrich.cache_misses(_manifest(spark, d), A.view(spark, d, A.CACHE)).select("record_id")
 
 
-@query()
+_BYTES = "[" + ", ".join(f"(16 * (strpos('123456789abcdef', h[{2 * k + 1}]) ) + strpos('123456789abcdef', h[{2 * k + 2}]) - 127.5)::DOUBLE" for k in range(8)) + "]"
+
+
+@query(f"WITH h AS (SELECT doc_id::VARCHAR record_id, sha256(text) h FROM {{documents}}), b AS (SELECT record_id, {_BYTES} v FROM h) SELECT record_id, list_transform(v, lambda x: round((x / sqrt(list_inner_product(v, v)))::FLOAT::DOUBLE, 5)::VARCHAR) embedding FROM b")
 def encoder_fake(spark, d):
     images = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").cast("binary").alias("content"))
-    return enrich.encode(images, enrich.digest_encoder)
+    x = enrich.encode(images, enrich.digest_encoder)
+    return x.select("record_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 5).cast("string")).alias("embedding"))
+
+
+# An embedding run over the documents' images: a fifth has no path, some files are missing or empty, faces come from the stream.
+_RUN = f"""m AS (SELECT concat('D', doc_id::VARCHAR) record_id, CASE WHEN doc_id % 19 <> 0 THEN 'x' END image_path FROM {{documents}}),
+i AS (SELECT concat('D', doc_id::VARCHAR) record_id, sha256(text) sha, doc_id % 31 = 0 empty FROM {{documents}} WHERE doc_id % 23 <> 0), x AS ({A.DETECTIONS}),
+f AS (SELECT concat('D', record_key::VARCHAR) record_id, face_width, face_height, detector_score, blur_score, landmarks_available FROM x WHERE record_key % 6 <> 1),
+s AS (SELECT m.record_id, i.sha image_sha256, CASE WHEN coalesce(image_path, '') = '' THEN 'no_image_path' WHEN i.sha IS NULL THEN 'image_file_missing' WHEN i.empty THEN 'unreadable_image' END why FROM m LEFT JOIN i USING (record_id)),
+c AS ({A.CACHE}),
+k AS (SELECT s.record_id, c.usable, NULL failure_reason, CASE WHEN c.usable THEN 'good' ELSE 'unusable' END quality_band, 0.9::DOUBLE detector_score, true reused FROM s JOIN c ON c.record_id = s.record_id AND c.image_sha256 = s.image_sha256
+ AND c.model_version = 'pluggable-encoder-1' AND (NOT c.usable OR c.vector_exists) WHERE why IS NULL),
+n AS (SELECT s.record_id, coalesce(why, CASE WHEN face_width IS NULL AND face_height IS NULL AND detector_score IS NULL THEN 'no_face_detected' END, {_GATE}) failure_reason, detector_score, face_width, face_height, blur_score, landmarks_available
+ FROM s LEFT JOIN f USING (record_id) WHERE s.record_id NOT IN (SELECT record_id FROM k)),
+r AS (SELECT * FROM k UNION ALL SELECT record_id, failure_reason IS NULL, failure_reason, CASE WHEN failure_reason IS NOT NULL THEN 'unusable' ELSE ['good', 'moderate', 'poor', 'poor', 'poor'][1 + {" + ".join(f"coalesce(({c})::INT, 0)" for _, c in _SOFT[1:])}] END, detector_score, false FROM n)
+"""
+
+
+def _run(spark, d) -> DataFrame:
+    docs = read(spark, d, "documents")
+    name = lambda c: F.concat(F.lit("D"), F.col(c).cast("string")).alias("record_id")
+    manifest = docs.select(name("doc_id"), F.when(F.col("doc_id") % 19 != 0, "x").alias("image_path"))
+    images = docs.where("doc_id % 23 <> 0").select(name("doc_id"), F.when(F.col("doc_id") % 31 == 0, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("content"), F.sha2("text", 256).alias("image_sha256"))
+    faces = A.view(spark, d, A.DETECTIONS).where("record_key % 6 <> 1").select(name("record_key"), "face_width", "face_height", "detector_score", "blur_score", "landmarks_available")
+    cache = A.view(spark, d, A.CACHE).withColumns({"failure_reason": F.lit(None).cast("string"), "quality_band": F.when(F.col("usable"), "good").otherwise("unusable"), "detector_score": F.lit(0.9)})
+    return enrich.build_summary(manifest, images, faces, cache)
+
+
+@query(f"WITH {_RUN} SELECT record_id, usable, failure_reason, quality_band, detector_score, reused FROM r")
+def embedding_summary(spark, d):
+    return _run(spark, d).select("record_id", "usable", "failure_reason", "quality_band", "detector_score", "reused")
+
+
+@query(f"WITH {_RUN} SELECT count(*) records, count(*) FILTER (reused) reused, count(*) FILTER (usable) usable FROM r")
+def embedding_run_counts(spark, d):
+    return enrich.run_counts(_run(spark, d))
+
+
+@query(f"WITH {_RUN} SELECT coalesce(failure_reason, 'none') failure_reason, count(*) records FROM r GROUP BY ALL")
+def failure_taxonomy(spark, d):
+    return _run(spark, d).groupBy(F.coalesce("failure_reason", F.lit("none")).alias("failure_reason")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(f"WITH {_RUN} SELECT record_id, origin FROM (SELECT record_id, 'new' origin FROM r WHERE usable AND NOT reused UNION ALL SELECT record_id, 'old' FROM r WHERE usable AND reused)")
+def refreshed_vectors(spark, d):
+    """Vectors after the run: each usable record has one, new or old; stale ones are gone."""
+    summary = _run(spark, d)
+    tag = lambda x, name: x.select("record_id", F.lit(name).alias("origin"))
+    old = A.view(spark, d, A.CACHE).where("vector_exists and usable")
+    return enrich.refreshed_vectors(summary, tag(old, "old"), tag(summary, "new"))
+
+
+@query(f"WITH o AS (SELECT * FROM ({_SUMMARY}) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY record_key) = 1), n AS (SELECT * FROM ({_SUMMARY}) WHERE record_key % 3 = 0 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY record_key DESC) = 1) SELECT record_id, record_key FROM n UNION ALL SELECT record_id, record_key FROM o WHERE record_id NOT IN (SELECT record_id FROM n)")
+def summary_merge(spark, d):
+    x = A.view(spark, d, _SUMMARY).select("record_id", "record_key")
+    old = enrich.latest(x.withColumn("k", -F.col("record_key")), "k").drop("k")
+    return sources.merge_summary(old, enrich.latest(x.where("record_key % 3 = 0"), "record_key"))
+
+
+@query(f"WITH x AS (SELECT *, concat('I', (record_key // 4)::VARCHAR) image FROM ({A.DETECTIONS})) SELECT image, record_key FROM x QUALIFY row_number() OVER (PARTITION BY image ORDER BY detector_score DESC NULLS LAST, record_key) = 1")
+def best_face(spark, d):
+    x = A.view(spark, d, A.DETECTIONS).withColumn("image", F.concat(F.lit("I"), F.floor(F.col("record_key") / 4).cast("string")))
+    return enrich.best_face(x, "image", order="record_key").select("image", "record_key")
 
 
 # ------------------------------------------------------------------- counts and pages
@@ -502,7 +634,7 @@ def token_overlap(spark, d):
     return t.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_intersect("tokens", "next")).alias("shared"))
 
 
-@query()
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[:.\\-,।/|]+', ' ', 'g'), '\\s+', ' ', 'g')) normal FROM {documents}")
 def text_nfkc(spark, d):
     return read(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
@@ -548,6 +680,101 @@ def html_sections(spark, d):
     return x.select("page_id", "name", F.size("sections").alias("n_sections"))
 
 
+_CELL = "CASE event_id % 6 WHEN 0 THEN concat('  a ', chr(9), event_id::VARCHAR, '  b ') WHEN 1 THEN concat((event_id % 90)::VARCHAR, ' to ', (event_id % 90 + 7)::VARCHAR) WHEN 2 THEN concat(' ', (event_id % 50)::VARCHAR, '.5 ') WHEN 3 THEN concat('seen ', strftime(ts, '%Y-%m-%d'), ' there') WHEN 4 THEN '5d' END"
+
+
+def _cells(spark, d) -> DataFrame:
+    e, s = F.col("event_id"), lambda c: c.cast("string")
+    raw = (
+        F.when(e % 6 == 0, F.concat(F.lit("  a \t"), s(e), F.lit("  b ")))
+        .when(e % 6 == 1, F.concat(s(e % 90), F.lit(" to "), s(e % 90 + 7)))
+        .when(e % 6 == 2, F.concat(F.lit(" "), s(e % 50), F.lit(".5 ")))
+        .when(e % 6 == 3, F.concat(F.lit("seen "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" there")))
+        .when(e % 6 == 4, "5d")
+    )
+    return read(spark, d, "events").select("event_id", raw.alias("raw"))
+
+
+@query(f"SELECT event_id, trim(regexp_replace(coalesce({_CELL}, ''), '\\s+', ' ', 'g')) cleaned, try_cast({_CELL} AS DOUBLE) number, regexp_extract(coalesce({_CELL}, ''), '([0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}})', 1) listed FROM {{events}}".replace("{{", "{").replace("}}", "}"))
+def cell_parsers(spark, d):
+    c = F.col("raw")
+    return _cells(spark, d).select("event_id", text.clean(c).alias("cleaned"), text.to_float(c).alias("number"), text.list_date(c).alias("listed"))
+
+
+@query(f"WITH c AS (SELECT event_id, list_transform(regexp_extract_all(coalesce({_CELL}, ''), '[0-9]+(?:\\.[0-9]+)?'), lambda x: x::DOUBLE) n FROM {{events}}) SELECT event_id, n[1] first_age, n[-1] last_age, list_min(list_append(n, 33.0)) least_age, list_max(list_append(n, 33.0)) greatest_age FROM c")
+def age_ranges(spark, d):
+    n = text.all_numbers(F.col("raw"))
+    first, last = text.first_last(n)
+    low, high = text.least_greatest(n, F.array(F.lit(33.0)))
+    return _cells(spark, d).select("event_id", first.alias("first_age"), last.alias("last_age"), low.alias("least_age"), high.alias("greatest_age"))
+
+
+_NAMED = "CASE doc_id % 4 WHEN 0 THEN 'नखुलेको' WHEN 1 THEN source WHEN 2 THEN '' ELSE lang END"
+
+
+@query(f"SELECT concat('PM-LIST-p', (doc_id % 9)::VARCHAR, '-i', doc_id::VARCHAR) record_id, nullif(nullif({_NAMED}, 'नखुलेको'), '') AS name, CASE doc_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'other' END sex, least(20 + doc_id % 30, 25)::DOUBLE age_min, greatest(30 + doc_id % 30, 25)::DOUBLE age_max, (150 + doc_id % 40)::DOUBLE height_cm, '2082-05-12' event_date, 'flood' disaster_tag FROM {{documents}}")
+def list_import(spark, d):
+    return sources.import_list(_list_rows(spark, d)).select("record_id", "name", "sex", "age_min", "age_max", "height_cm", "event_date", "disaster_tag")
+
+
+def _list_rows(spark, d) -> DataFrame:
+    i, s = F.col("doc_id"), lambda c: c.cast("string")
+    name = F.when(i % 4 == 0, "नखुलेको").when(i % 4 == 1, F.col("source")).when(i % 4 == 2, "").otherwise(F.col("lang"))
+    sex = F.when(i % 3 == 0, "पुरुष").when(i % 3 == 1, "महिला").otherwise("अन्य")
+    parts = ["12", "flood", "नाम :-", F.coalesce(name, F.lit("")), "लिङ्ग:-", sex, "उमेर:-", F.concat(s(i % 30 + 20), F.lit(" - "), s(i % 30 + 30)), "अनुमानित उमेर:-", "25", "उचाइ :-", F.concat(s(i % 40 + 150), F.lit(" cm")), "2082-05-12"]
+    details = F.concat_ws(" | ", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return read(spark, d, "documents").select(details.alias("Details"), F.concat(F.lit("p_i"), s(i), F.lit(".jpg")).alias("Image_Filename"), (i % 9).cast("int").alias("Page"))
+
+
+def _details(spark, d) -> DataFrame:
+    """Detail pages of the suppliers: labels with blanks, sections of which the first lacks the value, some pages without a place."""
+    k, s = F.col("s_suppkey"), lambda c: c.cast("string")
+    person = F.create_map(F.lit(" लिङ्ग "), F.when(k % 2 == 0, "पुरुष").otherwise("महिला"), F.lit("उमेर"), F.concat(s(k % 50), F.lit("-"), s(k % 50 + 4)), F.lit("प्रदेश "), F.lit(" "))
+    place = F.create_map(F.lit("प्रदेश"), F.when(k % 5 != 0, _spelled("s_suppkey")).otherwise(""), F.lit(" जिल्ला"), F.when(k % 5 != 0, F.concat(F.lit("D"), s(k % 7))).otherwise(""), F.lit("भेटिएको मिति"), F.when(k % 3 == 0, "2026-01-05"))
+    return read(spark, d, "supplier").where("s_suppkey % 11 <> 0").select(F.concat(F.lit("PM"), s(k)).alias("record_id"), F.col("s_name").alias("name"), F.map_from_arrays(F.array(F.lit("Person"), F.lit("Place")), F.array(person, place)).alias("sections"))
+
+
+_FOUND = f"f AS (SELECT s_suppkey, concat('PM', s_suppkey::VARCHAR) record_id, CASE WHEN s_suppkey % 5 <> 0 THEN {_SPELLED.format(k='s_suppkey')} END province, CASE WHEN s_suppkey % 5 <> 0 THEN concat('D', (s_suppkey % 7)::VARCHAR) END district FROM {{supplier}} WHERE s_suppkey % 11 <> 0)"
+
+
+@query(f"WITH {_FOUND} SELECT record_id, CASE WHEN s_suppkey % 2 = 0 THEN 'male' ELSE 'female' END sex, (s_suppkey % 50)::DOUBLE age_min, (s_suppkey % 50 + 4)::DOUBLE age_max, province, district, nullif(concat_ws(' ', province, district), '') AS location, CASE WHEN s_suppkey % 3 = 0 THEN 'AD' ELSE 'unknown' END calendar_type, CASE WHEN s_suppkey % 3 = 0 THEN '2026-01-05' END event_date_normalized FROM f")
+def detail_import(spark, d):
+    return sources.import_details(_details(spark, d), "PM").select("record_id", "sex", "age_min", "age_max", "province", "district", "location", "calendar_type", "event_date_normalized")
+
+
+@query(f"WITH {_FOUND} SELECT count(*) records, count(*) FILTER (s_suppkey % 3 = 0) dated, count(*) aged, count(province) located, 0::BIGINT pictured FROM f")
+def import_coverage(spark, d):
+    return sources.import_coverage(sources.import_details(_details(spark, d), "PM"))
+
+
+_OLD = "o AS (SELECT concat('PM', s_suppkey::VARCHAR) record_id, CASE WHEN s_suppkey % 4 <> 0 THEN 'old' END AS location, NULL::VARCHAR province FROM {supplier})"
+
+
+def _backfilled(spark, d) -> tuple[DataFrame, DataFrame]:
+    k = F.col("s_suppkey")
+    none = F.lit(None).cast("string")
+    old = read(spark, d, "supplier").select(F.concat(F.lit("PM"), k.cast("string")).alias("record_id"), F.when(k % 4 != 0, "old").alias("location"), none.alias("province"), none.alias("district"))
+    return old, sources.backfill_location(old, _details(spark, d), {c: sources.PLACES[c] for c in ("province", "district")})
+
+
+@query(f"WITH {_FOUND}, {_OLD} SELECT o.record_id, coalesce(nullif(concat_ws(' ', f.province, f.district), ''), o.location) AS location, f.province, f.district FROM o LEFT JOIN f USING (record_id)")
+def location_backfill(spark, d):
+    return _backfilled(spark, d)[1]
+
+
+@query(f"WITH {_FOUND}, {_OLD}, n AS (SELECT o.location old, coalesce(nullif(concat_ws(' ', f.province, f.district), ''), o.location) new FROM o LEFT JOIN f USING (record_id)) SELECT count(*) FILTER (old IS DISTINCT FROM new) updated, count(*) FILTER (new IS NULL) still_blank FROM n")
+def backfill_counts(spark, d):
+    return sources.backfill_counts(*_backfilled(spark, d))
+
+
+@query(_DATES + ", w AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(DATE '2020-01-01' + (event_id % 900)::INT, '%Y-%m-%d') WHEN event_id % 3 = 1 THEN 'bad' END kept FROM {events}) SELECT event_id, coalesce(CASE WHEN kept <> 'bad' THEN kept END, event_date_normalized) event_day FROM o JOIN w USING (event_id)")
+def stored_dates(spark, d):
+    e = F.col("event_id")
+    kept = F.when(e % 3 == 0, F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (e % 900).cast("int")), "yyyy-MM-dd")).when(e % 3 == 1, "bad")
+    x = dates.stored_or_normalized(_raw_dates(spark, d).withColumn("event_date_normalized", kept))
+    return x.select("event_id", F.coalesce(F.date_format("event_day", "yyyy-MM-dd"), F.lit("")).alias("event_day"))
+
+
 # -------------------------------------------------------------------------- reviews
 
 _DECISION = "['Potential', 'not likely-candidate', 'insufficient evidence', 'REJECTED', 'maybe'][1 + event_id % 5]"

@@ -30,7 +30,7 @@ EMBEDDING_SUMMARY = _struct(
 
 SIDECAR = _struct(
     "record_id string, usable boolean, failure_reason string, detector_score double, face_width double, face_height double, blur_score double, detected_sex string, quality_band string, processed_at string, "
-    "model_name string, model_version string, image_sha256 string, embedding_dimension int, bbox array<int>, quality_reasons array<string>, landmarks_available boolean"
+    "model_name string, model_version string, image_sha256 string, embedding_dimension int, bbox array<int>, quality_reasons array<string>, landmarks_available boolean, vector_exists boolean"
 )
 
 VECTOR = _struct("record_id string, embedding array<float>")

@@ -96,34 +96,63 @@ def write_report(values: dict, path: str) -> None:
 
 
 class _Sections(HTMLParser):
-    """Headings, links and paragraphs of a page as labelled sections."""
+    """Headings and cards of a page: below a card's title each bold label with the span after it, else the rest of its parent."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.sections, self.at, self.tag, self.label = "", {}, "", None, None
+        self.title, self.sections, self.open, self.card = None, {}, [], None
 
     def handle_starttag(self, tag, attrs):
-        css = dict(attrs).get("class") or ""
-        self.tag = "card" if "card-title" in css.split() else tag
+        if tag in self.VOID:
+            return
+        css = (dict(attrs).get("class") or "").split()
+        node = {"tag": tag, "title": "card-title" in css, "text": [], "label": None}
+        if tag == "span" and self.open and self.open[-1]["label"] is not None and not self.open[-1].get("valued"):
+            node["of"] = self.open[-1]
+        self.open.append(node)
 
     def handle_endtag(self, tag):
-        self.tag = None
+        while any(n["tag"] == tag for n in self.open):
+            node = self.open.pop()
+            self.closed(node, " ".join("".join(node["text"]).split()))
+            if node["tag"] == tag:
+                break
+
+    def closed(self, node, text):
+        parent = self.open[-1] if self.open else None
+        if parent is not None:
+            parent["text"].append("".join(node["text"]))
+        if self.title is None and node["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.title = text
+        if node["title"]:
+            self.card = self.sections.setdefault(text, {})
+        elif node["tag"] == "strong" and self.card is not None and parent is not None:
+            label = text.rstrip(":").strip()
+            if label:
+                self.settle(parent)
+                parent["label"], parent["valued"], parent["card"] = label, False, self.card
+        elif "of" in node:
+            node["of"]["card"][node["of"]["label"]] = text
+            node["of"]["valued"] = True
+        if node["label"] is not None:
+            self.settle(node)
+
+    def settle(self, node):
+        """A label without a span has what its parent's text adds to it."""
+        if node["label"] is not None and not node["valued"]:
+            node["card"][node["label"]] = " ".join("".join(node["text"]).split())[len(node["label"]) :].lstrip(": ").strip()
+            node["label"] = None
 
     def handle_data(self, data):
-        data = " ".join(data.split())
-        if not data or self.tag in ("script", "style"):
-            return
-        if self.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "title") and not self.title:
-            self.title = data
-        elif self.tag == "card":
-            self.at, self.label = data, None
-            self.sections.setdefault(data, {})
-        elif self.tag == "strong":
-            self.label = data.rstrip(": ").rstrip()
-            self.sections.setdefault(self.at, {})[self.label] = ""
-        elif self.label is not None and not self.sections[self.at][self.label]:
-            self.sections[self.at][self.label] = data
-            self.label = None
+        if self.open and self.open[-1]["tag"] not in ("script", "style"):
+            self.open[-1]["text"].append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[-1]["tag"])
 
 
 def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -136,7 +165,8 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") ->
             for page in batch[html]:
                 p = _Sections()
                 p.feed(page or "")
-                names.append(p.title)
+                p.close()
+                names.append(p.title or "")
                 sections.append(p.sections)
             yield pd.DataFrame({key: batch[key], "name": names, "sections": sections})
 
@@ -158,25 +188,34 @@ def import_list(rows: DataFrame) -> DataFrame:
     )
 
 
-# Labels of the detail pages.
-PLACES = {"province": ["प्रदेश"], "district": ["जिल्ला"], "municipality": ["पालिका", "नगरपालिका", "गाउँपालिका"]}
-LABELS = {"sex": ["लिङ्ग"], "age": ["उमेर", "अनुमानित उमेर"], "height": ["उचाइ"], "event_date": ["मिति", "हराएको मिति", "फेला परेको मिति"], "clothing": ["पोशाक", "लुगा"], "marks": ["विशेष चिन्ह", "हुलिया"]}
+# Labels of the detail pages, the ones that the portal shows first.
+PLACES = {"province": ["प्रदेश"], "district": ["जिल्ला"], "municipality": ["गाउँपालिका / नगरपालिका"]}
+LABELS = {
+    "sex": ["लिङ्ग"],
+    "age": ["उमेर /अन्दाजी उमेर", "उमेर"],
+    "height": ["उचाई"],
+    "event_date": {"AM": ["हराएको मिति"], "PM": ["भेटिएको मिति"]},
+    "ward": ["वार्ड नम्बर"],
+    "clothing": ["लगाएको लुगा"],
+    "marks": ["विशेष चिन्ह", "विशिष्ट लक्षणहरु"],
+}
 
 
 def import_details(details: DataFrame, record_type: str) -> DataFrame:
-    """Registry records from raw detail pages; PM pages carry no name of the person."""
+    """Registry records from raw detail pages, dates normalised; PM pages carry no name of the person."""
     find = lambda names: text.clean(text.find_first(F.col("sections"), names, strip=True))
     known = lambda c: F.nullif(c, F.lit(""))
     low, high = text.first_last(text.all_numbers(find(LABELS["age"])))
     places = {c: known(find(names)) for c, names in PLACES.items()}
-    return conform(
+    out = conform(
         details.select(
             "record_id", F.lit(record_type).alias("record_type"), (F.lit(None).cast("string") if record_type == "PM" else known(text.clean(F.col("name")))).alias("name"), known(text.canonical_sex(find(LABELS["sex"]))).alias("sex"),
-            low.alias("age_min"), high.alias("age_max"), text.height_to_cm(known(find(LABELS["height"]))).alias("height_cm"), known(find(LABELS["event_date"])).alias("event_date"),
-            known(F.concat_ws(" ", *places.values())).alias("location"), *[c.alias(n) for n, c in places.items()], known(find(LABELS["clothing"])).alias("clothing"), known(find(LABELS["marks"])).alias("distinguishing_marks"),
+            low.alias("age_min"), high.alias("age_max"), text.height_to_cm(known(find(LABELS["height"]))).alias("height_cm"), known(find(LABELS["event_date"][record_type])).alias("event_date"),
+            known(F.concat_ws(" ", *places.values())).alias("location"), *[c.alias(n) for n, c in places.items()], known(find(LABELS["ward"])).alias("ward"), known(find(LABELS["clothing"])).alias("clothing"), known(find(LABELS["marks"])).alias("distinguishing_marks"),
         ),
         PERSON,
     )
+    return conform(backfill_dates(out), PERSON)
 
 
 def import_coverage(registry: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ GOLD = {
 
 @pytest.fixture(scope="module")
 def both(spark):
-    return pairs.prepare(spark.createDataFrame(AM, FIELDS)), pairs.prepare(spark.createDataFrame(PM, FIELDS))
+    """In the ASCII form, so that plans show the pair path alone: the Unicode form is made once a record, before any pair."""
+    return tuple(pairs.prepare(spark.createDataFrame(x, FIELDS), text.normalize_ascii) for x in (AM, PM))
 
 
 def test_golden_scores(both):
@@ -90,6 +91,19 @@ def test_large_galleries_are_not_broadcast(both):
     assert df.count() == 9 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_both_directions_score_a_pair_once(both):
+    df = pairs.search(*both, "both")
+    one = sorted(map(str, pairs.search(*both, "am").unionByName(pairs.search(*both, "pm")).collect()))
+    assert sorted(map(str, df.collect())) == one
+    near = pairs.search(*both, "both", first_stage=1)
+    assert near.where("candidate_source = 'face+metadata'").groupBy("query_type", "query_record_id").count().where("count > 1").isEmpty()
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    long = spark.createDataFrame([(1, "x" * 10_000, [0.5] * 1000)], "pos long, name string, embedding array<double>")
+    assert 15_000 < pairs.bytes_of(long) < 25_000 and pairs.bytes_of(long.limit(0)) == 0
+
+
 def test_transient_neutral_query(spark, both):
     one = pairs.prepare(spark.createDataFrame([("Q", 0) + (None,) * 11], FIELDS))
     rows = pairs.transient(one, both[0], "am", 500).collect()

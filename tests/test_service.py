@@ -50,7 +50,7 @@ def test_images_faces_and_counts(spark):
 
 
 def test_detail_import(spark):
-    page = ("AM7", " Some  Name ", {"Person": {" लिङ्ग ": "पुरुष", "उमेर": "३० देखि ३५", "उचाइ": "5 ft 6"}, "Place": {"प्रदेश": "कोशी", "जिल्ला": "Sunsari"}})
+    page = ("AM7", " Some  Name ", {"Person": {" लिङ्ग ": "पुरुष", "उमेर": "३० देखि ३५", "उचाई": "5 ft 6"}, "Place": {"प्रदेश": "कोशी", "जिल्ला": "Sunsari"}})
     d = spark.createDataFrame([page], "record_id string, name string, sections map<string, map<string, string>>")
     r = tables.import_details(d, "AM").first()
     assert (r["name"], r["sex"], r["age_min"], r["age_max"], r["height_cm"], r["location"], r["district"]) == ("Some Name", "male", 30.0, 35.0, 167.6, "कोशी Sunsari", "Sunsari")
@@ -73,3 +73,35 @@ def test_commands(spark, tmp_path):
     assert '"recall_1": 1.0' in (tmp_path / "report.json").read_text()
     main(["normalize-dates", f"{tmp_path}/am.csv", "--out", f"{tmp_path}/dated"])
     assert {r["calendar_type"] for r in spark.read.parquet(f"{tmp_path}/dated").collect()} == {"AD", "BS"}
+
+
+def test_embeddings_are_built_and_refreshed(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("record_id,image_path\nA,a.jpg\nB,b.jpg\nC,\nD,d.jpg\nE,e.jpg\n")
+    shots = tmp_path / "shots"
+    shots.mkdir()
+    for name, body in (("A", b"one"), ("B", b"two"), ("E", b"")):
+        (shots / f"{name}.jpg").write_bytes(body)
+    run = lambda *more: main(["build-embeddings", f"{tmp_path}/p.csv", str(shots), *more])
+    run("--out", f"{tmp_path}/r1")
+    first = {r["record_id"]: r for r in spark.read.parquet(f"{tmp_path}/r1/summary").collect()}
+    assert {k: r["failure_reason"] for k, r in first.items()} == {"A": None, "B": None, "C": "no_image_path", "D": "image_file_missing", "E": "image_file_missing"}  # the file source lists no empty files
+    (shots / "B.jpg").write_bytes(b"changed")
+    (shots / "E.jpg").write_bytes(b"three")
+    (tmp_path / "p.csv").write_text("record_id,image_path\nB,b.jpg\nE,e.jpg\n")
+    run("--cache", f"{tmp_path}/r1", "--out", f"{tmp_path}/r2")
+    vectors = lambda k: {r["record_id"]: list(r["embedding"]) for r in spark.read.parquet(f"{tmp_path}/{k}/vectors").collect()}
+    old, new = vectors("r1"), vectors("r2")
+    assert set(new) == {"A", "B", "E"} and new["A"] == old["A"] and new["B"] != old["B"]
+    assert {r["record_id"] for r in spark.read.parquet(f"{tmp_path}/r2/summary").collect()} == set("ABCDE")
+    run("--cache", f"{tmp_path}/r2", "--min-face-size", "200", "--force", "--out", f"{tmp_path}/r3")
+    assert set(vectors("r3")) == {"A"}  # both records of the run fail the gate now: their vectors are stale
+    main(["build-index", f"{tmp_path}/r2/summary", f"{tmp_path}/r2/vectors", "--out", f"{tmp_path}/index"])
+    assert spark.read.parquet(f"{tmp_path}/index").count() == 3
+
+
+def test_names_are_compared_in_their_normal_form(spark):
+    place = {"location": "Ｋathmandu", "district": "Kathmandu"}
+    fields = "record_id string, pos long, sex string, detected_sex string, age_min double, age_max double, height_cm double, event_day date, location string, province string, district string, municipality string, embedding array<float>"
+    row = lambda i, d: spark.createDataFrame([(i, 0, None, None, None, None, None, None, d["location"], None, d.get("district"), None, None)], fields)
+    e = Engine(row("A", place), row("P", {"location": "KATHMANDU"}))
+    assert e.candidates("pm", "P").first()["location_score"] == 0.8

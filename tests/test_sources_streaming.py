@@ -35,6 +35,9 @@ def test_list_import_pages_and_images(spark, tmp_path):
     page = '<h2>Name Here</h2><div><div class="card-title">Place</div><p><strong>Province:</strong><span> Koshi </span></p><p><strong>Ward :</strong> 5</p></div>'
     got = tables.html_sections(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
     assert got[0]["name"] == "Name Here" and got[0]["sections"] == {"Place": {"Province": "Koshi", "Ward": "5"}} and got[1]["sections"] == {}
+    nested = "<h3>A <b>B</b> C</h3><div class='card-body'><h5 class='card-title'>One</h5><div><strong>L :</strong><i>x</i><span>A<br>B <em>C</em></span></div><div><strong><u>M</u>:</strong> rest <b>of it</b></div></div><div><div class='card-title x'>Two</div><p><strong>N</strong><span>tail"
+    got = tables.html_sections(spark.createDataFrame([(1, nested)], "page_id long, html string")).first()
+    assert got["name"] == "A B C" and got["sections"] == {"One": {"L": "AB C", "M": "rest of it"}, "Two": {"N": "tail"}}
     (tmp_path / "AM7.jpg").write_bytes(b"abc")
     assert tables.read_images(spark, str(tmp_path)).select("record_id", "image_sha256").first()[0] == "AM7"
 
