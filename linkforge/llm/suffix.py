@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, fresh, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks, width
+from .common import U64, buckets_for, fresh, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks
 
 LENGTH, ANCHOR, BLOCK = 100, 32, 16
 #: Contexts of one anchor beyond which its strings are rows of their own.
@@ -393,23 +393,26 @@ def _crowd_spans(group: pa.Table) -> list[np.ndarray]:
 def _covered_spans(group: pa.Table) -> pa.Table:
     kind = group.column("kind").to_numpy()
     edges = group.filter(pa.array(kind == EDGE))
-    rows = sorted(set(zip(*(edges.column(k).to_pylist() for k in ("h", "doc_id", "tie", "pos", "head", "context")))))
+    h, name, tied, place, heads = (edges.column(k).to_numpy() for k in ("h", "doc_id", "tie", "pos", "head"))
+    order = np.lexsort((place, tied, name, h))
+    order = order[_first(h[order], name[order], tied[order], place[order])] if len(order) else order
+    context = edges.column("context").combine_chunks()
     doc, tie, pos = _crowd_spans(group.filter(pa.array(kind != EDGE)))
     spans: list[list[np.ndarray]] = [[doc], [tie], [pos.astype(np.int64)], [np.full(len(doc), LENGTH)]]
     at = 0
-    while at < len(rows):
-        end = min(len(rows), at + SORTED)
-        while end < len(rows) and rows[end][0] == rows[end - 1][0]:
+    while at < len(order):
+        end = min(len(order), at + SORTED)
+        while end < len(order) and h[order[end]] == h[order[end - 1]]:
             end += 1
-        part = rows[at:end]
-        which, shift = covered_strings([r[5] for r in part], [r[4] for r in part])
+        part = order[at:end]
+        which, shift = covered_strings(context.take(pa.array(part)).to_pylist(), heads[part].tolist())
         order = np.lexsort((shift, which))
         which, shift = which[order], shift[order]
         new = np.ones(len(which), bool)
         new[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1] + 1)
         a = np.flatnonzero(new)
         size = np.diff(np.append(a, len(which))) - 1 + LENGTH
-        doc, tie, pos = (np.array([r[k] for r in part], np.int64)[which[a]] for k in (1, 2, 3))
+        doc, tie, pos = (x[part].astype(np.int64)[which[a]] for x in (name, tied, place))
         for k, x in enumerate((doc, tie, pos - (LENGTH - ANCHOR) + shift[a], size)):
             spans[k].append(x)
         at = end
@@ -424,7 +427,7 @@ def removed_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, tie, pos, size of covered stretches; size 0: the whole context of the anchor at pos."""
     spark = slim.sparkSession
     small_batches(spark)
-    buckets = max(64, 4 * width(spark))
+    buckets = buckets_for(spark, slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     found = table(slim.mapInArrow(_entries(buckets), ENTRY).repartition("bucket").groupBy("bucket").applyInArrow(_repeats(hot), FOUND))
     release(spark)
     want = found.where(F.col("kind") != COVERED).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("want"))
