@@ -394,18 +394,18 @@ def _covered_spans(group: pa.Table) -> pa.Table:
     kind = group.column("kind").to_numpy()
     edges = group.filter(pa.array(kind == EDGE))
     h, name, tied, place, heads = (edges.column(k).to_numpy() for k in ("h", "doc_id", "tie", "pos", "head"))
-    order = np.lexsort((place, tied, name, h))
-    order = order[_first(h[order], name[order], tied[order], place[order])] if len(order) else order
-    context = edges.column("context").combine_chunks()
+    rows = np.lexsort((place, tied, name, h))
+    rows = rows[_first(h[rows], name[rows], tied[rows], place[rows])] if len(rows) else rows
+    context = edges.column("context").to_pylist()
     doc, tie, pos = _crowd_spans(group.filter(pa.array(kind != EDGE)))
     spans: list[list[np.ndarray]] = [[doc], [tie], [pos.astype(np.int64)], [np.full(len(doc), LENGTH)]]
     at = 0
-    while at < len(order):
-        end = min(len(order), at + SORTED)
-        while end < len(order) and h[order[end]] == h[order[end - 1]]:
+    while at < len(rows):
+        end = min(len(rows), at + SORTED)
+        while end < len(rows) and h[rows[end]] == h[rows[end - 1]]:
             end += 1
-        part = order[at:end]
-        which, shift = covered_strings(context.take(pa.array(part)).to_pylist(), heads[part].tolist())
+        part = rows[at:end]
+        which, shift = covered_strings([context[i] for i in part.tolist()], heads[part].tolist())
         order = np.lexsort((shift, which))
         which, shift = which[order], shift[order]
         new = np.ones(len(which), bool)
