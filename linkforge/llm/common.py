@@ -6,11 +6,14 @@ session names, so a lost executor costs a recomputation and never a result.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps what arrays of some MB leave
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run` on a task's batches or one group; what its arrays leave free goes back to the system, as Spark keeps the worker for other stages."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def whole(batches):
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+    else:
+
+        @functools.wraps(run)
+        def whole(group):
+            try:
+                return run(group)
+            finally:
+                _give_back()
+
+    return whole
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: fewer rows at a time go to the Python workers."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -178,7 +211,9 @@ def powers(base: int, n: int) -> np.ndarray:
         out = np.full(size, base & _MASK, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        _powers[base] = have = out
+        have = out
+        if size <= 2 * CHUNK_BYTES:  # those of one very long text go with it
+            _powers[base] = out
     return have[:n]
 
 

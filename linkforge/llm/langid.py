@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh, small_batches, text_chunks
+from .common import cut, fresh, lean, small_batches, text_chunks
 
 UND = "und"
 BITS = 12
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "text")
     small_batches(docs.sparkSession)
 
+    @lean
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in text_chunks(batch, "text", rows=256):
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = np.array([*model.languages, UND], object)
     columns = schema.names
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(letters_in).to_numpy(zero_copy_only=False)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, buckets_for, components, fresh, shingle_sets, small_batches, table, text_chunks, text_key
+from .common import U64, buckets_for, components, fresh, lean, shingle_sets, small_batches, table, text_chunks, text_key
 
 K, PERCENT = 5, 75
 #: Parts of the hash space by which the suffix filter compares two sets.
@@ -66,6 +66,7 @@ def _blob(h: np.ndarray, text: np.ndarray) -> bytes:
 def _blocks(buckets: int, k: int):
     """For each block of texts its (shingle, text) pairs by bucket, and the texts' keys and set sizes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -96,6 +97,7 @@ def _blocks(buckets: int, k: int):
 
 
 def _frequencies(buckets: int):
+    @lean
     def run(group: pa.Table) -> pa.Table:
         """Keep the pairs whose shingle occurs again, with its frequency in steps of an eighth of a doubling."""
         kind = group.column("kind").to_numpy()
@@ -128,6 +130,7 @@ def _frequencies(buckets: int):
 
 
 def _orders(percent: int, buckets: int):
+    @lean
     def run(group: pa.Table) -> pa.Table:
         """Each text's repeated shingles, rarest first, and their number by parts; null where its prefix holds none."""
         kind, bucket = group.column("kind").to_numpy(), group.column("bucket").to_numpy()

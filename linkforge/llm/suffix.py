@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, buckets_for, fresh, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks
+from .common import U64, buckets_for, fresh, lean, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks
 
 LENGTH, ANCHOR, BLOCK = 100, 32, 16
 #: Contexts of one anchor beyond which its strings are rows of their own.
@@ -173,6 +173,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 
 
 def _entries(buckets: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, ties = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "tie"))
@@ -216,6 +217,7 @@ def _entries(buckets: int):
 
 
 def _repeats(hot: int):
+    @lean
     def run(group: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         done: list[list[np.ndarray]] = [[] for _ in range(3)]
@@ -281,6 +283,7 @@ def _contexts(buckets: int):
         bucket = (string ^ h) % buckets
         return list(zip(kind.tolist(), bucket.tolist(), h.tolist(), doc.tolist(), tie.tolist(), pos.tolist(), [0] * len(h), string.tolist(), [None] * len(h)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -390,6 +393,7 @@ def _crowd_spans(group: pa.Table) -> list[np.ndarray]:
     return [x[hit] for x in (doc, tie, pos)]
 
 
+@lean
 def _covered_spans(group: pa.Table) -> pa.Table:
     kind = group.column("kind").to_numpy()
     edges = group.filter(pa.array(kind == EDGE))
@@ -440,6 +444,7 @@ def removed_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
 def _cleaner(schema: T.StructType, raw_in: str, spans_in: str, digest: bool):
     names = [f.name for f in schema.fields]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, sizes, gone, runs = [], [], [], []
