@@ -174,10 +174,23 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Running sums from which `span_hash` takes the hash of any span."""
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[buf] * powers(_P, len(buf)), out=total[1:])
+    one = total[1:]
+    np.take(_BYTE, buf, out=one, mode="clip")
+    one *= powers(_P, len(buf))
+    np.cumsum(one, out=one)
     return total
 
 
+def window_hashes(total: np.ndarray, w: int) -> np.ndarray:
+    """`span_hash` of every window of `w` bytes, with fewer temporaries."""
+    h = total[w:] - total[: len(total) - w]
+    h *= powers(_PINV, len(total))[: len(h)]
+    h += U64(w * 0xD6E8FEB86659FD93 & _MASK)
+    for lo in range(0, len(h), PIECE):
+        h[lo : lo + PIECE] = mix(h[lo : lo + PIECE])
+    return h
+
+
 def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans, the same wherever equal bytes stand."""
     size = (end - start).astype(np.uint64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, buckets_for, fresh, lean, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks
+from .common import CHUNK_BYTES, U64, buckets_for, fresh, lean, mix, prefix_sums, release, small_batches, span_hash, table, text_chunks, window_hashes
 
 LENGTH, ANCHOR, BLOCK = 100, 32, 16
 #: Contexts of one anchor beyond which its strings are rows of their own.
@@ -132,18 +132,20 @@ def anchors(buf: np.ndarray, off: np.ndarray, total: np.ndarray) -> tuple[np.nda
     long = np.flatnonzero(np.diff(off) >= LENGTH)
     if not len(long):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - ANCHOR + 1)
-    h = span_hash(total, at, at + ANCHOR)
-    del at
-    v = (h >> U64(32)).astype(np.uint32) | np.uint32(1)
+    h = window_hashes(total, ANCHOR)
+    h >>= U64(32)
+    v = h.astype(np.uint32)
+    del h
+    v |= np.uint32(1)
     low = _slide(v, w, np.minimum)
     edge = np.zeros(len(low) + 1, np.int32)
     np.add.at(edge, off[:-1][long], 1)
     np.add.at(edge, off[1:][long] - LENGTH + 1, -1)
-    low = np.where(np.cumsum(edge[:-1]) > 0, low, np.uint32(0))
+    low = np.where(np.cumsum(edge[:-1], dtype=np.int32) > 0, low, np.uint32(0))
+    del edge
     pad = np.zeros(w - 1, np.uint32)
     where = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), w, np.maximum) == v)
-    return where, h[where]
+    return where, span_hash(total, where, where + ANCHOR)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -177,7 +179,7 @@ def _entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, ties = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "tie"))
-            for lo, hi, buf, off in text_chunks(batch, "text"):
+            for lo, hi, buf, off in text_chunks(batch, "text", CHUNK_BYTES // 2):
                 if len(buf) < LENGTH:
                     continue
                 total = prefix_sums(buf)
