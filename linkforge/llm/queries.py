@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, media, mixing, ngram_join, packing, quality, sharding, sql, suffix
+from . import chat, exact, fingerprints, langid, media, mixing, ngram_join, packing, quality, runs, sharding, spelling, sql, suffix
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(documents(spark, sf_dir), echo=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), slips=199)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir)).drop("n_chunks")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +96,9 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_media_copies,
         op10_suffix_array_dedup,
+        op11_periodic_runs,
+        op12_spelling_variants,
+        op13_exact_dedup,
         quoted_conversations,
         mix_targets,
     )
@@ -96,4 +111,7 @@ ORACLES: dict[str, str] = {
     "op3_document_fingerprints": sql.FINGERPRINTS,
     "op8_ngram_jaccard_join": sql.NGRAM_JOIN,
     "op10_suffix_array_dedup": sql.SUFFIX_ARRAY,
+    "op11_periodic_runs": sql.PERIODIC_RUNS,
+    "op12_spelling_variants": sql.SPELLING_VARIANTS,
+    "op13_exact_dedup": sql.EXACT,
 }

@@ -123,3 +123,56 @@ b AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY x, source NULLS LAS
 c AS (SELECT arg_min((total - held) / open, x) FILTER ((total - held) / open <= x) AS level FROM b)
 SELECT doc_id, size, source_size, coalesce(round(least(2.0 * source_size, w * level), 3), 2.0 * source_size)::DOUBLE AS target FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source, c
 """
+
+#: The 256 remainders of the reflected polynomial of CRC-32, from its rule, and the CRC of a string's UTF-8 bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: Words q apart that are equal, in stretches; of the periods of one stretch the smallest.
+PERIODIC_RUNS = f"""
+WITH z AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, {_WORDS} AS w0 FROM documents, z),
+a AS (SELECT *, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+o AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM e),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM g GROUP BY doc_id, q, g HAVING count(*) >= greatest(12 - q, q)),
+r AS (SELECT doc_id, s, m, min(q) AS q FROM s GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': s, 'm': m, 'q': q}}, (-m, s, q)) AS best, string_agg(concat(s, ',', m, ',', q, chr(10)), '' ORDER BY s, q) AS said FROM r GROUP BY ALL),
+x AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM o ANTI JOIN x USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.m::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.m // best.q)::BIGINT AS exponent_milli,
+ sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+#: Near words by what they are without one place: equal there (a replacement), or one the whole of the other (an insertion).
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE z AS ({_CRC_TABLE}),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+l AS (SELECT doc_id, translate(w, '{_UPPER}', '{_LOWER}') AS w, count(*) AS n FROM t WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, n, {_crc32("concat(doc_id, ':', w)")} AS h FROM l, z),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN concat(left(w, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY ALL HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+k AS (SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS k FROM i),
+m AS (SELECT x.word, y.word AS other, y.n FROM k x JOIN k y ON x.i = y.i AND x.k = y.k AND x.word <> y.word
+ UNION SELECT x.word, v.word, v.n FROM k x JOIN v ON v.word = x.k UNION SELECT v.word, x.word, x.n FROM k x JOIN v ON v.word = x.k),
+b AS (SELECT word, count(*) AS n_near, arg_min({{'form': other, 'n': n}}, (-n, encode(other))) AS best FROM m GROUP BY ALL),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * v.n THEN best.form END AS form, CASE WHEN best.n >= 5 * v.n THEN best.n END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, form AS root, 1 AS depth FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT word, form, coalesce((SELECT arg_max(root, depth) FROM r WHERE r.word = f.word), word) AS root, n, n_near, form_n FROM f
+"""
+
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(text) AS text_sha256 FROM d WINDOW w AS (PARTITION BY text)
+"""
