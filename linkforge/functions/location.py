@@ -31,11 +31,15 @@ def canonical_province(normal: Column) -> Column:
     return out
 
 
+def location_tokens(normal: Column) -> Column:
+    return F.array_distinct(F.split(normal, " "))
+
+
 def with_profile(df: DataFrame, normalize: Callable[[Column], Column] = normalize_ascii) -> DataFrame:
     """`df` with n_location, n_province, n_district, n_municipality (NULL where blank), tokens and canon."""
     blank = lambda c: F.nullif(c, F.lit(""))
     out = df.withColumns({f"n_{c}": blank(normalize(F.col(c))) for c in ("location", "province", "district", "municipality")})
-    return out.withColumns({"tokens": F.array_distinct(F.split("n_location", " ")), "canon": canonical_province(F.coalesce("n_province", "n_location"))})
+    return out.withColumns({"tokens": location_tokens(F.col("n_location")), "canon": canonical_province(F.coalesce("n_province", "n_location"))})
 
 
 def location_score(a: str = "am_", p: str = "pm_") -> Column:

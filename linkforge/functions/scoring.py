@@ -46,7 +46,10 @@ def height_score(a: str = "am_", p: str = "pm_") -> Column:
 
 
 def date_score(a: str = "am_", p: str = "pm_") -> Column:
-    gap = day_gap(F.col(f"{a}event_day"), F.col(f"{p}event_day"))
+    return date_bands(day_gap(F.col(f"{a}event_day"), F.col(f"{p}event_day")))
+
+
+def date_bands(gap: Column) -> Column:
     out = F.when(gap.isNull(), NEUTRAL).when(gap < 0, 0.2)
     for most, score in DATE_BANDS:
         out = out.when(gap <= most, score)

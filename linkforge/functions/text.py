@@ -69,8 +69,10 @@ def least_greatest(*numbers: Column) -> tuple[Column, Column]:
 
 def find_first(sections: Column, labels: list[str], strip: bool = False) -> Column:
     """First value that isn't blank, section by section, label by label."""
-    keyed = lambda s: F.transform_keys(s, lambda k, v: F.trim(k)) if strip else s
-    values = F.flatten(F.transform(F.map_values(sections), lambda s: F.array(*[F.try_element_at(keyed(s), F.lit(x)) for x in labels])))
+    # of labels that meet after trimming the last one holds; a map can't be rebuilt from such keys
+    trimmed = lambda s, x: F.get(F.reverse(F.filter(F.map_entries(s), lambda e: F.trim(e["key"]) == x)), F.lit(0))["value"]
+    value = lambda s, x: trimmed(s, F.lit(x)) if strip else F.try_element_at(s, F.lit(x))
+    values = F.flatten(F.transform(F.map_values(sections), lambda s: F.array(*[value(s, x) for x in labels])))
     return F.get(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")), F.lit(0))
 
 
@@ -113,7 +115,8 @@ def list_record_id(page: Column, image: Column) -> Column:
 
 
 def image_url(path: Column) -> Column:
-    return F.concat(F.lit("/images/"), F.regexp_replace(path, "^" + IMAGE_ROOT, ""))
+    """Where the image is served; no path, no URL."""
+    return F.concat(F.lit("/images/"), F.regexp_replace(F.nullif(path, F.lit("")), "^" + IMAGE_ROOT, ""))
 
 
 def link_ids(html: Column, marker: str = "id=") -> Column:

@@ -25,3 +25,8 @@ def first_stage_k(requested: int | str | None, gallery: int) -> int:
     if requested is None or requested == "all":
         return min(gallery, EXACT_CEILING)
     return max(1, min(int(requested), gallery))
+
+
+def first_stage(requested: Column, gallery: Column) -> Column:
+    """`first_stage_k` for each row; NULL requests all."""
+    return F.when(gallery <= 0, 0).when(requested.isNull(), F.least(gallery, F.lit(EXACT_CEILING))).otherwise(F.greatest(F.lit(1), F.least(requested, gallery)))

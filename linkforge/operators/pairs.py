@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scoring, vector
-from ..functions.location import with_profile
+from ..functions.location import canonical_province, location_score, location_tokens, with_profile
 from ..functions.text import normalize_text
+from ..shared import table
 
 #: Bytes up to which the smaller registry is broadcast; beyond, both sides are joined in blocks.
 BROADCAST_BYTES = 128 << 20
@@ -87,50 +88,191 @@ def rejoined(top: DataFrame, query: DataFrame, gallery: DataFrame, q: str, c: st
     return kept.join(query, F.col("query_pos") == F.col(f"{q}pos")).join(gallery, F.col("candidate_pos") == F.col(f"{c}pos"))
 
 
+# ------------------------------------------------------------------ metadata, by bounds
+
+OTHER = {"am": "pm", "pm": "am"}
+PLACE = ("n_location", "n_province", "n_district", "n_municipality")
+AGE_STEP = 5
+#: Records for each one asked for among which a query's first guess is made.
+FIRST = 5
+RANGES = ("age", "height_cm", "event_day")
+SCORED = ("pos", "sex", "detected_sex", *RANGES, *PLACE)
+
+
+def _name(*columns: Column) -> Column:
+    """128 bits for what the columns hold."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns)).cast("binary")))
+
+
+def classed(records: DataFrame, s: str) -> DataFrame:
+    """Records with the names of their place, their block (place and sexes) and their class (block and step of `AGE_STEP` years)."""
+    age = F.col(f"{s}age")
+    step = F.when(F.abs(age) < 1000, F.floor(age / AGE_STEP).cast("long"))
+    d = records.withColumn(f"{s}place", _name(*[F.col(s + x) for x in PLACE]))
+    d = d.withColumn(f"{s}block", _name(*[F.col(s + x) for x in ("place", "sex", "detected_sex")]))
+    return d.withColumn(f"{s}class", _name(F.col(f"{s}block"), step.alias("step"), F.isnan(age).alias("nan")))
+
+
+def classes(gallery: DataFrame, c: str) -> DataFrame:
+    """A row for each class of the gallery: its block, place and sexes, the number of its records, and the ranges of what they don't share.
+
+    Where a record lacks a value, or has one that is no number, the class's floor is what that scores.
+    """
+    far, zero = F.lit(1e300), F.lit(0.0)
+
+    def ranges(x: str) -> list[Column]:
+        v = F.col(f"{c}{x}")
+        floor = F.when(F.count(v) < F.count(F.lit(1)), scoring.NEUTRAL).otherwise(zero).alias(f"{x}_floor")
+        if x == "event_day":
+            return [F.min(v).alias(f"{x}_low"), F.max(v).alias(f"{x}_high"), floor]
+        odd = F.isnan(F.max(v))
+        return [F.when(odd, -far).otherwise(F.coalesce(F.min(v), far)).alias(f"{x}_low"), F.coalesce(F.when(~odd, F.max(v)), far).alias(f"{x}_high"), floor]
+
+    return gallery.groupBy(*[c + x for x in ("class", "block", "place", "sex", "detected_sex")]).agg(F.count(F.lit(1)).alias("n"), *[y for x in RANGES for y in ranges(x)])
+
+
+def places(query: DataFrame, gallery: DataFrame, q: str, c: str) -> DataFrame:
+    """location_score of each place of the queries with each place of the gallery."""
+
+    def own(d: DataFrame, s: str) -> DataFrame:
+        d = d.select(f"{s}place", *[s + x for x in PLACE]).distinct()
+        return d.withColumns({f"{s}tokens": location_tokens(F.col(f"{s}n_location")), f"{s}canon": canonical_province(F.coalesce(f"{s}n_province", f"{s}n_location"))})
+
+    return own(query, q).crossJoin(own(gallery, c)).select(f"{q}place", f"{c}place", location_score().alias("location_score"))
+
+
+def bounds(pairs: DataFrame, q: str) -> DataFrame:
+    """Queries beside classes, with `most`: no record of the class scores higher with the query. The same sums and rounding as the score's make that exact."""
+    value, low, high = F.col(f"{q}event_day"), F.col("event_day_low"), F.col("event_day_high")
+    least, most = (F.datediff(value, high), F.datediff(value, low)) if q == "pm_" else (F.datediff(low, value), F.datediff(high, value))
+    near = {f"{x}_near": F.greatest(F.lit(0.0), F.col(f"{x}_low") - F.col(q + x), F.col(q + x) - F.col(f"{x}_high")) for x in RANGES[:2]}
+    near["day_near"] = F.when(most < 0, most).otherwise(F.greatest(F.lit(0), least))  # the smallest gap that is no less than 0 scores best
+    out = pairs.withColumns(near)
+    band = lambda x, score: F.when(F.col(q + x).isNull(), scoring.NEUTRAL).otherwise(F.greatest(score, F.col(f"{x}_floor")))
+    out = out.withColumns({
+        "age_score": band("age", scoring.band_score(F.col("age_near"))),
+        "height_score": band("height_cm", scoring.band_score(F.col("height_cm_near"))),
+        "date_score": band("event_day", F.when(low.isNotNull(), scoring.date_bands(F.col("day_near")))),
+    })
+    return out.withColumn("most", scoring.metadata_score())
+
+
+def reaching(pairs: DataFrame, least: Column) -> DataFrame:
+    """The rows whose `most` is no less than `least`. As a generator, since a filter would be pushed down and compute every bound once more."""
+    return pairs.select("query_pos", "class", "location_score", F.explode(F.when(F.col("most") >= least, F.array("most"))).alias("most"))
+
+
+def metadata_scores(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns(scoring.components()).withColumn("final_score", scoring.metadata_score())
+
+
+def bounded(query: DataFrame, gallery: DataFrame, q: str, c: str, k: int, min_score: float = 0.0, found: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """query_pos, candidate_pos, final_score, rank of the top `k` of two `classed` tables by metadata; pairs that can't be among them are never made.
+
+    For each query the `k` best classes (one place, the same sexes, a step of years) among those of the nearest places, of `FIRST * k` records or a place
+    more, are scored. The `k`-th score is what any record has to reach: blocks (place and sexes) that can't are dropped, then classes, by their ranges of
+    age, height and day; the rest is scored. Where records hardly share classes, more than half as many classes as records, a bound would cost what a score
+    costs, and every pair is scored; the result is the same. What is under `min_score` is dropped outright. `found` sees the pairs that are scored.
+    """
+    spread = max(query.sparkSession.sparkContext.defaultParallelism, int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slim = lambda d, s: d.select(*[s + x for x in (*SCORED, "place", "block", "class")])
+    query, gallery = slim(query, q), slim(gallery, c)
+    near, groups = table(places(query, gallery, q, c)), table(classes(gallery, c))
+    sizes = groups.groupBy(f"{c}place").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(W.partitionBy(f"{q}place").orderBy(F.desc("location_score"), F.asc(f"{c}place")).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    nearest = near.join(sizes, f"{c}place").withColumn("before", before).where(F.col("before") < FIRST * k).drop("n", "before")
+    blocks = groups.groupBy(*[c + x for x in ("block", "place", "sex", "detected_sex")]).count().drop("count")
+    rest_best = {f"{x}_score": F.lit(1.0) for x in ("age", "height", "date")}
+
+    def blocked(queries: DataFrame, near: DataFrame) -> DataFrame:
+        """Each query beside each block, which fixes its scores by place and sex; `able` is what its records could score at best."""
+        d = queries.repartition(spread, f"{q}pos").join(near, f"{q}place").join(blocks, f"{c}place").withColumn("sex_score", scoring.sex_score())
+        return d.withColumns(rest_best).withColumn("able", scoring.metadata_score()).drop(*rest_best)
+
+    def bounded_classes(chosen: DataFrame) -> DataFrame:
+        return bounds(chosen.join(groups.drop(*[c + x for x in ("place", "sex", "detected_sex")], "n"), f"{c}block"), q).withColumnsRenamed({f"{q}pos": "query_pos", f"{c}class": "class"})
+
+    def members(chosen: DataFrame) -> DataFrame:
+        return chosen.select("query_pos", F.col("class").alias(f"{c}class"), "location_score").join(gallery, f"{c}class").join(query, F.col("query_pos") == F.col(f"{q}pos"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        own = {x: f for x, f in scoring.components().items() if x != "location_score"}
+        d = found(pairs).withColumns(own).withColumn("final_score", scoring.metadata_score()).where(F.col("final_score") >= min_score)
+        return ranked(narrow(d, q, c), k, ["query_pos"], [F.desc("final_score"), F.asc("candidate_pos")])
+
+    n = groups.agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("records")).first()
+    if 2 * n["classes"] > (n["records"] or 0):
+        return best(query.repartition(spread, f"{q}pos").join(near, f"{q}place").join(gallery, f"{c}place"))
+    start = reaching(bounded_classes(blocked(query, nearest).where(F.col("able") >= min_score)), F.lit(min_score))
+    nth = F.row_number().over(W.partitionBy("query_pos").orderBy(F.desc("most"), F.asc("class")))
+    first = best(members(table(start.withColumn("nth", nth).where(F.col("nth") <= k))))
+    last = table(first.where(F.col("rank") == k).select(F.col("query_pos").alias(f"{q}pos"), F.col("final_score").alias("last")))
+    again = query.join(last, f"{q}pos", "left").withColumn("last", F.coalesce("last", F.lit(min_score)))
+    return best(members(table(reaching(bounded_classes(blocked(again, near).where(F.col("able") >= F.col("last"))), F.col("last")))))
+
+
+def metadata_search(am: DataFrame, pm: DataFrame, k: int = 10, min_score: float = 0.0, found: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """PM to AM by metadata alone over the whole gallery."""
+    a, p = table(classed(prefixed(am.drop("embedding"), "am_"), "am_")), table(classed(prefixed(pm.drop("embedding"), "pm_"), "pm_"))
+    top = bounded(p, a, "pm_", "am_", max(1, k), min_score, found)
+    return metadata_scores(rejoined(top, p, a, "pm_", "am_")).select("pm_record_id", "am_record_id", "rank", "final_score", *scoring.COMPONENTS)
+
+
+# ----------------------------------------------------------------- faces and metadata
+
+
+def face_pairs(a: DataFrame, p: DataFrame, sides: tuple[str, ...], k: int, keep: dict[str, int], limited: bool, face_weight: float) -> DataFrame:
+    """query_type, query_pos, candidate_pos, rank among the pairs of two vectors, each scored once for all sides.
+
+    Where they are `limited`, a side's queries keep their `keep` nearest vectors for the ranking.
+    """
+    d = scored(cross(a.where("am_embedding is not null"), p.where("pm_embedding is not null")), face_weight)
+    places = [F.struct(F.lit(q).alias("query_type"), F.col(f"{q}_pos").alias("query_pos"), F.col(f"{OTHER[q]}_pos").alias("candidate_pos")) for q in sides]
+    d = d.select(F.explode(F.array(*places)).alias("x") if len(sides) > 1 else places[0].alias("x"), "final_score", "similarity").select("x.*", "final_score", "similarity")
+    by = ["query_type", "query_pos"]
+    if limited:
+        near = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("similarity"), F.asc("candidate_pos")))
+        d = d.withColumn("near", near).where(F.col("near") <= max(keep.values()))  # a literal, so that each task keeps as many before the shuffle
+        if len(set(keep.values())) > 1:
+            d = d.where(F.col("near") <= F.when(F.col("query_type") == sides[0], keep[sides[0]]).otherwise(keep[sides[-1]]))
+        d = d.drop("near")
+    return ranked(d, k, by)
+
+
 def search(am: DataFrame, pm: DataFrame, query_type: str, k: int = 20, first_stage: int | str | None = "all", face_weight: float = scoring.FACE_WEIGHT) -> DataFrame:
     """Top `k` of the other registry for every record of `query_type`: `am`, `pm`, or `both` for either direction.
 
-    A query with a vector ranks candidates with one only, if there are any; one without ranks all by metadata.
-    With a first stage smaller than the gallery, only its nearest vectors are ranked. In both directions every pair is scored once.
+    A query with a vector ranks candidates with one only, if there are any; one without ranks all by metadata, within bounds.
+    With a first stage smaller than the gallery, only its nearest vectors are ranked. In both directions a pair of vectors is scored once.
     """
+    k = max(1, k)
     sides = ("am", "pm") if query_type == "both" else (query_type,)
-    a, p = prefixed(am, "am_"), prefixed(pm, "pm_")
-    other = {"am": "pm", "pm": "am"}
-    indexed = {q: (p if q == "am" else a).where(f"{other[q]}_embedding is not null").count() for q in sides}
-    has = lambda side: F.col(f"{side}_embedding").isNotNull()
-    rule = {q: ~has(q) | has(other[q]) if indexed[q] else F.lit(True) for q in sides}
-    either = rule[sides[0]] if len(sides) == 1 else rule["am"] | rule["pm"]
-    d = scored(cross(a, p, either), face_weight)
-    row = lambda q: F.when(rule[q], F.struct(F.lit(q).alias("query_type"), F.col(f"{q}_pos").alias("query_pos"), F.col(f"{other[q]}_pos").alias("candidate_pos")))
-    d = d.select(F.explode(F.array_compact(F.array(*[row(q) for q in sides]))).alias("x"), "final_score", "similarity").select("x.*", "final_score", "similarity") if len(sides) > 1 else d.select(
-        F.lit(sides[0]).alias("query_type"), F.col(f"{sides[0]}_pos").alias("query_pos"), F.col(f"{other[sides[0]]}_pos").alias("candidate_pos"), "final_score", "similarity"
-    )
-    by = ["query_type", "query_pos"]
-    keep = {q: vector.first_stage_k(first_stage, indexed[q]) for q in sides}
-    if any(0 < keep[q] < indexed[q] for q in sides):
-        most = F.when(F.col("query_type") == sides[0], keep[sides[0]]).otherwise(keep[sides[-1]])
-        near = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last("similarity"), F.asc("candidate_pos")))
-        d = d.withColumn("_near", near).where((F.col("_near") <= most) | F.col("similarity").isNull()).drop("_near")
-    top, out = ranked(d, k, by), None
+    rows = {"am": table(classed(prefixed(am, "am_"), "am_")), "pm": table(classed(prefixed(pm, "pm_"), "pm_"))}
+    vectors = {s: rows[s].where(f"{s}_embedding is not null").count() for s in ("am", "pm")}
+    faced = vectors["am"] > 0 and vectors["pm"] > 0
+    top = None
+    if faced:
+        keep = {q: vector.first_stage_k(first_stage, vectors[OTHER[q]]) for q in sides}
+        limited = any(n < vectors[OTHER[q]] for q, n in keep.items())
+        top = face_pairs(rows["am"], rows["pm"], sides, k, keep, limited, face_weight).select("query_type", "query_pos", "candidate_pos", "rank")
     for q in sides:
-        c = other[q]
-        query, gallery = (a, p) if q == "am" else (p, a)
-        full = scored(rejoined(top.where(F.col("query_type") == q), query, gallery, f"{q}_", f"{c}_"), face_weight)
-        one = full.select(
-            F.lit(q).alias("query_type"), F.col(f"{q}_record_id").alias("query_record_id"), F.lit(c).alias("candidate_type"), F.col(f"{c}_record_id").alias("candidate_record_id"), "rank",
-            "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("similarity").isNotNull(), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def metadata_search(am: DataFrame, pm: DataFrame, k: int = 10, min_score: float = 0.0) -> DataFrame:
-    """PM to AM by metadata alone over the whole gallery."""
-    a, p = prefixed(am.drop("embedding"), "am_"), prefixed(pm.drop("embedding"), "pm_")
-    score = lambda x: x.withColumns(scoring.components()).withColumn("final_score", scoring.metadata_score())
-    d = narrow(score(cross(a, p)).where(F.col("final_score") >= min_score), "pm_", "am_")
-    top = ranked(d, k, ["query_pos"], [F.desc("final_score"), F.asc("candidate_pos")])
-    return score(rejoined(top, p, a, "pm_", "am_")).select("pm_record_id", "am_record_id", "rank", "final_score", *scoring.COMPONENTS)
+        query = rows[q].where(f"{q}_embedding is null") if faced else rows[q]
+        one = bounded(query, rows[OTHER[q]], f"{q}_", f"{OTHER[q]}_", k).select(F.lit(q).alias("query_type"), "query_pos", "candidate_pos", "rank")
+        top = one if top is None else top.unionByName(one)
+    a, p = rows["am"], rows["pm"]
+    if len(sides) > 1:  # both records by one join each, whichever is the query
+        q_am = F.col("query_type") == "am"
+        joined = top.withColumn("a", F.when(q_am, F.col("query_pos")).otherwise(F.col("candidate_pos"))).withColumn("b", F.when(q_am, F.col("candidate_pos")).otherwise(F.col("query_pos")))
+        full = joined.join(a, F.col("a") == F.col("am_pos")).join(p, F.col("b") == F.col("pm_pos"))
+    else:
+        q = sides[0]
+        full = top.join(rows[q], F.col("query_pos") == F.col(f"{q}_pos")).join(rows[OTHER[q]], F.col("candidate_pos") == F.col(f"{OTHER[q]}_pos"))
+    is_am = F.col("query_type") == "am"
+    am_id, pm_id = F.col("am_record_id"), F.col("pm_record_id")
+    return scored(full, face_weight).select(
+        "query_type", F.when(is_am, am_id).otherwise(pm_id).alias("query_record_id"), F.when(is_am, "pm").otherwise("am").alias("candidate_type"), F.when(is_am, pm_id).otherwise(am_id).alias("candidate_record_id"), "rank",
+        "face_score", "metadata_score", "final_score", *scoring.COMPONENTS, *scoring.CONFLICTS, F.when(F.col("similarity").isNotNull(), "face+metadata").otherwise("metadata_only").alias("candidate_source"),
+    )
 
 
 def transient(query: DataFrame, gallery: DataFrame, target: str, k: int = 20) -> DataFrame:

@@ -144,7 +144,7 @@ def province_canonical(spark, d):
 
 
 @query(
-    f"""WITH a AS (SELECT c_custkey, {_SPELLED.format(k='c_custkey')} p FROM {{customer}} WHERE c_nationkey = 3), b AS (SELECT s_suppkey, {_SPELLED.format(k='(s_suppkey + 1)')} p FROM {{supplier}}),
+    f"""WITH a AS (SELECT c_custkey, {_SPELLED.format(k='c_custkey')} p FROM {{customer}}), b AS (SELECT s_suppkey, {_SPELLED.format(k='(s_suppkey + 1)')} p FROM {{supplier}}),
  z AS (SELECT *, {_CANON.format(c='a.p')} x, {_CANON.format(c='b.p')} y, len(list_intersect(str_split(lower(a.p), ' '), str_split(lower(b.p), ' '))) n, lower(a.p) = lower(b.p) same FROM a, b)
  SELECT c_custkey, s_suppkey, (CASE WHEN same THEN 0.6 WHEN n >= 2 THEN 0.75 WHEN n = 1 THEN 0.55 WHEN x <> y THEN 0.25 ELSE 0.35 END)::DOUBLE location_score FROM z"""
 )
@@ -154,7 +154,7 @@ def location_conflict(spark, d):
     from ..functions.location import with_profile
 
     none = {c: F.lit(None).cast("string") for c in ("district", "municipality")}
-    a = read(spark, d, "customer").where("c_nationkey = 3").select("c_custkey", _spelled("c_custkey").alias("location"), _spelled("c_custkey").alias("province")).withColumns(none)
+    a = read(spark, d, "customer").select("c_custkey", _spelled("c_custkey").alias("location"), _spelled("c_custkey").alias("province")).withColumns(none)
     b = read(spark, d, "supplier").withColumn("k", F.col("s_suppkey") + 1).select("s_suppkey", _spelled("k").alias("location"), _spelled("k").alias("province")).withColumns(none)
     a, b = (pairs.prefixed(with_profile(x, text.normalize_text), p) for x, p in ((a, "am_"), (b, "pm_")))
     return pairs.cross(a, b).select(F.col("am_c_custkey").alias("c_custkey"), F.col("pm_s_suppkey").alias("s_suppkey"), score().alias("location_score"))
@@ -274,16 +274,16 @@ def transient_metadata(spark, d):
     return top.select(F.col("candidate_record_id").alias("am_record_id"), "rank", "final_score")
 
 
-@query("WITH r AS (SELECT unnest([NULL, 5, 150000, 99999999]) asked), g AS (SELECT unnest([0, 3, 6000, 200000]) gallery) SELECT coalesce(asked, -1)::INT asked, gallery::INT gallery, (CASE WHEN gallery = 0 THEN 0 WHEN asked IS NULL THEN least(gallery, 100000) ELSE greatest(1, least(asked, gallery)) END)::INT neighbours FROM r, g")
+@query(
+    """WITH g AS (SELECT label, count(*) gallery FROM {embeddings} GROUP BY label UNION ALL SELECT -1, count(*) * 1000 FROM {embeddings}), r AS (SELECT unnest([NULL, 0, 5, 99999999]) asked)
+ SELECT label::INT label, coalesce(asked, -1)::BIGINT asked, gallery, (CASE WHEN asked IS NULL THEN least(gallery, 100000) ELSE greatest(1, least(asked, gallery)) END)::BIGINT neighbours FROM g, r"""
+)
 def first_stage_size(spark, d):
-    rows = [(-1 if k is None else k, n, vector.first_stage_k(k, n)) for k in (None, 5, 150_000, 99_999_999) for n in (0, 3, 6000, 200_000)]
-    return spark.createDataFrame(rows, "asked int, gallery int, neighbours int")
-
-
-@query(f"WITH a AS ({A.AM}) SELECT record_id, embedding IS NOT NULL has_face, count(*) OVER () total FROM a ORDER BY pos LIMIT 30 OFFSET 10")
-def service_list(spark, d):
-    total, page = Engine(A.am(spark, d), A.pm(spark, d)).list_records("am", 30, 10)
-    return page.select("record_id", "has_face", F.lit(total).cast("long").alias("total"))
+    """Neighbours of the first stage in the gallery of each label, and in one a thousand times as large as all of them."""
+    v = A.vectors(spark, d)
+    sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("gallery")).unionByName(v.agg(F.lit(-1).alias("label"), (F.count(F.lit(1)) * 1000).alias("gallery")))
+    asked = sizes.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in (None, 0, 5, 99_999_999)])))
+    return asked.select(F.col("label").cast("int").alias("label"), F.coalesce("k", F.lit(-1)).alias("asked"), "gallery", vector.first_stage(F.col("k"), F.col("gallery")).cast("long").alias("neighbours"))
 
 
 _EVEN_ODD = "SELECT q.vec_id query_id, c.vec_id candidate_id, q.label q_label, c.label c_label, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) sim FROM {embeddings} q, {embeddings} c WHERE q.vec_id % 2 = 0 AND c.vec_id % 2 = 1"
@@ -326,6 +326,11 @@ h AS (SELECT m."mode", t.query_id, t.condition, r.rk FROM t CROSS JOIN (SELECT u
 _RECALLS = ", ".join(f"round(avg(coalesce((rk <= {k})::INT, 0)), 6) recall_{k}" for k in evaluate.AT)
 
 
+def _truth(q: DataFrame, c: DataFrame) -> DataFrame:
+    truth = q.select(F.col("vec_id").alias("query_id"), "label").join(c.groupBy("label").agg(F.min("vec_id").alias("correct_id")), "label")
+    return truth.select("query_id", "correct_id", F.when(F.col("label") % 2 == 0, "clean").otherwise("blur").alias("condition"))
+
+
 def _modes(spark, d) -> DataFrame:
     q, c = _even_odd(spark, d)
     p = pairs.cross(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), c.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("_c")))
@@ -334,9 +339,7 @@ def _modes(spark, d) -> DataFrame:
     # the pairs and their products are made once; the three orders branch from there
     each = z.select("query_id", "candidate_id", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("score")) for m, s in modes.items()])).alias("x")).select("query_id", "candidate_id", "x.*")
     top = pairs.ranked(each, 20, ["mode", "query_id"], [F.desc("score"), F.asc("candidate_id")])
-    truth = q.select(F.col("vec_id").alias("query_id"), "label").join(c.select(F.col("vec_id").alias("correct_id"), "label"), "label")
-    truth = truth.groupBy("query_id", F.when(F.col("label") % 2 == 0, "clean").otherwise("blur").alias("condition")).agg(F.min("correct_id").alias("correct_id"))
-    truth = truth.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    truth = _truth(q, c).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     return truth.join(top.select("mode", "query_id", F.col("candidate_id").alias("correct_id"), "rank"), ["mode", "query_id", "correct_id"], "left")
 
 
@@ -361,7 +364,7 @@ def mrr(spark, d):
 
 @query(f"WITH t AS ({_TRUTH}) SELECT condition, count(*) queries FROM t GROUP BY ALL")
 def condition_counts(spark, d):
-    return _modes(spark, d).where("mode = 'face_only'").groupBy("condition").agg(F.count(F.lit(1)).alias("queries"))
+    return _truth(*_even_odd(spark, d)).groupBy("condition").agg(F.count(F.lit(1)).alias("queries"))
 
 
 _FAIL = "CASE WHEN face_width IS NULL OR face_height IS NULL OR face_width < 40 OR face_height < 40 THEN 'face_too_small' WHEN detector_score IS NULL OR detector_score < {s} THEN 'low_detector_confidence' END"
@@ -430,6 +433,18 @@ def usable_semi_join(spark, d):
     return enrich.usable_vectors(_summary(spark, d), v).select("vec_id", "label")
 
 
+@query(
+    f"""WITH a AS ({A.AM}), {_LAST} SELECT a.record_id, coalesce(s.usable, false) has_face, count(*) OVER () total, CASE WHEN a.pos % 3 > 0 THEN concat('/images/', a.record_id, '.jpg') END image_url
+ FROM a LEFT JOIN s ON s.record_id = a.record_id ORDER BY a.pos LIMIT 30 OFFSET 10"""
+)
+def service_list(spark, d):
+    """A page of the enriched registry; every third record has an empty image path."""
+    summary = _summary(spark, d).withColumn("processed_at", F.col("record_key"))
+    a = enrich.enrich(A.am(spark, d), summary).withColumn("image_path", F.when(F.col("pos") % 3 > 0, F.concat(F.lit(text.IMAGE_ROOT), "record_id", F.lit(".jpg"))).otherwise(""))
+    total, page = Engine(a, A.pm(spark, d)).list_records("am", 30, 10)
+    return page.select("record_id", "has_face", F.lit(total).cast("long").alias("total"), "image_url")
+
+
 _MANIFEST = "SELECT concat('D', doc_id::VARCHAR) record_id, sha256(text) image_sha256, 'pluggable-encoder-1' model_version FROM {documents}"
 _REUSE = "c.record_id = m.record_id AND c.image_sha256 = m.image_sha256 AND c.model_version = m.model_version AND (NOT c.usable OR c.vector_exists)"
 
@@ -674,10 +689,16 @@ def token_stream_parse(spark, d):
     return x.select("doc_id", F.try_element_at("m", F.lit("भाषा")).alias("language"), F.try_element_at("m", F.lit("स्रोत")).alias("origin"), F.array_join(text.preamble(F.col("parts")), " ").alias("preamble"))
 
 
-@query()
+# Every page with two cards put behind it: a label with a span further on, one with the rest of its line, one without a value, and one outside of the cards.
+_CARDS = """SELECT page_id, concat('<h2>Page ', page_id, '</h2>', html, '<div class="card"><div class="card-body"><h5 class="card-title">Site</h5><p><strong>Address :</strong> at <i>x</i> <span>', url, '</span></p>',
+ '<p><strong>Number:</strong> no. ', page_id, '</p><p><strong>None:</strong></p></div></div><p><strong>Out:</strong> no</p><div><div class="wide card-body"><b class="card-title">Rest</b><div><strong>Half</strong>: <em>', page_id % 7, '</em> <br>left</div></div></div>') AS html FROM {pages}"""
+
+
+@query("SELECT page_id, concat('Page ', page_id) AS name, concat('Rest/Half=', page_id % 7, ' left;Site/Address=', url, ';Site/None=;Site/Number=no. ', page_id) AS sections FROM {pages}")
 def html_sections(spark, d):
-    x = sources.html_sections(read(spark, d, "pages"))
-    return x.select("page_id", "name", F.size("sections").alias("n_sections"))
+    x = sources.html_sections(A.view(spark, d, _CARDS))
+    flat = F.flatten(F.transform(F.map_entries("sections"), lambda s: F.transform(F.map_entries(s["value"]), lambda v: F.concat(s["key"], F.lit("/"), v["key"], F.lit("="), v["value"]))))
+    return x.select("page_id", "name", F.array_join(F.array_sort(flat), ";").alias("sections"))
 
 
 _CELL = "CASE event_id % 6 WHEN 0 THEN concat('  a ', chr(9), event_id::VARCHAR, '  b ') WHEN 1 THEN concat((event_id % 90)::VARCHAR, ' to ', (event_id % 90 + 7)::VARCHAR) WHEN 2 THEN concat(' ', (event_id % 50)::VARCHAR, '.5 ') WHEN 3 THEN concat('seen ', strftime(ts, '%Y-%m-%d'), ' there') WHEN 4 THEN '5d' END"

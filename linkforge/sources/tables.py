@@ -95,64 +95,84 @@ def write_report(values: dict, path: str) -> None:
 # ------------------------------------------------------------------ page parsers
 
 
-class _Sections(HTMLParser):
-    """Headings and cards of a page: below a card's title each bold label with the span after it, else the rest of its parent."""
+class _Element:
+    def __init__(self, tag: str, css: tuple[str, ...] = (), parent: _Element | None = None):
+        self.tag, self.css, self.parent, self.inside = tag, css, parent, []
+
+    def elements(self) -> Iterator[_Element]:
+        """All elements below, in the order of the page."""
+        todo = [x for x in reversed(self.inside) if isinstance(x, _Element)]
+        while todo:
+            one = todo.pop()
+            yield one
+            todo += [x for x in reversed(one.inside) if isinstance(x, _Element)]
+
+    def text(self) -> str:
+        """Its words, without scripts and styles."""
+        out, todo = [], list(reversed(self.inside))
+        while todo:
+            one = todo.pop()
+            if isinstance(one, str):
+                out.append(one)
+            elif one.tag not in ("script", "style"):
+                todo += reversed(one.inside)
+        return " ".join("".join(out).split())
+
+
+class _Page(HTMLParser):
+    """The page as a tree: an end tag closes the nearest open element of its name and what is open in it."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.sections, self.open, self.card = None, {}, [], None
+        self.root = self.at = _Element("")
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        css = (dict(attrs).get("class") or "").split()
-        node = {"tag": tag, "title": "card-title" in css, "text": [], "label": None}
-        if tag == "span" and self.open and self.open[-1]["label"] is not None and not self.open[-1].get("valued"):
-            node["of"] = self.open[-1]
-        self.open.append(node)
+        one = _Element(tag, tuple((dict(attrs).get("class") or "").split()), self.at)
+        self.at.inside.append(one)
+        if tag not in self.VOID:
+            self.at = one
 
     def handle_endtag(self, tag):
-        while any(n["tag"] == tag for n in self.open):
-            node = self.open.pop()
-            self.closed(node, " ".join("".join(node["text"]).split()))
-            if node["tag"] == tag:
-                break
-
-    def closed(self, node, text):
-        parent = self.open[-1] if self.open else None
-        if parent is not None:
-            parent["text"].append("".join(node["text"]))
-        if self.title is None and node["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.title = text
-        if node["title"]:
-            self.card = self.sections.setdefault(text, {})
-        elif node["tag"] == "strong" and self.card is not None and parent is not None:
-            label = text.rstrip(":").strip()
-            if label:
-                self.settle(parent)
-                parent["label"], parent["valued"], parent["card"] = label, False, self.card
-        elif "of" in node:
-            node["of"]["card"][node["of"]["label"]] = text
-            node["of"]["valued"] = True
-        if node["label"] is not None:
-            self.settle(node)
-
-    def settle(self, node):
-        """A label without a span has what its parent's text adds to it."""
-        if node["label"] is not None and not node["valued"]:
-            node["card"][node["label"]] = " ".join("".join(node["text"]).split())[len(node["label"]) :].lstrip(": ").strip()
-            node["label"] = None
+        one = self.at
+        while one is not None and one.tag != tag:
+            one = one.parent
+        if one is not None and one.parent is not None:
+            self.at = one.parent
 
     def handle_data(self, data):
-        if self.open and self.open[-1]["tag"] not in ("script", "style"):
-            self.open[-1]["text"].append(data)
+        self.at.inside.append(data)
 
-    def close(self):
-        super().close()
-        while self.open:
-            self.handle_endtag(self.open[-1]["tag"])
+
+def _card(title: _Element) -> _Element:
+    """The card's body around a title, else the title's parent."""
+    around = title.parent
+    while around is not None and not (around.tag == "div" and "card-body" in around.css):
+        around = around.parent
+    return around or title.parent
+
+
+def _value(bold: _Element, label: str) -> str:
+    """What stands for a bold label: the first span after it among its siblings, else what its parent's text adds to it."""
+    after = bold.parent.inside[bold.parent.inside.index(bold) + 1 :]
+    span = next((x for x in after if isinstance(x, _Element) and x.tag == "span"), None)
+    return bold.parent.text()[len(label) :].lstrip(": ").strip() if span is None else span.text()
+
+
+def page_sections(html: str) -> tuple[str, dict[str, dict[str, str]]]:
+    """The first heading, and for each card of the page its labels and values."""
+    page = _Page()
+    page.feed(html)
+    page.close()
+    name, sections = None, {}
+    for one in page.root.elements():
+        if name is None and one.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            name = one.text()
+        if "card-title" in one.css:
+            bold = [(x, x.text().rstrip(":").strip()) for x in _card(one).elements() if x.tag == "strong"]
+            sections[one.text()] = {label: _value(x, label) for x, label in bold if label}
+    return name or "", sections
 
 
 def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -163,11 +183,9 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") ->
         for batch in batches:
             names, sections = [], []
             for page in batch[html]:
-                p = _Sections()
-                p.feed(page or "")
-                p.close()
-                names.append(p.title or "")
-                sections.append(p.sections)
+                name, found = page_sections(page or "")
+                names.append(name)
+                sections.append(found)
             yield pd.DataFrame({key: batch[key], "name": names, "sections": sections})
 
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, name string, sections map<string, map<string, string>>")

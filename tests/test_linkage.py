@@ -91,7 +91,7 @@ def test_large_galleries_are_not_broadcast(both):
     assert df.count() == 9 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_both_directions_score_a_pair_once(both):
+def test_both_directions_equal_one_each(both):
     df = pairs.search(*both, "both")
     one = sorted(map(str, pairs.search(*both, "am").unionByName(pairs.search(*both, "pm")).collect()))
     assert sorted(map(str, df.collect())) == one
@@ -200,3 +200,25 @@ def test_cache_refresh(spark):
 def test_absent_columns_are_null(spark):
     got = conform(spark.createDataFrame([("x", "12"), ("y", "abc")], "record_id string, age_min string"), PERSON)
     assert got.columns == PERSON.names and [r["age_min"] for r in got.orderBy("record_id").collect()] == [12.0, None]
+
+
+def test_labels_that_meet_after_trimming(spark):
+    s = spark.sql("SELECT map('T', map(' a', '', 'a ', 'v'), 'U', map('a', 'w')) AS s UNION ALL SELECT map('T', map('a', 'x', ' a', ''), 'U', map('a', 'w'))")
+    assert [r[0] for r in s.select(text.find_first(F.col("s"), ["a"], strip=True)).collect()] == ["v", "w"]
+    assert spark.range(1).select(text.image_url(F.lit("")), text.image_url(F.lit(text.IMAGE_ROOT + "x.jpg"))).first()[:] == (None, "/images/x.jpg")
+
+
+def test_sections_end_with_their_card():
+    from linkforge.sources.tables import page_sections
+
+    card = "<div class='card-body'><h4 class='card-title'> T </h4><p><strong>A :</strong> .. <div><span>no</span></div><span>x<br>y</span></p><p><strong>B:</strong> rest</p></div>"
+    name, found = page_sections(f"<h3>N<script>var x</script></h3>{card}<p><strong>OUT:</strong> no</p><section><b class='card-title'>U</b><strong></strong><strong>C</strong>: 1 <i>2</i></section>")
+    assert name == "N" and found["T"] == {"A": "xy", "B": "rest"} and found["U"].keys() == {"C"}
+    assert page_sections("") == ("", {}) and page_sections("<p><strong>x</strong>")[1] == {}
+
+
+def test_has_face_is_the_usable_flag(spark, both):
+    from linkforge.service import Engine
+
+    am = both[0].withColumn("usable", F.when(F.col("pos") == 0, True))
+    assert [r["has_face"] for r in Engine(am, both[1]).list_records("am")[1].collect()] == [am.orderBy("pos").first()["usable"] or False] + [False] * 2
