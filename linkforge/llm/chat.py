@@ -10,7 +10,8 @@ the order of their threads' first messages, own words alone.
 Null text has no words and no quotation. Rows with equal (conv_id, turn) share their links and follow each other
 in the order of their roles and texts; rows without a conv_id are one conversation, a null turn comes first and links
 to nothing. A quotation whose original is not found stays without a link. An empty table gives no rows. Of a conversation
-with more than `LONG` messages the places are counted in blocks, so neither it nor a thread of it is ever ordered by one task.
+with more than `LONG` messages the places are counted in blocks, by thread, step, turn,
+role and the texts' first characters; one task orders only what agrees in all of these.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import cut
 
 #: Messages up to which a conversation is ordered as a whole, and turns or steps of a thread in one block of a longer one.
 LONG, BLOCK = 4096, 4096
+#: Characters of a text by which the rows of one turn of a long conversation are told apart before they are ordered, and then four times as many.
+PREFIX = 8
 
 
 def level(line: Column) -> Column:
@@ -96,22 +99,24 @@ def linked_conversations(messages: DataFrame, conv_id: str = "conv_id", turn: st
 def in_blocks(rows: DataFrame) -> DataFrame:
     """`rows` with `position` in their conversation by root_turn, depth, turn, role and text.
 
-    Blocks of roots, of steps below one root, and of turns at one step follow each other; each is counted first, and the counts
-    before it are summed level by level, so that no window holds more than some thousand blocks.
+    Blocks of roots, of steps below one root, of turns at one step, of one turn's roles, and of texts by their first characters follow each other; each is
+    counted first, and the counts before it are summed level by level. What one task still orders are the rows of a turn and role whose texts begin alike.
     """
     block = lambda c: F.coalesce(F.floor(F.col(c) / BLOCK), F.lit(-1)).cast("long")
     own = F.coalesce("root_turn", F.lit(-1))
     d = rows.withColumns({"b0": block("root_turn"), "b1": own, "b2": block("depth"), "b3": F.col("depth"), "b4": block("turn")})
-    levels = [["b0"], ["b1", "b2"], ["b3", "b4"]]
+    known = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit(""))  # noqa: E731  null first, as in the order
+    d = d.withColumns({"b5": F.coalesce("turn", F.lit(-1)), "b6": known(F.col("role")), "b7": known(F.substring("text", 1, PREFIX)), "b8": known(F.substring("text", 1, 4 * PREFIX))})
+    levels = [["b0"], ["b1", "b2"], ["b3", "b4"], ["b5", "b6"], ["b7"], ["b8"]]
     keys, start = ["conv"], None
-    sizes = d.groupBy("conv", "b0", "b1", "b2", "b3", "b4").agg(F.count(F.lit(1)).alias("k"))
+    sizes = d.groupBy("conv", *[x for level in levels for x in level]).agg(F.count(F.lit(1)).alias("k"))
     for level in levels:
         before = W.partitionBy(*keys).orderBy(*level).rowsBetween(W.unboundedPreceding, -1)
         counted = sizes.groupBy(*keys, *level).agg(F.sum("k").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
         start = counted if start is None else counted.join(start, keys).withColumn("ahead", F.col("ahead") + F.col("first")).drop("first")
         keys = keys + level
         start = start.withColumnRenamed("ahead", "first")
-    last = W.partitionBy(*keys).orderBy("turn", "role", "text")
+    last = W.partitionBy(*keys).orderBy("text")
     return d.withColumn("own_place", F.row_number().over(last)).join(start, keys).withColumn("position", F.col("first") + F.col("own_place") - 1).drop(*keys[1:], "own_place", "first")
 
 

@@ -1,7 +1,6 @@
 """Shared pieces of the training-data operators: durable cuts, byte kernels, components.
 
-Nothing here keeps state on a machine: lineage is cut only in the shared folder that the
-session names, so a lost executor costs a recomputation and never a result.
+Lineage is cut only in the shared folder, so a lost executor costs a recomputation and never a result.
 """
 
 from __future__ import annotations
@@ -10,9 +9,6 @@ import ctypes
 import functools
 import gc
 import inspect
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, delete, written
+
 #: Bytes of text that a NumPy kernel works on at once; temporaries take about 60 times that.
 CHUNK_BYTES = 2 << 20
 
@@ -28,36 +26,12 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; in local mode, where executors are the driver, its own if none is set."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not have.isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not have.isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkforge-"))
-        have = sc._jsc.sc().getCheckpointDir()
-    return str(have.get())
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` now and keep it as a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _made: list[str] = []
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Compute `df` now and keep it as Parquet in the shared folder: for wide or large rows."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/linkforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Compute `df` now and keep it as Parquet in the shared folder, for wide or large rows; the files go with the driver, if not before."""
+    path = written(df)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,8 +43,7 @@ def tables_made() -> int:
 def drop_tables(spark: SparkSession, mark: int) -> None:
     """Delete the tables made since `tables_made()` gave `mark`, but for the newest; nothing else may read them any more."""
     for path in _made[mark:-1]:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        delete(spark, path)
     del _made[mark:-1]
 
 

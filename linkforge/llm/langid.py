@@ -117,13 +117,13 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows given; rows without lang or letters are not used."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    d = d.withColumn("h", F.xxhash64("doc_id"))
-    # of n hashes about twice the sample lie under the bound, and hardly ever fewer than the sample
+    d = d.withColumn("h", F.xxhash64("doc_id", "text"))  # rows that share an id, or have none, still differ
+    # of n different hashes about twice the sample lie under the bound, and hardly ever fewer than the sample
     part = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
-    bounds = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (part * float(1 << 63) * 2 - float(1 << 63)).alias("bound"))
+    bounds = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", (part * float(1 << 63) * 2 - float(1 << 63)).alias("bound"))
     # a row for each language, fewer than the centroids that the driver holds
     some = d.join(F.broadcast(bounds), "lang").where(F.col("h").cast("double") <= F.col("bound"))
-    order = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    order = W.partitionBy("lang").orderBy("h")
     chosen = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "text")
     small_batches(docs.sparkSession)
 

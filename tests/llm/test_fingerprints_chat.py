@@ -170,3 +170,14 @@ def test_long_conversations_of_odd_rows(spark, monkeypatch):
         monkeypatch.setattr(chat, "LONG", long)
         runs.append(sorted(map(str, chat.linked_conversations(df).collect())))
     assert runs[0] == runs[1]
+
+
+def test_a_turn_of_thousands_is_ordered_by_its_texts(spark):
+    """Messages without conversation and with one turn: the places are those of their sorted texts, and no window holds them all."""
+    from linkforge.llm import chat
+
+    rows = [(None, 0, ["user", "tool", None][i % 3], None if i % 50 == 7 else f"{'same beginning of the text ' if i % 5 == 0 else ''}{i % 4000}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["position"], r["role"] or "", r["own_text"] or "") for r in chat.linked_conversations(docs).collect())
+    want = sorted(((r or "", t is not None, t or "") for _, _, r, t in rows))
+    assert [x[0] for x in got] == list(range(6000)) and [(a, b) for _, a, b in got] == [(r, t) for r, _, t in want]

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from linkforge.llm import langid, sharding
 from linkforge.llm.queries import held_out
 
@@ -90,3 +92,13 @@ def test_one_more_shard_moves_few_rows(spark):
 def test_walk_overflows_clockwise():
     runs = sharding.walk({0: 10}, [(1, 0), (5, 1), (9, 0), (12, 2)], 3)
     assert [(c, lo, n, s) for c, lo, n, s, _ in runs] == [(0, 0, 4, 0), (0, 4, 3, 1), (0, 7, 3, 2)]
+
+
+def test_no_language_is_lost_without_ids(spark):
+    """Four copies of every document, without an id or with one alone: each language is learned, and its texts are kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.crossJoin(spark.range(4).select(F.col("id").alias("copy")))
+    for some in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(7).cast("long"))):
+        assert set(langid.fit(some).languages) == {"de", "en", "es", "fr"}
+    one = docs.where("lang = 'en'").limit(1).drop("copy").crossJoin(spark.range(3000)).unionByName(docs.where("lang = 'de'").drop("copy").withColumn("id", F.lit(0).cast("long")))
+    assert set(langid.fit(one).languages) == {"de", "en"}

@@ -165,3 +165,17 @@ def test_png_round_trip(kind, seed):
     part = lambda name, body: len(body).to_bytes(4, "big") + name + body + b"\0\0\0\0"
     png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (5).to_bytes(4, "big") + (6).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
     assert (media.decode(png) == x).all()
+
+
+def test_contents_without_an_id_link_as_well(spark):
+    """The same picture, whole and cropped, with and without ids."""
+    rng = np.random.default_rng(4)
+    small = media.resize(rng.normal(size=(24, 24)), 5)
+    x = np.rint((small - small.min()) / (small.max() - small.min()) * 255).astype(np.uint8)
+    pgm = lambda a: b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + np.ascontiguousarray(a).tobytes()
+    whole, crop = pgm(x), pgm(x[10:110, 10:110])
+    other = pgm(np.rint(np.clip(media.resize(rng.normal(size=(24, 24)), 5), -2, 2) * 60 + 125).astype(np.uint8))
+    rows = [(None, whole), (5, crop), (None, whole), (None, other), (3, None), (None, None)]
+    got = [tuple(r) for r in media.image_copies(spark.createDataFrame(rows, "image_id long, content binary")).collect()]
+    assert sorted((c for _, n, c in got if n), key=str) == [5, 5, 5, None]
+    assert sorted((c for _, n, c in got if not n), key=str) == [3, None]
