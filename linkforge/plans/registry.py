@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, quality, scoring, text, vector
-from ..operators import enrich, evaluate, pairs, review
+from ..functions import dates, images, quality, scoring, text, vector
+from ..operators import cells, enrich, evaluate, pairs, review
 from ..schema import RANKING_VERSION
 from ..service import Engine
+from ..shared import temporary
+from ..sources import paged
 from ..sources import tables as sources
+from ..sources.versions import Versions
 from . import adapter as A
 
 FLAGSHIP = "face_fallback_topk"
@@ -299,6 +302,13 @@ def vector_topk(spark, d):
     return pairs.vector_topk(*_even_odd(spark, d), 20).withColumn("similarity", F.round("similarity", 4))
 
 
+@query(f'WITH p AS ({_EVEN_ODD}) SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, candidate_id) "rank", round(sim, 4) similarity FROM p QUALIFY "rank" <= 20')
+def indexed_topk(spark, d):
+    """The same shortlists by the cell index."""
+    q, c = _even_odd(spark, d)
+    return cells.nearest(q, cells.build(c), 20).withColumn("similarity", F.round("similarity", 4))
+
+
 @query(f"WITH p AS ({_EVEN_ODD}) SELECT query_id, c_label person, round(max(sim), 4) similarity FROM p GROUP BY ALL")
 def max_per_person(spark, d):
     q, c = _even_odd(spark, d)
@@ -701,6 +711,47 @@ def html_sections(spark, d):
     return x.select("page_id", "name", F.array_join(F.array_sort(flat), ";").alias("sections"))
 
 
+@query(
+    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) link, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 place FROM {pages}),
+ b AS (SELECT page_id, place, regexp_extract(concat(link, '/missing/', page_id * 7 % 40 + place), '/missing/([0-9]+)', 1) record_id FROM l)
+ SELECT record_id, min(page_id)::BIGINT page, arg_min(place, (page_id, place))::INT place FROM b GROUP BY record_id"""
+)
+def listed_ids(spark, d):
+    """Ids of all list pages, each where it stands first; every link of a page is made one to a record."""
+    links = F.transform(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), lambda x, i: F.concat(x, F.lit("/missing/"), (F.col("page_id") * 7 % 40 + i).cast("string")))
+    return paged.listed(read(spark, d, "pages"), "/missing/", page="page_id", within=links).select("record_id", F.col("page").cast("long").alias("page"), "place")
+
+
+@query("SELECT c_custkey record_id, CASE WHEN c_nationkey % 5 = 0 THEN upper(c_name) WHEN c_nationkey % 5 = 1 THEN concat(c_name, '!') ELSE c_name END name, 4 versions FROM {customer} UNION ALL SELECT -1 - s_suppkey, s_name, 4 FROM {supplier}")
+def versioned_registry(spark, d):
+    """A registry that is written, rewritten from itself and appended to twice, one append repeated: the deduplicated view of the last version."""
+    schema = "record_id long, name string"
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    own = lambda rows: rows.select(F.col("c_custkey").cast("long").alias("record_id"), F.col("c_name").alias("name"))
+    v = Versions(spark, temporary(spark))
+    v.append(own(c.where("c_nationkey % 5 <> 4")), "first")
+    v.rewrite(v.read(schema).drop("commit").unionByName(own(c.where("c_nationkey % 5 = 4"))), "rewritten")
+    changed = c.where("c_nationkey % 5 = 0").withColumn("c_name", F.upper("c_name")).unionByName(c.where("c_nationkey % 5 = 1").withColumn("c_name", F.concat("c_name", F.lit("!"))))
+    for _ in range(2):
+        v.append(own(changed), "changed")
+    v.append(s.select((-1 - F.col("s_suppkey")).cast("long").alias("record_id"), F.col("s_name").alias("name")), "suppliers")
+    return v.newest(schema).withColumn("versions", F.lit(v.manifest()["number"]).cast("int"))
+
+
+# A JPEG of segments for each document: JFIF, Exif in one of two byte orders with the text's start, a comment, a table, a scan with a restart and a stuffed byte. Every ninth breaks off.
+_JPEG_PARTS = """concat('FFD8FFE000104A46494600010100000100010000') AS head, concat('FFE1', {hex4}, '457869660000', CASE WHEN doc_id % 2 = 0 THEN '49492A00' ELSE '4D4D002A' END, {text}) AS exif,
+ concat('FFFE000663', upper(lpad({hexid}, 6, '0'))) AS note, concat('FFDB0005', upper(lpad({hexid}, 6, '0'))) AS tab, concat('FFDA000401', '02', '11FF00FFD3', upper(lpad({hexid}, 6, '0'))) AS scan"""
+_JPEG_SPARK = "SELECT doc_id, " + _JPEG_PARTS.format(hex4="lpad(hex(12 + octet_length(left(coalesce(text, ''), 40))), 4, '0')", text="hex(left(coalesce(text, ''), 40))", hexid="hex(doc_id)") + " FROM {documents}"
+_JPEG_DUCK = "SELECT doc_id, " + _JPEG_PARTS.format(hex4="lpad(printf('%X', 12 + octet_length(encode(left(coalesce(text, ''), 40)))), 4, '0')", text="hex(encode(left(coalesce(text, ''), 40)))", hexid="printf('%X', doc_id)") + " FROM {documents}"
+_WHOLE = "concat(head, exif, note, tab, scan, CASE WHEN doc_id % 9 > 0 THEN 'FFD9' ELSE '' END)"
+
+
+@query(f"WITH p AS ({_JPEG_DUCK}) SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN sha256(unhex({_WHOLE})) ELSE '' END image_sha256, CASE WHEN doc_id % 9 > 0 THEN sha256(unhex(concat(head, tab, scan, 'FFD9'))) ELSE '' END clean_sha256 FROM p")
+def image_rewrite(spark, d):
+    parts = A.view(spark, d, _JPEG_SPARK).select("doc_id", F.unhex(F.expr(_WHOLE)).alias("content"))
+    return images.clean_images(parts, "doc_id").select("doc_id", "image_sha256", "clean_sha256")
+
+
 _CELL = "CASE event_id % 6 WHEN 0 THEN concat('  a ', chr(9), event_id::VARCHAR, '  b ') WHEN 1 THEN concat((event_id % 90)::VARCHAR, ' to ', (event_id % 90 + 7)::VARCHAR) WHEN 2 THEN concat(' ', (event_id % 50)::VARCHAR, '.5 ') WHEN 3 THEN concat('seen ', strftime(ts, '%Y-%m-%d'), ' there') WHEN 4 THEN '5d' END"
 
 

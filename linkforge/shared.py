@@ -33,16 +33,22 @@ def file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame) -> str:
-    """Compute `df` now as Parquet in the shared folder; the files go when the driver ends, if nobody deletes them before."""
-    spark = df.sparkSession
+def temporary(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there when the driver ends is deleted."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/linkforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     p, fs = file_system(spark, path)
+    fs.mkdirs(p)
     fs.deleteOnExit(p)
     return path
 
 
+def written(df: DataFrame) -> str:
+    """Compute `df` now as Parquet in the shared folder; the files go when the driver ends, if nobody deletes them before."""
+    path = temporary(df.sparkSession)
+    df.write.mode("append").parquet(path)
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
     """`df`, written and read again: for rows that several plans need."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df))
