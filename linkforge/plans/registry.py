@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, images, quality, scoring, text, vector
+from ..functions import dates, images, quality, scoring, text, vector, vision
 from ..operators import cells, enrich, evaluate, pairs, review
 from ..schema import RANKING_VERSION
-from ..service import Engine
+from ..service import Engine, page_of
 from ..shared import temporary
 from ..sources import paged
 from ..sources import tables as sources
@@ -572,11 +572,9 @@ def province_counts(spark, d):
 
 @query(f"WITH a AS ({A.AM}) SELECT record_id, name, count(*) OVER () total, embedding IS NOT NULL has_face, concat('/images/', record_id, '.jpg') image_url FROM a ORDER BY pos LIMIT 50 OFFSET 20")
 def page_offset_limit(spark, d):
-    a = A.am(spark, d)
-    total = a.agg(F.count(F.lit(1)).alias("total"))
-    page = a.orderBy("pos").offset(20).limit(50)
+    total, page = page_of(A.am(spark, d), "pos", 50, 20)
     url = text.image_url(F.concat(F.lit(text.IMAGE_ROOT), "record_id", F.lit(".jpg")))
-    return page.crossJoin(F.broadcast(total)).select("record_id", "name", "total", F.col("embedding").isNotNull().alias("has_face"), url.alias("image_url"))  # one row
+    return page.select("record_id", "name", F.lit(total).cast("long").alias("total"), F.col("embedding").isNotNull().alias("has_face"), url.alias("image_url"))
 
 
 # --------------------------------------------------------------------------- dates
@@ -752,6 +750,24 @@ def image_rewrite(spark, d):
     return images.clean_images(parts, "doc_id").select("doc_id", "image_sha256", "clean_sha256")
 
 
+# Vectors drawn as grey pictures of eight rows, pixel by pixel.
+_PIXELS = "greatest(0, least(255, CAST(floor(CAST({v} AS DOUBLE) * 400) AS INT) + 128))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding FROM {{embeddings}}), p AS (SELECT vec_id, list_transform(embedding, lambda x: {_PIXELS.format(v='x')}) p FROM e), i AS (SELECT vec_id, p, unnest(range(64)) i FROM p),
+ n AS (SELECT vec_id, p, i, i // 8 r, i % 8 c FROM i),
+ l AS (SELECT vec_id, (p[1 + abs(r - 1) * 8 + c] + p[1 + (7 - abs(6 - r)) * 8 + c] + p[1 + r * 8 + abs(c - 1)] + p[1 + r * 8 + 7 - abs(6 - c)] - 4 * p[1 + i])::DOUBLE v FROM n)
+ SELECT vec_id, vec_id % 5 > 0 usable, CASE WHEN vec_id % 5 > 0 THEN round(var_pop(v) * 4096)::BIGINT END blur_4096, CASE WHEN vec_id % 5 = 0 THEN 'unreadable_image' END failure_reason FROM l GROUP BY vec_id"""
+)
+def blur_scores(spark, d):
+    """Sharpness of each picture; every fifth breaks off."""
+    px = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 400).cast("int") + 128))), 2, "0")), "")
+    content = F.unhex(F.concat(F.hex(F.lit("P5 8 8 255\n").cast("binary")), F.when(F.col("vec_id") % 5 > 0, px).otherwise("00")))
+    faces = vision.assess(A.vectors(spark, d).select(F.col("vec_id").alias("record_id"), content.alias("content")), min_size=4.0)
+    return faces.select(F.col("record_id").cast("long").alias("vec_id"), "usable", F.round(F.col("blur_score") * 4096).cast("long").alias("blur_4096"), "failure_reason")
+
+
 _CELL = "CASE event_id % 6 WHEN 0 THEN concat('  a ', chr(9), event_id::VARCHAR, '  b ') WHEN 1 THEN concat((event_id % 90)::VARCHAR, ' to ', (event_id % 90 + 7)::VARCHAR) WHEN 2 THEN concat(' ', (event_id % 50)::VARCHAR, '.5 ') WHEN 3 THEN concat('seen ', strftime(ts, '%Y-%m-%d'), ' there') WHEN 4 THEN '5d' END"
 
 
