@@ -15,6 +15,7 @@ from ..shared import temporary
 from ..sources import paged
 from ..sources import tables as sources
 from ..sources.versions import Versions
+from .. import sql as surface
 from . import adapter as A
 
 FLAGSHIP = "face_fallback_topk"
@@ -203,6 +204,25 @@ def min_score_topk(spark, d):
     return pairs.metadata_search(*sides(spark, d), k=10, min_score=0.7)
 
 
+@query(BASE + 'SELECT pm_record_id, am_record_id, row_number() OVER (PARTITION BY pm_record_id ORDER BY metadata_score DESC, am_pos) "rank", metadata_score final_score FROM f QUALIFY "rank" <= 5')
+def sql_shortlist(spark, d):
+    """A shortlist as SQL text, with the session's SQL functions."""
+    surface.install(spark)
+    a, p = sides(spark, d)
+    return spark.sql(surface.SHORTLIST, am=a, pm=p, k=5)
+
+
+@query(BASE + "SELECT am_record_id, pm_record_id, face_score, metadata_score, final_score FROM f WHERE face_score IS NOT NULL")
+def sql_fusion(spark, d):
+    """Faces and metadata of all pairs of vectors, by SQL functions over the views."""
+    surface.install(spark)
+    surface.views(spark, A.am(spark, d), A.pm(spark, d), normalize=text.normalize_ascii)
+    return spark.sql("""SELECT am_record_id, pm_record_id, round(face, 4) AS face_score, metadata AS metadata_score, fusion_score(face, metadata) AS final_score FROM (
+ SELECT a.record_id AS am_record_id, p.record_id AS pm_record_id, face_score(similarity(a.embedding, p.embedding)) AS face, metadata_score(sex_score(a.sex, a.detected_sex, p.sex, p.detected_sex), age_score(a.age, p.age),
+ height_score(a.height_cm, p.height_cm), date_score(a.event_day, p.event_day), location_score(a.n_location, a.n_province, a.n_district, a.n_municipality, p.n_location, p.n_province, p.n_district, p.n_municipality)) AS metadata
+ FROM am a JOIN pm p ON a.embedding IS NOT NULL AND p.embedding IS NOT NULL)""")
+
+
 @query(BASE + 'SELECT pm_record_id, am_record_id, metadata_score final_score FROM f QUALIFY row_number() OVER (PARTITION BY pm_record_id ORDER BY metadata_score DESC, am_pos) <= 10 ORDER BY final_score DESC, pm_pos, am_pos LIMIT 5')
 def global_top5(spark, d):
     a, p = sides(spark, d)
