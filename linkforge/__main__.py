@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions.dates import stored_or_normalized
+from .functions.images import clean_images
 from .functions.text import normalize_text
 from .operators import enrich, evaluate, pairs
 from .schema import EMBEDDING_SUMMARY, GROUND_TRUTH, SIDECAR, VECTOR, conform
+from .sources import paged
 from .sources import tables as S
 
 
@@ -57,6 +59,11 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("--out", required=True)
         return c
 
+    c = command("list-pages", "url", "marker")
+    c.add_argument("--pages", type=int, help="their number, if the first page doesn't say it")
+    c.add_argument("--delay", type=float, default=0.5)
+    c.add_argument("--limit", type=int)
+    command("clean-images", "images")
     command("import-list", "rows")
     command("import-details", "details").add_argument("--record-type", choices=["AM", "PM"], default="AM")
     command("normalize-dates", "registry")
@@ -82,7 +89,13 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("--truth")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("linkforge").getOrCreate()
-    if a.command == "import-list":
+    if a.command == "list-pages":
+        spark.dataSource.register(paged.PagedList)
+        pages = spark.read.format("paged_list").option("url", a.url).option("delay", a.delay)
+        S.write_csv(paged.listed((pages if a.pages is None else pages.option("pages", a.pages)).load(), a.marker, a.limit), a.out)
+    elif a.command == "clean-images":
+        S.write_registry(clean_images(S.read_images(spark, a.images)), a.out)
+    elif a.command == "import-list":
         S.write_registry(S.import_list(S.read_list_rows(spark, a.rows)), a.out)
     elif a.command == "import-details":
         S.write_registry(S.import_details(S.read_details(spark, a.details), a.record_type), a.out)

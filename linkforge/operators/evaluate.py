@@ -24,25 +24,29 @@ def metrics(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *recall, mrr)
 
 
-def threshold_sweep(detections: DataFrame, scores: tuple = (0.4, 0.5, 0.6), blurs: tuple = (0.0, 50.0, 100.0)) -> DataFrame:
-    """Share of faces that stay usable, and of good ones, for each pair of thresholds."""
-    spark = detections.sparkSession
-    grid = spark.createDataFrame([(float(s), float(b)) for s in scores for b in blurs], "min_score double, min_blur double")
-    d = detections.crossJoin(F.broadcast(grid))  # nine rows
+#: Thresholds of the sweep; no blur threshold is one of them.
+SWEEP_SCORES, SWEEP_BLURS = (0.0, 0.5, 0.7), (None, 20.0, 50.0)
+
+
+def _swept(rows: DataFrame, scores: tuple, blurs: tuple) -> DataFrame:
+    """`rows` beside each pair of thresholds, with `ok`: the face stays usable."""
+    grid = rows.sparkSession.createDataFrame([(float(s), None if b is None else float(b)) for s in scores for b in blurs], "min_score double, min_blur double")
     w, h, s, b = (F.col(c) for c in ("face_width", "face_height", "detector_score", "blur_score"))
     ok = quality.failure(w, h, s, min_score=F.col("min_score")).isNull() & F.coalesce(b >= F.col("min_blur"), F.lit(True))
-    return d.groupBy("min_score", "min_blur").agg(F.avg(ok.cast("double")).alias("enrolment_rate"), F.count(F.lit(1)).alias("faces"))
+    return rows.crossJoin(F.broadcast(grid)).withColumn("ok", ok)  # as many rows as there are pairs of thresholds
+
 
+def threshold_sweep(detections: DataFrame, scores: tuple = SWEEP_SCORES, blurs: tuple = SWEEP_BLURS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of faces that stay usable for each pair of thresholds, and for each value of `by`, as the side."""
+    d = _swept(detections, scores, blurs)
+    return d.groupBy(*by, "min_score", "min_blur").agg(F.avg(F.col("ok").cast("double")).alias("enrolment_rate"), F.count(F.lit(1)).alias("faces"))
 
-def threshold_recall(detections: DataFrame, ranks: DataFrame, key: str, scores: tuple = (0.4, 0.5, 0.6), blurs: tuple = (0.0, 50.0, 100.0)) -> DataFrame:
-    """Recall@K over the queries whose face stays usable, for each pair of thresholds: what enrolment costs and gains.
+
+def threshold_recall(detections: DataFrame, ranks: DataFrame, key: str, scores: tuple = SWEEP_SCORES, blurs: tuple = SWEEP_BLURS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Recall@K over the queries whose face stays usable, for each pair of thresholds, and for each value of `by`, as the condition: what enrolment costs and gains.
 
     `ranks` has a row for each query with its `rank` (NULL where the right candidate isn't found); both sides share `key`.
     """
-    spark = detections.sparkSession
-    grid = spark.createDataFrame([(float(s), float(b)) for s in scores for b in blurs], "min_score double, min_blur double")
-    d = ranks.join(detections, key).crossJoin(F.broadcast(grid))  # nine rows
-    w, h, s, b = (F.col(c) for c in ("face_width", "face_height", "detector_score", "blur_score"))
-    ok = quality.failure(w, h, s, min_score=F.col("min_score")).isNull() & F.coalesce(b >= F.col("min_blur"), F.lit(True))
-    recall = [F.coalesce(F.avg(F.when(ok, F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)))), F.lit(0.0)).alias(f"recall_{k}") for k in AT]
-    return d.groupBy("min_score", "min_blur").agg(F.count_if(ok).alias("enrolled"), *recall)
+    d = _swept(ranks.join(detections, key), scores, blurs)
+    recall = [F.coalesce(F.avg(F.when(F.col("ok"), F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)))), F.lit(0.0)).alias(f"recall_{k}") for k in AT]
+    return d.groupBy(*by, "min_score", "min_blur").agg(F.count_if("ok").alias("enrolled"), *recall)

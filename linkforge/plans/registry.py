@@ -420,22 +420,23 @@ def quality_band(spark, d):
 
 
 @query(
-    f"""WITH x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE min_score), b AS (SELECT unnest([0, 50, 100])::DOUBLE min_blur)
- SELECT min_score, min_blur, round(avg(({_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true))::INT), 6) enrolment_rate, count(*) faces FROM x, g, b GROUP BY ALL"""
+    f"""WITH x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.0, 0.5, 0.7])::DOUBLE min_score), b AS (SELECT unnest([NULL, 20, 50])::DOUBLE min_blur)
+ SELECT CASE WHEN record_key % 3 = 0 THEN 'pm' ELSE 'am' END side, min_score, min_blur, round(avg(({_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true))::INT), 6) enrolment_rate, count(*) faces FROM x, g, b GROUP BY ALL"""
 )
 def threshold_sweep(spark, d):
-    return evaluate.threshold_sweep(A.view(spark, d, A.DETECTIONS)).withColumn("enrolment_rate", F.round("enrolment_rate", 6))
+    x = A.view(spark, d, A.DETECTIONS).withColumn("side", F.when(F.col("record_key") % 3 == 0, "pm").otherwise("am"))
+    return evaluate.threshold_sweep(x, by=("side",)).withColumn("enrolment_rate", F.round("enrolment_rate", 6))
 
 
 @query(
     _MODES
-    + f""", x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE min_score), b AS (SELECT unnest([0, 50, 100])::DOUBLE min_blur),
- y AS (SELECT h.rk, min_score, min_blur, {_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true) ok FROM h JOIN x ON x.record_key = h.query_id, g, b WHERE h."mode" = 'face+metadata')
- SELECT min_score, min_blur, count(*) FILTER (ok) enrolled, {", ".join(f"round(coalesce(avg(coalesce((rk <= {k})::INT, 0)) FILTER (ok), 0), 6) recall_{k}" for k in evaluate.AT)} FROM y GROUP BY ALL"""
+    + f""", x AS ({A.DETECTIONS}), g AS (SELECT unnest([0.0, 0.5, 0.7])::DOUBLE min_score), b AS (SELECT unnest([NULL, 20, 50])::DOUBLE min_blur),
+ y AS (SELECT h.rk, h.condition, min_score, min_blur, {_FAIL.replace("{s}", "min_score")} IS NULL AND coalesce(blur_score >= min_blur, true) ok FROM h JOIN x ON x.record_key = h.query_id, g, b WHERE h."mode" = 'face+metadata')
+ SELECT condition, min_score, min_blur, count(*) FILTER (ok) enrolled, {", ".join(f"round(coalesce(avg(coalesce((rk <= {k})::INT, 0)) FILTER (ok), 0), 6) recall_{k}" for k in evaluate.AT)} FROM y GROUP BY ALL"""
 )
 def threshold_recall(spark, d):
     ranks = _modes(spark, d).where("mode = 'face+metadata'").withColumnRenamed("query_id", "record_key")
-    return _rounded(evaluate.threshold_recall(A.view(spark, d, A.DETECTIONS), ranks, "record_key"))
+    return _rounded(evaluate.threshold_recall(A.view(spark, d, A.DETECTIONS), ranks, "record_key", by=("condition",)))
 
 
 # ------------------------------------------------------------- enrichment and caches

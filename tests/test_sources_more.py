@@ -137,3 +137,15 @@ def test_png_and_what_is_no_image(spark):
     got = {r["record_id"]: r for r in images.clean_images(spark.createDataFrame(rows_, "record_id string, content binary")).collect()}
     assert bytes(got["a"]["content"]) == images.PNG + b"".join(keep) and got["a"]["image_sha256"] != got["a"]["clean_sha256"] != ""
     assert all((got[k]["image_sha256"], bytes(got[k]["content"]), got[k]["clean_sha256"]) == ("", b"", "") for k in "bcde")
+
+
+def test_commands(spark, tmp_path):
+    from linkforge.__main__ import main
+
+    (tmp_path / "1.html").write_text("<a href='/x/7'>a</a><a href='/x/3'>b</a>")
+    main(["list-pages", f"file://{tmp_path}/{{page}}.html", "/x/", "--pages", "1", "--out", f"{tmp_path}/ids"])
+    assert sorted(r["record_id"] for r in spark.read.csv(f"{tmp_path}/ids", header=True).collect()) == ["3", "7"]
+    (tmp_path / "pictures").mkdir()
+    (tmp_path / "pictures" / "r1.jpg").write_bytes(b"\xff\xd8" + segment(0xFE, b"note") + segment(0xDA, b"\1") + b"\x12\xff\xd9")
+    main(["clean-images", f"{tmp_path}/pictures", "--out", f"{tmp_path}/clean"])
+    assert [(r["record_id"], bytes(r["content"])) for r in spark.read.parquet(f"{tmp_path}/clean").collect()] == [("r1", b"\xff\xd8" + segment(0xDA, b"\1") + b"\x12\xff\xd9")]
