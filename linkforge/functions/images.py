@@ -21,7 +21,7 @@ DROPPED_CHUNKS = {b"tEXt", b"zTXt", b"iTXt", b"eXIf", b"tIME"}
 
 def _jpeg(data: bytes) -> bytes | None:
     out, at = [data[:2]], 2
-    while at + 4 <= len(data):
+    while at + 2 <= len(data):
         if data[at] != 0xFF:
             return None
         kind = data[at + 1]
@@ -30,6 +30,8 @@ def _jpeg(data: bytes) -> bytes | None:
             continue
         if kind == 0xD9:
             return b"".join([*out, b"\xff\xd9"])
+        if at + 4 > len(data):
+            return None
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         end = at + 2 + size
         if size < 2 or end > len(data):
@@ -46,8 +48,6 @@ def _jpeg(data: bytes) -> bytes | None:
         if not (0xE0 <= kind <= 0xEF or kind == 0xFE) or kind in KEPT_SEGMENTS:
             out.append(data[at:end])
         at = end
-        if data[at : at + 2] == b"\xff\xd9":
-            return b"".join([*out, b"\xff\xd9"])
     return None
 
 

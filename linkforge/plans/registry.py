@@ -759,7 +759,7 @@ def versioned_registry(spark, d):
 
 # A JPEG of segments for each document: JFIF, Exif in one of two byte orders with the text's start, a comment, a table, a scan with a restart and a stuffed byte. Every ninth breaks off.
 _JPEG_PARTS = """concat('FFD8FFE000104A46494600010100000100010000') AS head, concat('FFE1', {hex4}, '457869660000', CASE WHEN doc_id % 2 = 0 THEN '49492A00' ELSE '4D4D002A' END, {text}) AS exif,
- concat('FFFE000663', upper(lpad({hexid}, 6, '0'))) AS note, concat('FFDB0005', upper(lpad({hexid}, 6, '0'))) AS tab, concat('FFDA000401', '02', '11FF00FFD3', upper(lpad({hexid}, 6, '0'))) AS scan"""
+ concat('FFFE000663', upper(lpad({hexid}, 6, '0'))) AS note, concat('FFDB0005', upper(lpad({hexid}, 6, '0'))) AS tab, concat('FFDA000401', '02', '11FF00FFD3', lpad(CAST(doc_id AS VARCHAR(20)), 8, '0')) AS scan"""
 _JPEG_SPARK = "SELECT doc_id, " + _JPEG_PARTS.format(hex4="lpad(hex(12 + octet_length(left(coalesce(text, ''), 40))), 4, '0')", text="hex(left(coalesce(text, ''), 40))", hexid="hex(doc_id)") + " FROM {documents}"
 _JPEG_DUCK = "SELECT doc_id, " + _JPEG_PARTS.format(hex4="lpad(printf('%X', 12 + octet_length(encode(left(coalesce(text, ''), 40)))), 4, '0')", text="hex(encode(left(coalesce(text, ''), 40)))", hexid="printf('%X', doc_id)") + " FROM {documents}"
 _WHOLE = "concat(head, exif, note, tab, scan, CASE WHEN doc_id % 9 > 0 THEN 'FFD9' ELSE '' END)"

@@ -122,6 +122,7 @@ def test_jpeg_loses_what_is_beside_the_pixels(order):
     icc = segment(0xE2, b"ICC_PROFILE\0")
     whole = b"\xff\xd8" + jfif + beside + icc + table + scan + segment(0xFE, b"between scans") + more + b"\xff\xd9"
     assert images.stripped(whole + b"trailer") == b"\xff\xd8" + jfif + icc + table + scan + more + b"\xff\xd9" == images.stripped(images.stripped(whole))
+    assert images.stripped(whole[:-2] + b"\xff\xff\xd9") == images.stripped(whole)  # fill before the end
     for k in range(len(whole) - 1):
         assert images.stripped(whole[:k]) is None
 
