@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, images, quality, scoring, text, vector, vision
 from ..operators import cells, enrich, evaluate, pairs, review
-from ..schema import RANKING_VERSION
+from ..schema import FACE_MODEL_VERSION, RANKING_VERSION
 from ..service import Engine, page_of
 from ..shared import temporary
 from ..sources import paged
 from ..sources import tables as sources
 from ..sources.versions import Versions
+from ..streaming import pair_state
 from .. import sql as surface
 from . import adapter as A
 
@@ -922,3 +923,36 @@ def upload_validation(spark, d):
         "event_id", "event_type", kind.alias("name"), F.when(e % 13 != 0, F.col("props").cast("binary")).alias("content"), F.lit(None).cast("string").alias("content_type"), F.when(e % 7 == 0, "xx").otherwise("am").alias("target"), F.when(e % 11 == 0, "??").otherwise("Male").alias("sex")
     )
     return review.upload_error(x).select("event_id", "error", review.upload_review_id(F.when(e % 3 != 0, F.col("event_type"))).alias("review_id"))
+
+
+def _log(spark, d) -> DataFrame:
+    """The events as reviews with their ids and times; event times are cut to the second."""
+    rows = _reviews(spark, d).join(read(spark, d, "events").select("event_id", "ts"), "event_id").withColumn("decision", review.canonical_decision(F.col("decision")))
+    return rows.where("decision is not null").select(
+        F.col("event_id").cast("string").alias("review_id"), "pm_record_id", "am_record_id", "decision", F.coalesce("forensic_status", F.lit("")).alias("forensic_status"), "notes",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("reviewed_at"), F.lit(RANKING_VERSION).alias("ranking_model_version"), F.lit(FACE_MODEL_VERSION).alias("face_model_version"),
+    )
+
+
+_PAIR_REVIEWS = """WITH r AS (SELECT concat('PM', (user_id % 50)::VARCHAR) pm_record_id, concat('AM', (event_id % 90)::VARCHAR) am_record_id, event_id::VARCHAR review_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') reviewed_at,
+ CASE event_id % 5 WHEN 0 THEN 'potential' WHEN 2 THEN 'inconclusive' ELSE 'rejected' END decision, ['not_examined', '', 'excluded', 'unheard'][1 + event_id % 4] forensic_status FROM {events} WHERE event_id % 5 <> 4)
+SELECT pm_record_id, am_record_id, max(reviewed_at) reviewed_at, arg_max(review_id, (reviewed_at, review_id)) review_id, arg_max(decision, (reviewed_at, review_id)) decision,
+ arg_max(forensic_status, (reviewed_at, review_id)) forensic_status, count(*) reviews, count(*) FILTER (decision = 'potential') potential, count(*) FILTER (decision = 'rejected') rejected,
+ count(*) FILTER (decision = 'inconclusive') inconclusive, count(DISTINCT decision) > 1 disagreement FROM r GROUP BY pm_record_id, am_record_id"""
+
+
+@query(_PAIR_REVIEWS)
+def pair_reviews(spark, d):
+    return pair_state.pair_reviews(_log(spark, d))
+
+
+@query(_PAIR_REVIEWS)
+def pair_reviews_stream(spark, d):
+    """The log in two deliveries: the second brings late reviews and repeats some of the first."""
+    root, log = temporary(spark), _log(spark, d)
+    late = F.crc32("review_id") % 2 == 0
+    log.where(~late).write.mode("append").parquet(f"{root}/log")
+    pair_state.start(spark, f"{root}/log", f"{root}/pairs", f"{root}/checkpoint", partitions=8).awaitTermination()
+    log.where(late | (F.crc32("review_id") % 3 == 0)).write.mode("append").parquet(f"{root}/log")
+    pair_state.start(spark, f"{root}/log", f"{root}/pairs", f"{root}/checkpoint", partitions=8).awaitTermination()
+    return pair_state.newest(spark, f"{root}/pairs")

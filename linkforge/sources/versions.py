@@ -60,11 +60,11 @@ class Versions:
             out = one if out is None else out.unionByName(one)
         return self.spark.createDataFrame([], schema).withColumn("commit", F.lit(None).cast("long")) if out is None else out
 
-    def newest(self, schema: T.StructType | str, key: str = "record_id") -> DataFrame:
-        """One row for each key: of the latest commit, and in it the first by its other columns."""
-        rows = self.read(schema)
-        order = [F.desc("commit"), *[F.asc(c) for c, kind in rows.dtypes if c not in ("commit", key) and not kind.startswith("map")]]
-        best = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    def newest(self, schema: T.StructType | str, key: str | list[str] = "record_id") -> DataFrame:
+        """One row for each key, of one or more columns: of the latest commit, and in it the first by its other columns."""
+        rows, keys = self.read(schema), [key] if isinstance(key, str) else list(key)
+        order = [F.desc("commit"), *[F.asc(c) for c, kind in rows.dtypes if c not in ("commit", *keys) and not kind.startswith("map")]]
+        best = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("_n", best).where("_n = 1").drop("_n", "commit")
 
     def _commit(self, before: dict, folders: list[str], run: str) -> int:
