@@ -104,9 +104,9 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets_for(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
-    """A power of two of hash buckets, so that one holds what about `each` bytes of text give, whatever the corpus."""
-    return 1 << min(20, max(8, (n_bytes // each).bit_length(), (width(spark) - 1).bit_length()))
+def buckets_for(spark: SparkSession, n_bytes: int, each: int = 8 << 20, most: int = 20) -> int:
+    """A power of two of hash buckets, 2 ** `most` at most, so that one holds what about `each` bytes of text give."""
+    return 1 << min(most, max(8, (n_bytes // each).bit_length(), (width(spark) - 1).bit_length()))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,7 +159,9 @@ def _unplanes(data: memoryview, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * w).reshape(w, n).T).reshape(-1).view(kind)
 
 
-ENTRY = "bucket int, data binary"
+ENTRY = "bucket int, piece int, data binary"
+#: Blobs that one chunk is dealt into at most, and buckets whose worth of blobs meets in one task to be split.
+FAN, TOGETHER = 1 << 12, 8
 FOUND = "doc_id long, tie long, pos int, h long, kind int"
 _FOUND = [("doc_id", pa.int64()), ("tie", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("kind", pa.int32())]
 #: Of a found anchor: its whole context is covered; its context is to be sorted; its strings become rows.
@@ -174,9 +177,48 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _dealt(buckets: int) -> tuple[int, int]:
+    """Buckets that a chunk is dealt into at once, and parts of each, into which they are split where many chunks' blobs have met."""
+    first = min(FAN, buckets)
+    return first, buckets // first
+
+
+def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """The numbers of the buckets that have rows, and each one's rows as bytes; the work doesn't grow with the number of buckets."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    starts = np.flatnonzero(_first(sorted_)) if len(order) else np.zeros(0, np.int64)
+    columns = [x[order] for x in columns]
+    data = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        data.append(b"\x00" + b"".join(_planes(x[a:b]) if x.dtype.kind == "i" else x[a:b].tobytes() for x in columns))
+    return sorted_[starts].tolist(), data
+
+
+#: The columns of an entry in its blob; before them goes the part of the bucket, while blobs are yet to be split.
+_PART, _COLUMNS = np.dtype(np.uint16), [np.dtype(x) for x in (np.uint32, np.uint64, np.int64, np.int64, np.int32)]
+
+
+def _unblob(raw: memoryview, kinds: list[np.dtype]) -> list[np.ndarray]:
+    n, at, out = (len(raw) - 1) // sum(k.itemsize for k in kinds), 1, []
+    for k in kinds:
+        part = raw[at : at + n * k.itemsize]
+        out.append(_unplanes(part, k, n) if k.kind == "i" else np.frombuffer(part, np.uint8).view(k))
+        at += n * k.itemsize
+    return out
+
+
+def _entry_batch(which: list[int], piece: int, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([piece] * len(which), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "piece", "data"])
+
+
 def _entries(buckets: int):
+    many, parts = _dealt(buckets)
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by the task alone, which a repeated task shares, whatever the order of its rows
+        piece = TaskContext.get().partitionId() % -(-parts // TOGETHER)
         for batch in batches:
             doc, ties = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "tie"))
             for lo, hi, buf, off in text_chunks(batch, "text", CHUNK_BYTES // 2):
@@ -198,26 +240,53 @@ def _entries(buckets: int):
                 h, context, name, tie, pos = h[order], context[order], name[order], tie[order], pos[order]
                 once = _first(h, context)
                 again = ~once
-                bucket = (h >> U64(32)) % U64(buckets)
                 if again.any():  # one for each context is enough: these have an earlier one here
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(pos[0]) % buckets], pa.int32()), pa.array([b"\x01" + _planes(name[again]) + _planes(tie[again]) + _planes(pos[again])], pa.binary())], names=["bucket", "data"]
-                    )
-                h, context, name, tie, pos, bucket = h[once], context[once], name[once], tie[once], pos[once], bucket[once]
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                which, data = [], []
-                low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
-                for k in range(buckets):
-                    x = order[ends[k] : ends[k + 1]]
-                    if len(x):
-                        which.append(k)
-                        data.append(b"\x00" + low[x].tobytes() + context[x].tobytes() + _planes(name[x]) + _planes(tie[x]) + _planes(pos[x]))
-                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+                    yield _entry_batch([int(pos[0]) % many], piece, [b"\x01" + _planes(name[again]) + _planes(tie[again]) + _planes(pos[again])])
+                h, context, name, tie, pos = h[once], context[once], name[once], tie[once], pos[once]
+                bucket = ((h >> U64(32)) % U64(buckets)).astype(np.int64)
+                part = [(bucket % parts).astype(_PART)] if parts > 1 else []
+                which, data = _blobs(bucket // parts, [*part, (h & U64(0xFFFFFFFF)).astype(np.uint32), context, name, tie, pos])
+                yield _entry_batch(which, piece, data)
+
+    return run
+
+
+def _split(parts: int):
+    @lean
+    def run(group: pa.Table) -> pa.Table:
+        """The blobs of one bucket from many chunks, as one for each of the bucket's parts."""
+        first, piece = (group.column(k)[0].as_py() for k in ("bucket", "piece"))
+        cols: list[list[np.ndarray]] = [[] for _ in range(len(_COLUMNS) + 1)]
+        which, data = [], []
+        for x in group.column("data"):
+            raw = memoryview(x.as_buffer())
+            if raw[0]:  # decided already
+                which.append(first * parts)
+                data.append(raw.tobytes())
+                continue
+            for c, x in zip(cols, _unblob(raw, [_PART, *_COLUMNS])):
+                c.append(x)
+        if cols[0]:
+            part, *rest = map(np.concatenate, cols)
+            more, blobs = _blobs(part.astype(np.int64), rest)
+            which += [first * parts + k for k in more]
+            data += blobs
+        return pa.Table.from_batches([_entry_batch(which, piece, data)])
 
     return run
 
 
+def anchor_entries(slim: DataFrame, buckets: int) -> DataFrame:
+    """bucket, piece, data: the anchors of all texts in blobs by bucket.
+
+    A chunk gives `FAN` blobs at most, so they stay large however many buckets the corpus has. Where it has more, the blobs of one
+    bucket from a share of the tasks meet once, in the size of some buckets, and are split into its parts there.
+    """
+    many, parts = _dealt(buckets)
+    blobs = slim.mapInArrow(_entries(buckets), ENTRY)
+    return blobs if parts == 1 else blobs.groupBy("bucket", "piece").applyInArrow(_split(parts), ENTRY)
+
+
 def _repeats(hot: int):
     @lean
     def run(group: pa.Table) -> pa.Table:
@@ -231,11 +300,8 @@ def _repeats(hot: int):
                 for k, (at, kind) in enumerate(((1, np.int64), (1 + 8 * n, np.int64), (1 + 16 * n, np.int32))):
                     done[k].append(_unplanes(raw[at:], kind, n))
                 continue
-            n = (len(raw) - 1) // 32
-            cols[0].append(np.frombuffer(raw[1:], np.uint8, 4 * n).view(np.uint32))
-            cols[1].append(np.frombuffer(raw[1 + 4 * n :], np.uint8, 8 * n).view(np.uint64))
-            for k, (at, kind) in enumerate(((1 + 12 * n, np.int64), (1 + 20 * n, np.int64), (1 + 28 * n, np.int32))):
-                cols[2 + k].append(_unplanes(raw[at:], kind, n))
+            for c, x in zip(cols, _unblob(raw, _COLUMNS)):
+                c.append(x)
         out = [[*x] for x in done] + [[np.zeros(sum(map(len, done[0])), np.int64)], [np.zeros(sum(map(len, done[0])), np.int32)]]
         if cols[0]:
             h, context, name, tie, pos = map(np.concatenate, cols)
@@ -429,12 +495,15 @@ def _covered_spans(group: pa.Table) -> pa.Table:
 # ------------------------------------------------------------------------- operator
 
 
-def removed_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, tie, pos, size of covered stretches; size 0: the whole context of the anchor at pos."""
+def removed_spans(slim: DataFrame, hot: int = HOT, buckets: int | None = None) -> DataFrame:
+    """doc_id, tie, pos, size of covered stretches; size 0: the whole context of the anchor at pos.
+
+    The number of buckets follows the corpus's bytes unless it is given.
+    """
     spark = slim.sparkSession
     small_batches(spark)
-    buckets = buckets_for(spark, slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = table(slim.mapInArrow(_entries(buckets), ENTRY).repartition("bucket").groupBy("bucket").applyInArrow(_repeats(hot), FOUND))
+    buckets = buckets or buckets_for(spark, slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0, most=24)
+    found = table(anchor_entries(slim, buckets).repartition("bucket").groupBy("bucket").applyInArrow(_repeats(hot), FOUND))
     release(spark)
     want = found.where(F.col("kind") != COVERED).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("want"))
     contexts = slim.join(want, ["doc_id", "tie"]).select("doc_id", "tie", "text", "want").mapInArrow(_contexts(buckets), CONTEXTS)

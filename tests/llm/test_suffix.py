@@ -43,6 +43,25 @@ def test_report_equals_brute_force(spark, hot):
         assert got == want
 
 
+def test_buckets_split_in_two_steps(spark, monkeypatch):
+    """With a small fan-out the second step is taken; the spans are those of one step."""
+    docs = real(spark).selectExpr("doc_id", "0L tie", "encode(coalesce(text, ''), 'UTF-8') text").where("doc_id is not null").repartition(7)
+    want = sorted(map(tuple, suffix.removed_spans(docs).collect()))
+    assert want
+    monkeypatch.setattr(suffix, "FAN", 16)
+    monkeypatch.setattr(suffix, "TOGETHER", 5)
+    assert suffix._dealt(256) == (16, 16)
+    assert sorted(map(tuple, suffix.removed_spans(docs, buckets=256).collect())) == want
+
+
+@pytest.mark.parametrize("buckets", [1 << 8, 1 << 17, 1 << 20])
+def test_first_exchange_does_not_grow_with_the_buckets(spark, buckets):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "0L tie", "encode(coalesce(text, ''), 'UTF-8') text").coalesce(1)
+    n_bytes = docs.selectExpr("sum(octet_length(text))").first()[0]
+    blobs = docs.mapInArrow(suffix._entries(buckets), suffix.ENTRY).selectExpr("sum(octet_length(data) + 48)", "count(*)").first()
+    assert blobs[0] < 1.5 * n_bytes and blobs[1] <= suffix.FAN * (n_bytes // suffix.CHUNK_BYTES * 3 + 3)
+
+
 def test_planted_passages(spark):
     rng = random.Random(3)
     text = lambda n: "".join(rng.choice("abcd efgh") for _ in range(n))
