@@ -67,7 +67,7 @@ def measures(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], n
     letters = k[:, 0] + k[:, 1] + k[:, 10]
     known = np.zeros(len(h) + 1)
     known[1:] = np.cumsum(_KNOWN[np.minimum(np.searchsorted(_KNOWN, h), len(_KNOWN) - 1)] == h)
-    repeated, distinct = np.zeros(rows), np.ones(rows)
+    repeated, distinct = np.zeros(rows), np.zeros(rows)
     if len(buf):
         ends = np.flatnonzero(buf == 10)
         bounds = np.unique(np.concatenate([ends + 1, off]))
