@@ -56,14 +56,20 @@ def counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     upper = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
     x[upper] += 0x20
     x = x.astype(np.uint32)
-    text = np.repeat(np.arange(rows, dtype=np.int64) << BITS, np.diff(off))
-    gram, left = x, off[1:].repeat(np.diff(off)) - np.arange(n)
+    # the rows of a call times DIMENSIONS, and its bytes, are numbers of 32 bits, but for a text of 2 GB
+    small = np.int32 if max(n, rows << BITS) < 1 << 31 else np.int64
+    text = np.repeat(np.arange(rows, dtype=small) << BITS, np.diff(off))
+    gram, left = x, np.repeat(off[1:].astype(small), np.diff(off))
+    left -= np.arange(n, dtype=small)
     for size in (1, 2, 3):
         if size > 1:
             gram = (gram[:-1] << np.uint32(8)) | x[size - 1 :]
         ok = left[: len(gram)] >= size
         code = (gram * np.uint32(2654435761) + np.uint32(size * 0x5BD1E995 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
-        out += np.bincount((text[: len(gram)] + code)[ok], minlength=len(out))
+        place = text[: len(gram)] + code.astype(small)
+        del code
+        out += np.bincount(place[ok], minlength=len(out))
+        del place
     return out.reshape(rows, DIMENSIONS)
 
 
