@@ -1,3 +1,6 @@
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,3 +182,41 @@ def test_contents_without_an_id_link_as_well(spark):
     got = [tuple(r) for r in media.image_copies(spark.createDataFrame(rows, "image_id long, content binary")).collect()]
     assert sorted((c for _, n, c in got if n), key=str) == [5, 5, 5, None]
     assert sorted((c for _, n, c in got if not n), key=str) == [3, None]
+
+
+def test_chance_meetings_in_large_buckets_are_no_rows(spark, monkeypatch):
+    """60 images that all meet in one bucket, some of them in a second one: the pairs of brute force, and rows for these alone."""
+    rng = np.random.default_rng(6)
+    buckets = {1: list(range(60)), **{k: sorted(rng.choice(60, 10, replace=False).tolist()) for k in range(2, 8)}, 9: list(range(40, 55))}
+    part = {i: 40 if 40 <= i < 55 else i - i % 3 for i in range(60)}
+    rows = spark.createDataFrame([(k, i, ids[0], len(ids)) for k, ids in buckets.items() for i in ids], "key long, id long, lo long, m long")
+    group = spark.createDataFrame([(i, c) for i, c in part.items() if i != c or i == 40], "id long, component long")
+    shared = Counter((a, b) for ids in buckets.values() for a, b in combinations(ids, 2) if part[a] != part[b])
+    want = {p: n for p, n in shared.items() if n >= media.SHARED}
+    assert 0 < len(want) < len(shared) / 2
+    made = media.across(rows, group).collect()
+    assert Counter((r["a"], r["b"]) for r in made) == want
+    assert {tuple(r) for r in media.crossing(rows, group).collect()} == set(want)
+    monkeypatch.setattr(media, "KNOWN", 1)  # the listing by counts
+    assert {tuple(r) for r in media.crossing(rows, group).collect()} == set(want)
+
+
+def test_descriptors_are_dealt_once(spark):
+    """More pairs than images: all are looked at, in rounds, and the images' own descriptors stay where they were written."""
+    grey = [np.rint(np.clip(media.resize(np.random.default_rng(k // 5).normal(size=(24, 24)), 5), -2, 2) * 60 + 125) for k in range(20)]
+    rows = []
+    for k, x in enumerate(grey):
+        p, c = media.corners(x[k % 5 :, k % 5 :])
+        rows.append((bytes([k]), k, len(p), p.astype(np.float32).tobytes(), c.tobytes()))
+    found, drop = media.bucketed(spark.createDataFrame(rows, media.FEATURES), "id")
+    pairs = spark.createDataFrame(list(combinations(range(20), 2)), "a long, b long")
+    assert {tuple(r) for r in media.verified(pairs, found).collect()} == {(a, b) for a, b in combinations(range(20), 2) if a // 5 == b // 5}
+    have = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = media.beside(pairs, found)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", have)
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the pairs by either image
+    drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("linkforge_")]
