@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words in each of the two generations that a worker remembers; the older is dropped when the younger is full.
 REMEMBERED = 400_000
+#: Characters of which the words are looked up at once.
+PORTION = 1 << 20
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
 
@@ -41,6 +44,14 @@ _OTHER = re.compile("[^\x00-\u017f]|<\\|")
 _WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+def _whole(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # quicker than the search, where it can be had
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is not None
+    return "<|" in text
+
+
 class WordTokens:
     """Token bytes (little-endian unsigned 32-bit ids) of whole texts by a white-space-dropping, lower-casing tokenizer.
 
@@ -69,44 +80,59 @@ class WordTokens:
         raw, at = ids.tobytes(), at.tolist()
         return [raw[a:b] for a, b in zip([0, *at], at)]
 
+    def renew(self, new: set[str]) -> set[str]:
+        """Bring those that the old generation has into the young one; the others."""
+        back = self.old.keys() & new
+        self.young.update(zip(back, map(self.old.__getitem__, back)))
+        return new - back
+
     def learn(self, new: set[str], whole: bool) -> None:
         """Put `new` words into the young generation."""
-        young, old = self.young, self.old
-        cut, other = [], []
-        for w in new:
-            have = old.get(w)
-            if have is not None:
-                young[w] = have
-                continue
+        young, runs, cut, other = self.young, set(), [], []
+        for w in self.renew(new):
             m = None if whole else _WORD.fullmatch(w)
-            if m:
+            if not m:
+                other.append(w)
+            elif m[2]:
                 cut.append((w, m[1], m[2]))
+                runs.update(m.groups())
             else:
-                other.append(w)
+                runs.add(w)
         if other:
             young.update(zip(other, self.encode(other)))
-        runs = [r for r in {r for _, *both in cut for r in both} if r not in young and r not in old]
-        if runs:
+        if runs := list(self.renew(runs.difference(young))):
             young.update(zip(runs, self.encode_runs(runs)))
         for w, core, rest in cut:
-            if rest:
-                young[w] = (young.get(core) or old[core]) + (young.get(rest) or old[rest])
-            elif w not in young:
-                young[w] = old[core]
+            young[w] = young[core] + young[rest]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Those of several texts, whose new words are learnt together: each text is gone through once to find them and once to put them in."""
+        kinds = [_whole(t) for t in texts]
+        split = [(t if whole else t.lower()).replace("\n", " ").split(" ") for t, whole in zip(texts, kinds)]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {"": b""}
+        for kind in {*kinds}:
+            met = set().union(*(parts for parts, whole in zip(split, kinds) if whole == kind))
+            if new := met.difference(self.young):
+                self.learn(new, kind)
+        find = self.young.__getitem__
+        return [b"".join(map(find, parts)) for parts in split]
 
     def __call__(self, text: str) -> bytes:
-        whole = _OTHER.search(text) is not None
-        parts = (text if whole else text.lower()).replace("\n", " ").split(" ")
-        young = self.young
-        try:
-            return b"".join([young[w] for w in parts])
-        except KeyError:
-            pass
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {"": b""}
-            young = self.young
-        self.learn({w for w in parts if w not in young}, whole)
-        return b"".join([young[w] for w in parts])
+        return self.many([text])[0]
+
+
+def portions(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """The texts in order, some `PORTION` characters at a time; null is empty."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -130,9 +156,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
         ids_of, end, step = word_tokens(tokenizer_path), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(t.as_py() or "") + end
+            found = chain.from_iterable(map(ids_of.many, portions(t.as_py() for t in batch.column(1))))
+            for d, ids in zip(batch.column(0).to_pylist(), found):
+                ids += end
                 tie = zlib.crc32(ids)
+                if len(ids) <= step:
+                    out.append((d, 0, 0, len(ids) // 4, tie, tie))
+                    continue
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((d, k, k * capacity, len(part) // 4, zlib.crc32(part), tie))

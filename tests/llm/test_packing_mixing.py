@@ -103,3 +103,21 @@ def test_mixed_documents_repeat_rows(spark):
     for r in mixing.mix_sources(docs).collect():
         want[r["doc_id"]] += r["copies"]
     assert Counter(r["doc_id"] for r in out.collect()) == +want
+
+
+def test_new_words_of_many_texts_are_learnt_together(monkeypatch):
+    """Texts of all kinds at once give the ids of each alone, and the tokenizer is asked a few times, not once a text."""
+    plain = Tokenizer.from_file(PATH)
+    texts = [f"wo{chr(97 + k % 26)}ra{k}\nThe Haus{'en' * (k % 7)}, {'x' * k}! a  b {k * 7}" for k in range(200)]
+    texts += ["", " ", "\n", "Ünïcode wörter.", "漢字 words and Words", "İstanbul e\u0301te", "<|endoftext|> x", "tab\tand\u00a0space"]
+    want = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    words, asked = packing.WordTokens(PATH), []
+    encode, runs = words.encode, words.encode_runs
+    monkeypatch.setattr(words, "encode", lambda parts: asked.append(len(parts)) or encode(parts))
+    monkeypatch.setattr(words, "encode_runs", lambda parts: asked.append(len(parts)) or runs(parts))
+    assert words.many(texts) == want
+    assert len(asked) <= 5, asked
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "PORTION", 500)
+    assert [x for part in packing.portions([*texts, None]) for x in words.many(part)] == [*want, b""]
+    assert [words(t) for t in texts] == want
