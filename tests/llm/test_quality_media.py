@@ -220,3 +220,19 @@ def test_descriptors_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2, plan  # the pairs by either image
     drop()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("linkforge_")]
+
+
+def test_a_group_of_copies_gives_no_pairs(spark):
+    """Many small buckets of one component are not expanded; pairs across components are those of brute force."""
+    rng = np.random.default_rng(8)
+    buckets = {k: sorted(rng.choice(30, int(rng.integers(2, 12)), replace=False).tolist()) for k in range(150)}
+    part = {i: 0 if i < 24 else i for i in range(30)}
+    rows = spark.createDataFrame([(k, i, ids[0], len(ids)) for k, ids in buckets.items() for i in ids], "key long, id long, lo long, m long")
+    group = spark.createDataFrame([(i, 0) for i in range(24)], "id long, component long")
+    shared = Counter()
+    for ids in buckets.values():
+        listed = combinations(ids, 2) if len(ids) <= media.SMALL else ((ids[0], i) for i in ids[1:])
+        shared.update((a, b) for a, b in listed if part[a] != part[b])
+    want = {p for p, n in shared.items() if n >= media.SHARED}
+    assert want and {tuple(r) for r in media.candidates(rows, group).collect()} == want
+    assert media.candidates(rows.where("id < 24"), group).count() == 0
