@@ -70,7 +70,7 @@ def test_rank_of_right(spark, monkeypatch, odd):
     assert make().where("rank is not null").count() > 5 and make().count() == 180
 
 
-@pytest.mark.parametrize("name", ["vector_topk", "max_per_person", "ablation", "recall_at_k", "mrr"])
+@pytest.mark.parametrize("name", ["vector_topk", "max_per_person", "ablation", "recall_at_k", "mrr", "threshold_recall"])
 def test_queries_over_vectors_make_no_pairs(spark, monkeypatch, name):
     plan = both_ways(monkeypatch, lambda: registry.QUERIES[name](spark, "/root/testdata/sf0.01"), small=False)
     nested = [line for line in plan.splitlines() if "NestedLoopJoin" in line]
