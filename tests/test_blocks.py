@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linkforge.functions import scoring
 from linkforge.operators import blocks, pairs
 from linkforge.plans import registry
-from tests.test_bounds import plan_of
+from tests.test_bounds import full, plan_of, registry_rows
 
 NAN = float("nan")
 
@@ -87,3 +87,16 @@ def test_metadata_scores_never_lie_between():
     for parts in product((0.0, 0.5, 1.0), bands, bands, days, (1.0, 0.8, 0.75, 0.6, 0.55, 0.5, 0.35, 0.25)):
         x = sum(w * p for w, p in zip(scoring.WEIGHTS.values(), parts)) / 0.005
         assert abs(x - round(x)) < 1e-9
+
+
+@pytest.mark.parametrize(("odd", "k", "least"), [(True, 3, 0.0), (False, 5, 0.8), (True, 400, 0.3)])
+def test_metadata_search(spark, monkeypatch, odd, k, least):
+    """Both ways equal the full product; blocks make no pair as a row."""
+    a, p = registry_rows(spark, "A", 900, 1, odd), registry_rows(spark, "P", 60, 2, odd)
+    monkeypatch.setattr(blocks, "PAIRS", 0)
+    monkeypatch.setattr(blocks, "SLIM_PART", 64)
+    monkeypatch.setattr(blocks, "SLIM_BLOCK", 128)
+    got = pairs.metadata_search(a, p, k, least)
+    assert "FlatMapCoGroupsInArrow" in plan_of(got)
+    want = full(a, p, k, least).select(F.concat(F.lit("P"), "query_pos").alias("p"), F.concat(F.lit("A"), "candidate_pos").alias("a"), "rank", "final_score")
+    assert rows(got.select(F.col("am_record_id").alias("a"), F.col("pm_record_id").alias("p"), "rank", "final_score")) == rows(want)
