@@ -100,3 +100,15 @@ def test_metadata_search(spark, monkeypatch, odd, k, least):
     assert "FlatMapCoGroupsInArrow" in plan_of(got)
     want = full(a, p, k, least).select(F.concat(F.lit("P"), "query_pos").alias("p"), F.concat(F.lit("A"), "candidate_pos").alias("a"), "rank", "final_score")
     assert rows(got.select(F.col("am_record_id").alias("a"), F.col("pm_record_id").alias("p"), "rank", "final_score")) == rows(want)
+
+
+@pytest.mark.parametrize(("side", "stage", "odd"), [("both", "all", True), ("pm", 6, True), ("am", "all", False)])
+def test_search(spark, monkeypatch, side, stage, odd):
+    """Faces, metadata, records without a vector and vectors that are no plain ones."""
+    a, p = registry_rows(spark, "A", 150, 1, True), registry_rows(spark, "P", 70, 2, True)
+    v = F.when(F.col("pos") % 5 != 0, F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.cos(i * (F.col("pos") % 40 + 1)).cast("float") / 3).cast("array<float>"))
+    if odd:
+        v = F.when(F.col("pos") == 7, F.array(F.lit(0.5)).cast("array<float>")).when(F.col("pos") == 8, F.array(*[F.lit(None).cast("float")] * 6)).otherwise(v)
+    a, p = a.withColumn("embedding", v), p.withColumn("embedding", v)
+    plan = both_ways(monkeypatch, lambda: pairs.search(a, p, side, 4, stage))
+    assert odd or "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
