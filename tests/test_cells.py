@@ -41,3 +41,15 @@ def test_written_index_and_small_ones(spark, tmp_path):
     assert rows(cells.nearest(gallery, index, 100)) == rows(pairs.vector_topk(gallery, gallery, 100))
     assert cells.read(spark, f"{tmp_path}/none") is None
     assert cells.nearest(gallery, cells.build(gallery.limit(0)), 3).count() == 0 == cells.nearest(gallery.where(F.lit(False)), index, 3).count()
+
+
+def test_a_query_travels_once_for_each_shelf(spark, monkeypatch):
+    """Vectors without structure, where no cell can be skipped: visits come in small batches, a row for each shelf and not for each cell."""
+    x = np.random.default_rng(4).normal(size=(900, 8))
+    gallery, queries = frame(spark, x, 10_000), frame(spark, x[:50])
+    monkeypatch.setattr(cells, "SHELF", 300)
+    index = cells.build(gallery)
+    last = queries.selectExpr("vec_id AS query", "embedding AS q", "0 AS part", "double('-inf') AS last")
+    rest = cells._visits(last, index, 5, False)
+    assert index.cells.count() == 30 and rest.groupBy("query").count().agg(F.max("count")).first()[0] <= 5
+    assert rows(cells.nearest(queries, index, 5, block=32)) == rows(pairs.vector_topk(queries, gallery, 5))
