@@ -112,3 +112,8 @@ def test_search(spark, monkeypatch, side, stage, odd):
     a, p = a.withColumn("embedding", v), p.withColumn("embedding", v)
     plan = both_ways(monkeypatch, lambda: pairs.search(a, p, side, 4, stage))
     assert odd or "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_sql_shortlist(spark, monkeypatch):
+    plan = both_ways(monkeypatch, lambda: registry.QUERIES["sql_shortlist"](spark, "/root/testdata/sf0.001"))
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan
